@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup
+from quadrille.llm import exact_dedup, secrets
 
 
 def queries() -> dict:
-    return {"op7_exact_dedup": exact_dedup.op7_exact_dedup}
+    return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {
+        "op1_secret_scan": secrets.OP1_SQL,
+        "op7_exact_dedup": exact_dedup.OP7_SQL,
+    }

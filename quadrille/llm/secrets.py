@@ -71,8 +71,10 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         held = F.regexp_extract_all("_text", pattern, F.lit(rule.group)) if rule.group else whole
         between = F.split("_text", rule.pattern, -1)
         found.append(F.when(F.col("_text").rlike(rule.pattern), F.arrays_zip(_lengths(whole).alias("size"), _lengths(held).alias("held"), F.slice(_lengths(between), F.lit(1), F.size(whole)).alias("gap"), F.array_repeat(F.lit(k), F.size(whole)).alias("kind"))))
-    lengths = blobs.select("_blob", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_kinds")).where(F.size("_kinds") > 0)
-    once = lengths.groupBy("_blob").agg(F.first("_kinds").alias("_kinds"))  # a blob that came twice has the same lengths twice
+    lengths = blobs.select("_blob", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("_kinds"))
+    # A blob that came twice has the same lengths twice. No filter on them stands before the
+    # grouping, as it would be moved to where all texts are read, past the ledger.
+    once = lengths.groupBy("_blob").agg(F.first("_kinds").alias("_kinds"))
     parts = once.select("_blob", F.explode("_kinds").alias("_of_kind")).select("_blob", F.posexplode("_of_kind").alias("_at", "_m"))
     so_far = W.partitionBy("_blob", "kind").orderBy("_at")
     places = parts.select("_blob", "_at", "_m.*").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))

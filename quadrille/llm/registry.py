@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, secrets, simhash
+from quadrille.llm import bpe, exact_dedup, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_bpe": bpe.op2_bpe,
         "op5_simhash": simhash.op5_simhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     }

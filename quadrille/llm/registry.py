@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, secrets, simhash
+from quadrille.llm import bpe, exact_dedup, packing, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op5_simhash": simhash.op5_simhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_packing": packing.op9_packing,
     }
 
 

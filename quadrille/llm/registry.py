@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, packing, secrets, simhash
+from quadrille.llm import bpe, exact_dedup, packing, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_packing": packing.op9_packing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, packing, secrets, simhash, toxicity
+from quadrille.llm import bpe, exact_dedup, language_id, packing, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_bpe": bpe.op2_bpe,
         "op5_simhash": simhash.op5_simhash,
+        "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,

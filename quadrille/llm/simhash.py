@@ -154,19 +154,22 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 6, most: int = 32)
     return verified.unionByName(dense).distinct()
 
 
-def groups(prints: DataFrame, radius: int = 2, bands: int = 6, most: int = 32) -> DataFrame:
+def groups(prints: DataFrame, radius: int = 2, bands: int = 6, most: int = 32, runs: int = 64) -> DataFrame:
     """component_id for each row (_id, _fp) of prints: the smallest id that links reach.
 
     prints must give the same rows whenever it is read. Null ids take part; they count
     as larger than any other, so component_id is null only if all ids of a group are.
     """
-    distinct = cut(prints.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    dealt = prints.withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(runs)))
+    in_runs = cut(dealt.groupBy("_run", "_fp").agg(F.min("_id").alias("_least")))
+    distinct = cut(in_runs.groupBy("_fp").agg(F.min("_least").alias("_least")))
     roots = cut(components(links(distinct.select("_fp"), radius, bands, most)))
     linked = distinct.join(roots, distinct["_fp"] == roots["node"]).select("_fp", "root", "_least")
     least = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
     of_linked = roots.join(least, "root").select(F.col("node").alias("_fp"), "component_id")
     of_all = distinct.join(of_linked, "_fp", "left").select("_fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("_least")).alias("component_id"))
-    return prints.join(of_all, "_fp").select("_id", "_fp", "component_id")
+    # By way of the runs, so that a fingerprint that many rows share meets in many tasks.
+    return dealt.join(in_runs.select("_run", "_fp").join(of_all, "_fp"), ["_run", "_fp"]).select("_id", "_fp", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, language_id, packing, secrets, simhash, toxicity
+from quadrille.llm import bpe, exact_dedup, language_id, packing, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_bpe": bpe.op2_bpe,
+        "op3_quality": quality.op3_quality,
         "op5_simhash": simhash.op5_simhash,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, language_id, packing, quality, secrets, simhash, toxicity
+from quadrille.llm import bpe, exact_dedup, language_id, packing, quality, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_warc": warc.op8_warc,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
     }

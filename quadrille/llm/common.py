@@ -62,3 +62,13 @@ def text_or_empty(column: str = "text") -> Column:
 def held_out(column: str = "doc_id") -> Column:
     """Whether crc32 of the id as text leaves no remainder by 5; a null id is held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
+
+
+def beside(df: DataFrame, **more: Column) -> DataFrame:
+    """The whole row of df as the struct _row, beside columns of one's own: names in df cannot clash with them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *[c.alias(name) for name, c in more.items()])
+
+
+def row_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of df again, out of _row."""
+    return [F.col("_row").getField(c).alias(c) for c in df.columns if c not in without]

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from quadrille.llm.common import SPACE, cut, table, text_or_empty
+from quadrille.llm.common import SPACE, beside, cut, row_columns, table, text_or_empty
 
 #: What must be equal for two texts to count as equal.
 KEY = ["_digest", "_length", "_check"]
@@ -29,10 +29,14 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACE, " ")
 
 
+def signed_columns() -> list[Column]:
+    """The signature of a normalised text _norm."""
+    return [F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_digest"), F.octet_length("_norm").alias("_length"), F.xxhash64("_norm").alias("_check")]
+
+
 def signature(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """One row (_id, _digest, _length, _check) for each row of df."""
-    norm = df.select(F.col(id_column).alias("_id"), normalised(text_column).alias("_norm"))
-    return norm.select("_id", F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_digest"), F.octet_length("_norm").alias("_length"), F.xxhash64("_norm").alias("_check"))
+    return df.select(F.col(id_column).alias("_id"), normalised(text_column).alias("_norm")).select("_id", *signed_columns())
 
 
 def _merge(level: DataFrame, fan_in: int) -> DataFrame:
@@ -88,14 +92,13 @@ def drop_exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str
     first by the other columns' hash.
     """
     found = decisions(cut(signature(df, id_column, text_column)), runs, fan_in)
-    keep = found.where("kept").select(F.col("_id").alias("_keep_id"), *KEY)
-    names = [F.col(f"`{c}`") for c in df.columns]
-    norm = F.col("_norm")
-    signed = df.withColumn("_norm", normalised(text_column))
-    signed = signed.select(*names, F.unhex(F.sha2(norm.cast("binary"), 256)).alias("_digest"), F.octet_length(norm).alias("_length"), F.xxhash64(norm).alias("_check"))
-    stays = signed.join(keep, signed[id_column].eqNullSafe(keep["_keep_id"]) & (signed["_digest"] == keep["_digest"]) & (signed["_length"] == keep["_length"]) & (signed["_check"] == keep["_check"]), "left_semi")
-    one = W.partitionBy(id_column, "_digest").orderBy(F.xxhash64(*names))
-    return stays.withColumn("_at", F.row_number().over(one)).where("_at = 1").select(*names)
+    keep = found.where("kept").select(F.col("_id").alias("_keep_id"), *[F.col(k).alias(f"_keep{k}") for k in KEY])
+    signed = beside(df, _id=F.col(id_column), _norm=normalised(text_column)).select("_row", "_id", *signed_columns())
+    same = signed["_id"].eqNullSafe(keep["_keep_id"])
+    for k in KEY:
+        same &= signed[k] == keep[f"_keep{k}"]
+    one = W.partitionBy("_id", *KEY).orderBy(F.xxhash64("_row"))
+    return signed.join(keep, same, "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1").select(*row_columns(df))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from quadrille.llm.common import held_out, table, text_or_empty
+from quadrille.llm.common import beside, held_out, row_columns, table, text_or_empty
 
 letters_of = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
@@ -121,29 +121,30 @@ def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lan
 
 
 def predict(df: DataFrame, model: Model | None, text_column: str = "text") -> DataFrame:
-    """df with lang_pred and score (0 to 1) for each row.
+    """df with lang_pred and score (0 to 1) for each row, in place of columns of these names.
 
     und, with score 0, if the text is null or has no letter, or nothing was learned.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # landmarks x buckets numbers
-    at = len(df.columns)
 
     def run(batches):
         m = sent.value
+        rows_at_once = m.settings.batch if m else 4096
         for batch in batches:
-            for start in range(0, batch.num_rows, m.settings.batch if m else 4096):
-                part = batch.slice(start, m.settings.batch if m else 4096)
+            for start in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(start, rows_at_once)
                 named, sure = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
                 if m:
-                    rows = np.stack([presence(t.as_py(), m.settings) for t in part.column(at)])
+                    rows = np.stack([presence(t.as_py(), m.settings) for t in part.column(1)])
                     values = m.scores(rows)
                     for i in np.flatnonzero(rows.any(1)):
                         best = int(values[i].argmax())
                         named[i], sure[i] = m.languages[best], float(min(1, max(0, (values[i, best] + 1) / 2)))
-                yield pa.record_batch([*part.columns[:at], pa.array(named, pa.string()), pa.array(sure, pa.float64())], [*batch.schema.names[:at], "lang_pred", "score"])
+                yield pa.record_batch([part.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64())], ["_row", "_named", "_sure"])
 
-    rows = df.withColumn("_read_text", text_or_empty(text_column))
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "lang_pred string", "score double"]))
+    rows = beside(df, _text=text_or_empty(text_column))
+    found = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_named", T.StringType()), T.StructField("_sure", T.DoubleType())]))
+    return found.select(*row_columns(df, ("lang_pred", "score")), F.col("_named").alias("lang_pred"), F.col("_sure").alias("score"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

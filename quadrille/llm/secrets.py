@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from quadrille.llm.common import cut, fresh_path, table, text_or_empty
+from quadrille.llm.common import beside, cut, fresh_path, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -126,12 +126,12 @@ def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: s
     not changed.
     """
     seen = scan(df, ledger, id_column, text_column, rules, version).where(F.size("findings") > 0).select(F.col("_blob").alias("_seen"), F.col("findings").alias("_findings"))
-    joined = df.withColumn("_key", _blob(text_column)).join(seen, F.col("_key") == F.col("_seen"), "left")
-    text = F.col(f"`{text_column}`")
+    joined = beside(df, _key=_blob(text_column)).join(seen, F.col("_key") == F.col("_seen"), "left")
+    text = F.col("_row").getField(text_column)
     clear = lambda x: F.when(x["start"] >= x["clear_from"], F.concat(F.substring(text, x["clear_from"].cast("int") + 1, (x["start"] - x["clear_from"]).cast("int")), F.lit(mark))).otherwise("")
     tail = F.substring(text, F.array_max(F.transform("_findings", lambda x: x["end"])).cast("int") + 1, F.lit(2147483647))
     cleared = F.when(F.col("_findings").isNull(), text).otherwise(F.concat(F.array_join(F.transform("_findings", clear), ""), tail))
-    return joined.select(*[cleared.alias(c) if c == text_column else F.col(f"`{c}`") for c in df.columns])
+    return joined.select(*[cleared.alias(text_column) if c == text_column else F.col("_row").getField(c).alias(c) for c in df.columns])
 
 
 def joined_spans(findings: Column, kinds: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> Column:

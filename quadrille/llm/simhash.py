@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm.common import cut, table, text_or_empty
+from quadrille.llm.common import beside, cut, row_columns, table, text_or_empty
 from quadrille.llm.components import components
 
 BITS = 64
@@ -182,6 +182,19 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return found.select(F.col("_id").alias(id_column), F.col("_fp").alias("fingerprint"), "component_id")
 
 
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:
+    """The rows of df that stay: of each group of near duplicates the row with the smallest id.
+
+    Of rows that repeat that id one stays, that with the smallest hash of its text; rows
+    that repeat id and text all stay, as near_duplicates tells texts apart, not rows.
+    """
+    hashed = F.xxhash64(text_or_empty(text_column))
+    found = near_duplicates(df.select(F.struct(F.col(id_column).alias("id"), hashed.alias("hash")).alias("_key"), F.col(text_column).alias("_text")), "_key", "_text", words, radius, bands)
+    stay = found.select(F.col("component_id").alias("_stay")).distinct().select("_stay.id", "_stay.hash")
+    rows = beside(df, _id=F.col(id_column), _hash=hashed)
+    return rows.join(stay, rows["_id"].eqNullSafe(stay["id"]) & (rows["_hash"] == stay["hash"]), "left_semi").select(*row_columns(df))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

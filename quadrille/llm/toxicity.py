@@ -22,9 +22,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quadrille.llm.common import cut, held_out, table, text_or_empty
+from quadrille.llm.common import beside, cut, held_out, row_columns, table, text_or_empty
 
 #: Words whose buckets a Python worker keeps; when there are more it starts anew.
 CACHED_WORDS = 300_000
@@ -171,23 +171,23 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 
 def score(df: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """df with a score from 0 to 1 for each row; null texts count as empty, and an empty text
+    """df with a score from 0 to 1 for each row, in place of a column of that name; null texts count as empty, and an empty text
     scores the share of label 1 as the machine's bias has it."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: settings.terms rows
-    at = len(df.columns)
 
     def run(batches):
         m = sent.value
         counter = TermCounter(m.settings.buckets, m.chosen)
         for batch in batches:
             out = []
-            for text in batch.column(at):
+            for text in batch.column(1):
                 found = counter.count(text.as_py())
                 out.append(m.machine.probability(np.array(list(found), np.int64), _values(np.array(list(found.values()), float))))
-            yield pa.record_batch([*batch.columns[:at], pa.array(out, pa.float64())], [*batch.schema.names[:at], score_column])
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], ["_row", "_score"])
 
-    rows = df.withColumn("_scored_text", text_or_empty(text_column))
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{score_column}` double"]))
+    rows = beside(df, _text=text_or_empty(text_column))
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_score", T.DoubleType())]))
+    return scored.select(*row_columns(df, (score_column,)), F.col("_score").alias(score_column))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

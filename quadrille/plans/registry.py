@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from quadrille.plans import tree_queries
+
+PARTS = (tree_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for part in PARTS for name, text in part.SQL.items()}

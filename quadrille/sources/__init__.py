@@ -1 +1 @@
-"""See the README for what this subpackage holds."""
+"""Point tables: from the driver's tables, and generated ones."""

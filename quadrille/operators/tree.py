@@ -290,11 +290,11 @@ def level_starts(tree: Tree) -> DataFrame:
     return n.withColumn("first_box", F.sum("n_boxes").over(W.orderBy("level")) - F.col("n_boxes"))
 
 
-def box_extents(tree: Tree) -> DataFrame:
-    """For each box the least and greatest coordinates of its points with their radius, of its centre
-    and of those of the boxes below it."""
+def box_extents(tree: Tree, roles: tuple[str, ...] = ("s", "t", "b")) -> DataFrame:
+    """For each box the least and greatest coordinates of its points of some roles with their radius,
+    of its centre and of those of the boxes below it."""
     d = tree.d
-    of_points = tree.particles.groupBy(*box_names(d)).agg(*[f(F.col(a) + s * F.col("radius")).alias(f"{n}_{a}") for a in axes(d) for n, f, s in (("min", F.min, -1), ("max", F.max, 1))])
+    of_points = tree.particles.where(F.col("role").isin(*roles)).groupBy(*box_names(d)).agg(*[f(F.col(a) + s * F.col("radius")).alias(f"{n}_{a}") for a in axes(d) for n, f, s in (("min", F.min, -1), ("max", F.max, 1))])
     of_boxes = tree.boxes.select(*box_names(d), *[tree.center(i, F.col("level"), F.col(k)).alias(f"{n}_{a}") for i, (a, k) in enumerate(zip(axes(d), key_names(d))) for n in ("min", "max")])
     both = of_points.unionByName(of_boxes)
     up = both.select(F.explode(levels(0, F.col("level"))).alias("_at"), "*")

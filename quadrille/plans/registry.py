@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import tree_queries
+from quadrille.plans import list_queries, tree_queries
 
-PARTS = (tree_queries,)
+PARTS = (tree_queries, list_queries)
 
 
 def queries() -> dict:

@@ -25,6 +25,8 @@ from quadrille.llm.common import beside, held_out, row_columns, table, text_or_e
 
 letters_of = re.compile(r"[^\W\d_]+").findall
 UNKNOWN = "und"
+#: Parts that a language's rows are dealt to for the sample.
+PARTS = 60
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,9 @@ def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", lan
     """Fit on df's rows with a language and a letter; None if there are none."""
     s = settings
     named = df.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(language_column).alias("_language"), F.xxhash64(id_column).alias("_hash"))
-    first = named.withColumn("_n", F.row_number().over(W.partitionBy("_language").orderBy("_hash", "_id"))).where(F.col("_n") <= s.per_language)
+    # As many from each of PARTS parts of a language, dealt by the hash, so that no task has a whole language.
+    part = W.partitionBy("_language", F.pmod("_hash", F.lit(PARTS))).orderBy("_hash", "_id")
+    first = named.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= -(-s.per_language // PARTS))
     sample = first.orderBy("_n", "_language").limit(s.sample_rows).select("_id", "_language").distinct()
 
     def compute(batches):

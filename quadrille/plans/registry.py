@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import list_queries, tree_queries
+from quadrille.plans import fmm_queries, list_queries, tree_queries
 
-PARTS = (tree_queries, list_queries)
+PARTS = (tree_queries, list_queries, fmm_queries)
 
 
 def queries() -> dict:

@@ -21,13 +21,13 @@ import struct
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from quadrille.llm.common import table, text_or_empty
+from quadrille.llm.common import row_columns, table, text_or_empty
 
 #: Pieces kept with their ids by each Python worker, in two generations: when the
 #: young one has as many, it becomes the old one, and what is used again moves up.
-CACHED_PIECES = 250_000
+CACHED_PIECES = 150_000
 #: Longer pieces are not kept.
 CACHED_LENGTH = 48
 #: Bytes of text in a record batch that a worker gives back.
@@ -141,7 +141,7 @@ class PrefixTable:
 
 
 class Encoder:
-    """Texts to ids and back: each match of pattern is encoded by itself."""
+    """Texts to ids: each match of pattern is encoded by itself."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary, self.pieces_of = Vocabulary(ranks), regex.compile(pattern).findall
@@ -166,46 +166,56 @@ class Encoder:
         get, pack = self._young.get, self._pack
         return b"".join([get(piece) or pack(piece) for piece in self.pieces_of(text)])
 
+
+class Decoder:
+    """Packed ids back to bytes."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, memoryview(packed).cast("I")))
+        return b"".join(map(self.tokens.__getitem__, memoryview(packed).cast("I")))
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-#: The encoders of this Python worker, by what they are made from.
-_ENCODERS: dict[tuple[bytes, str], Encoder] = {}
+#: What this Python worker has made so far, by kind and by what it is made from.
+_MADE: dict[tuple, Encoder | Decoder] = {}
 
 
-def _encoder(content: bytes, pattern: str) -> Encoder:
-    key = hashlib.sha256(content).digest(), pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(read_ranks(content), pattern)
-    return _ENCODERS[key]
+def _made(kind: type, content: bytes, *more) -> Encoder | Decoder:
+    key = kind.__name__, hashlib.sha256(content).digest(), *more
+    if key not in _MADE:
+        _MADE[key] = kind(read_ranks(content), *more)
+    return _MADE[key]
 
 
-def _mapped(df: DataFrame, column: str, to: str, make, vocabulary: str, pattern: str) -> DataFrame:
-    """df with column to (binary): make(encoder, value) of column. The vocabulary file, of fixed size, is broadcast."""
-    with open(vocabulary, "rb") as f:
+def _mapped(df: DataFrame, value: Column, to: str, without: tuple[str, ...], vocabulary: str | None, pattern: str | None) -> DataFrame:
+    """df without some columns, with the binary column to: value encoded (by a pattern) or decoded
+    (without one). The vocabulary file, of fixed size, is broadcast."""
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         content = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder = _encoder(content.value, pattern)
+        make = _made(Encoder, content.value, pattern).encode if pattern else _made(Decoder, content.value).decode
         for batch in batches:
-            at = batch.schema.get_field_index(column)
             start, size, out = 0, 0, []
-            for i, value in enumerate(batch.column(at)):
-                value = value.as_py()
-                out.append(make(encoder, value))
-                size += len(value)
+            for i, given in enumerate(batch.column(1)):
+                given = given.as_py()
+                out.append(make(given))
+                size += len(given)
                 if size > BATCH_BYTES or i + 1 == batch.num_rows:
-                    kept = [c.slice(start, len(out)) for k, c in enumerate(batch.columns) if k != at]
-                    yield pa.record_batch([*kept, pa.array(out, pa.binary())], [*(n for n in batch.schema.names if n != column), to])
+                    yield pa.record_batch([batch.column(0).slice(start, len(out)), pa.array(out, pa.binary())], ["_row", "_made"])
                     start, size, out = i + 1, 0, []
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != column]
-    return df.mapInArrow(run, ", ".join([*fields, f"`{to}` binary"]))
+    kept = df.drop(*without, to)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), value.alias("_value"))
+    made = rows.mapInArrow(run, T.StructType([rows.schema["_row"], T.StructField("_made", T.BinaryType())]))
+    return made.select(*row_columns(kept), F.col("_made").alias(to))
 
 
 def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -214,14 +224,12 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", vo
     A null text counts as empty; an empty text has no ids. Special tokens' names in a
     text are ordinary text. Other columns are kept as they are.
     """
-    filled = df.withColumn(text_column, text_or_empty(text_column))
-    return _mapped(filled, text_column, ids_column, Encoder.encode, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    return _mapped(df, text_or_empty(text_column), ids_column, (text_column,), vocabulary, pattern)
 
 
-def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """df with the bytes that its packed ids stand for; the ids are kept. Null ids count as none."""
-    again = df.withColumn("_ids", F.coalesce(F.col(ids_column), F.lit(b"")))
-    return _mapped(again, "_ids", bytes_column, Encoder.decode, vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    return _mapped(df, F.coalesce(F.col(ids_column), F.lit(b"")), bytes_column, (), vocabulary, None)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

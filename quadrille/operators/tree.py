@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quadrille.functions.keys import TOP, axes, box_names, children, grid_key, inside, key_names, levels, moved, path, power2, shift
-from quadrille.functions.ordering import numbered
+from quadrille.functions.ordering import numbered, running
 from quadrille.plans.shared import cut
 
 KINDS = ("adaptive", "non-adaptive", "adaptive-level-restricted")
@@ -265,21 +265,10 @@ def tree_order(tree: Tree) -> DataFrame:
 
 
 def box_starts(tree: Tree) -> DataFrame:
-    """For each box the place of its first point in tree order, with its own and all its points.
-
-    Points of the boxes before it in the way's order come first; these are counted by a
-    running sum over boxes, part by part.
-    """
-    from pyspark.sql import Window as W
-
-    ordered = numbered(with_path(tree.boxes, tree.d), ["path"], "_at")
-    part = cut(ordered.withColumn("_part", F.floor(F.col("_at") / 10_000)))
-    before, total = [], 0
-    for r in part.groupBy("_part").agg(F.sum("n_own").alias("n")).orderBy("_part").collect():
-        before += [F.lit(r["_part"]), F.lit(total)]
-        total += r["n"]
-    so_far = F.sum("n_own").over(W.partitionBy("_part").orderBy("path")) - F.col("n_own")
-    return part.select(*box_names(tree.d), (F.create_map(*before)[F.col("_part")] + so_far).cast("long").alias("start"), "n_own", "n_cumul")
+    """For each box the place of its first point in tree order, with its own and all its points: what the
+    boxes before it on the way hold."""
+    rows = running(with_path(tree.boxes, tree.d), ["path"], "n_own", "_end")
+    return rows.select(*box_names(tree.d), (F.col("_end") - F.col("n_own")).alias("start"), "n_own", "n_cumul")
 
 
 def level_starts(tree: Tree) -> DataFrame:
@@ -301,3 +290,40 @@ def box_extents(tree: Tree, roles: tuple[str, ...] = ("s", "t", "b")) -> DataFra
     keys = [shift(F.col(k), F.col("level") - F.col("_at")).alias(f"_{k}") for k in key_names(d)]
     out = up.groupBy("_at", *keys).agg(*[f(f"{n}_{a}").alias(f"{n}_{a}") for a in axes(d) for n, f in (("min", F.min), ("max", F.max))])
     return out.select(F.col("_at").alias("level"), *[F.col(f"_{k}").alias(k) for k in key_names(d)], *[f"{n}_{a}" for a in axes(d) for n in ("min", "max")])
+
+
+def link_point_sources(tree: Tree, point_sources: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Point sources that hang on the tree's points by pid: (each with its place in the tree order of
+    its owner, ties by the columns order; for each box its first place and how many it has itself and in all).
+
+    Owners without point sources, and point sources without an owner, are left out; boxes without any have 0.
+    """
+    owned = point_sources.join(with_path(tree.particles, tree.d).select("pid", *box_names(tree.d), "path"), "pid")
+    placed = numbered(owned, ["path", "pid", *order], "psid")
+    own = placed.groupBy(*box_names(tree.d)).agg(F.count(F.lit(1)).alias("n_ps_own"))
+    return placed, _counted(tree, own, "n_ps_own", "n_ps_cumul", "ps_start")
+
+
+def _counted(tree: Tree, own: DataFrame, name: str, cumulative: str, start: str) -> DataFrame:
+    """Of counts by box: for all boxes the count, that with the boxes below, and that of the boxes before."""
+    d = tree.d
+    up = own.select(name, F.explode(levels(0, F.col("level"))).alias("_at"), *box_names(d))
+    up = up.select(name, F.col("_at").alias("level"), *[shift(F.col(k), F.col("level") - F.col("_at")).alias(k) for k in key_names(d)])
+    total = up.groupBy(*box_names(d)).agg(F.sum(name).alias(cumulative))
+    rows = with_path(tree.boxes.select(*box_names(d)), d).join(own, box_names(d), "left").join(total, box_names(d), "left").fillna(0, [name, cumulative])
+    return running(rows, ["path"], name, "_end").select(*box_names(d), (F.col("_end") - F.col(name)).alias(start), name, cumulative)
+
+
+def filtered_targets_user_order(tree: Tree, flagged: DataFrame) -> DataFrame:
+    """For each box its own targets that are flagged (a table of pid), as a sorted array."""
+    chosen = tree.particles.where(F.col("role").isin("t", "b")).join(flagged.select("pid").distinct(), "pid", "left_semi")
+    return chosen.groupBy(*box_names(tree.d)).agg(F.sort_array(F.collect_list("pid")).alias("targets"))
+
+
+def filtered_targets_tree_order(tree: Tree, flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The flagged targets, numbered in tree order; for each box its first number and how many it has itself and in all."""
+    d = tree.d
+    chosen = tree.particles.where(F.col("role").isin("t", "b")).join(flagged.select("pid").distinct(), "pid", "left_semi")
+    placed = numbered(with_path(chosen.select("pid", *box_names(d)), d), ["path", "pid"], "place")
+    own = placed.groupBy(*box_names(d)).agg(F.count(F.lit(1)).alias("n_filtered_own"))
+    return placed, _counted(tree, own, "n_filtered_own", "n_filtered_cumul", "filtered_start")

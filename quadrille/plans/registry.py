@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import fmm_queries, list_queries, tree_queries
+from quadrille.plans import fmm_queries, list_queries, tree_queries, work_queries
 
-PARTS = (tree_queries, list_queries, fmm_queries)
+PARTS = (tree_queries, list_queries, fmm_queries, work_queries)
 
 
 def queries() -> dict:

@@ -189,7 +189,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     that repeat id and text all stay, as near_duplicates tells texts apart, not rows.
     """
     hashed = F.xxhash64(text_or_empty(text_column))
-    found = near_duplicates(df.select(F.struct(F.col(id_column).alias("id"), hashed.alias("hash")).alias("_key"), F.col(text_column).alias("_text")), "_key", "_text", words, radius, bands)
+    found = near_duplicates(df.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), hashed.alias("hash")).alias("_key"), F.col(text_column).alias("_text")), "_key", "_text", words, radius, bands)
     stay = found.select(F.col("component_id").alias("_stay")).distinct().select("_stay.id", "_stay.hash")
     rows = beside(df, _id=F.col(id_column), _hash=hashed)
     return rows.join(stay, rows["_id"].eqNullSafe(stay["id"]) & (rows["_hash"] == stay["hash"]), "left_semi").select(*row_columns(df))

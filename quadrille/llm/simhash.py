@@ -22,13 +22,14 @@ so those groups are bounded and each gives links to its smallest member.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quadrille.llm.common import beside, cut, row_columns, table, text_or_empty
 from quadrille.llm.components import components
@@ -39,7 +40,7 @@ CHUNK = 1 << 16
 
 
 def shingle_hashes(text: bytes, words: int, seed: int = 42) -> Iterator[np.ndarray]:
-    """XXH64 of the text's shingles, in chunks: A-Z in lower case, words joined by a space."""
+    """XXH64 of the text's shingles, repeats included, in chunks: A-Z in lower case, words joined by a space."""
     found = text.lower().split()
     if not found:
         return
@@ -182,17 +183,163 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return found.select(F.col("_id").alias(id_column), F.col("_fp").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:
-    """The rows of df that stay: of each group of near duplicates the row with the smallest id.
+#: Multipliers that turn a shingle's hash into independent ones: odd numbers from a fixed sequence.
+SPREAD = [((0x9E3779B97F4A7C15 * (2 * k + 1)) ^ (k << 17)) % (1 << 64) | 1 for k in range(64)]
 
-    Of rows that repeat that id one stays, that with the smallest hash of its text; rows
-    that repeat id and text all stay, as near_duplicates tells texts apart, not rows.
+
+def wide_fingerprint(text: bytes, words: int, prints: int) -> bytes:
+    """prints fingerprints of 64 bits, of as many hashes of each shingle, after another."""
+    ones, total = np.zeros((prints, BITS), np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        for k in range(prints):
+            x = hashes * np.uint64(SPREAD[k])
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(hashes)
+    return np.packbits(2 * ones > total, bitorder="little").tobytes() if total else bytes(prints * 8)
+
+
+def expected_distance(similarity: float) -> float:
+    """The share of bits that differ, on average, for shingle sets of equal size and this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
+    """(u, v, sure) for rows (_n, _bits) whose wide fingerprints differ in no larger share of bits than
+    texts of this similarity may; sure if the difference is too small for less similar ones. Both
+    bounds are three standard errors of the share from what is expected.
+
+    The references are zero and the fingerprints of one bit: a row's distances to some of
+    them, less that to zero, are its key in a table. Keys have a few references more than
+    the logarithm of the number of rows, so that chance seldom brings rows together, and
+    there are as many tables as bring rows of just this similarity together with
+    probability recall; of more similar ones fewer are missed. In each bucket a row is
+    compared with the one before it and with the first, so the work is linear in the
+    bucket, and clusters are joined through their tables.
+    """
+    first = prints.agg(F.count(F.lit(1)), F.max(F.octet_length("_bits"))).first()
+    rows, width = first[0], 8 * (first[1] or 8)
+    share = expected_distance(similarity)
+    error = 3 * math.sqrt(share * (1 - share) / width)
+    taken = min(48, max(16, math.ceil(math.log2(max(rows, 2))) + 4))
+    tables = math.ceil(math.log(1 / (1 - recall)) / (1 - share) ** taken)
+    chosen = np.stack([np.random.default_rng([seed, t]).choice(width, taken, replace=False) for t in range(tables)])
+    weights = np.uint64(1) << np.arange(taken, dtype=np.uint64)
+
+    def bits_of(column: pa.Array) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
+
+    def buckets(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                bits = bits_of(part.column(1))
+                for t in range(tables):
+                    keys = bits[:, chosen[t]].astype(np.uint64) @ weights
+                    keys = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(SPREAD[t % 64] * (t + 1) % (1 << 64))
+                    yield pa.record_batch([pa.array(keys.view(np.int64)), part.column(0)], ["_bucket", "_n"])
+
+    def neighbours(batches):
+        key, leader, last = None, 0, 0  # the run that the rows before this batch ended in
+        for batch in batches:
+            b, n = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(b):
+                continue
+            same = np.concatenate([[key is not None and b[0] == key], b[1:] == b[:-1]])
+            before = np.concatenate([[last], n[:-1]])
+            starts = np.maximum.accumulate(np.where(same, -1, np.arange(len(b))))
+            heads = np.where(starts >= 0, n[np.maximum(starts, 0)], leader)
+            key, leader, last = b[-1], heads[-1], n[-1]
+            u, v = np.concatenate([before[same], heads[same]]), np.concatenate([n[same], n[same]])
+            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    def verify(batches):
+        for batch in batches:
+            apart = np.bitwise_count(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64) ^ np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)).reshape(batch.num_rows, -1).sum(1)
+            found = pa.record_batch([*batch.columns[:2], pa.array(apart <= (share - error) * width)], ["u", "v", "sure"])
+            yield found.filter(pa.array(apart <= (share + error) * width))
+
+    keyed = prints.select("_n", "_bits").mapInArrow(buckets, "_bucket bigint, _n bigint")
+    pairs = keyed.repartition("_bucket").sortWithinPartitions("_bucket", "_n").mapInArrow(neighbours, "u bigint, v bigint").where("u <> v").distinct()
+    with_bits = lambda x: prints.select(F.col("_n").alias(x), F.col("_bits").alias(f"_bits_{x}"))
+    compared = pairs.join(with_bits("u"), "u").join(with_bits("v"), "v").select("u", "v", "_bits_u", "_bits_v")
+    return compared.mapInArrow(verify, "u bigint, v bigint, sure boolean")
+
+
+def similar_links(prints: DataFrame, sets_of, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+    """(u, v) of similar rows: the candidates that are sure, and of the others those whose shingle sets have
+    the similarity. Others that sure ones join already are not looked at, as they would join nothing new.
+
+    sets_of takes a table of _n and returns (_n, _set): the sorted distinct 32-bit hashes of the rows' shingles.
+    """
+    found = cut(candidates(prints, similarity, recall))
+    sure = found.where("sure").select("u", "v")
+    roots = cut(components(sure))
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_root_{x}"))
+    rest = found.where("NOT sure").join(of("u"), "u", "left").join(of("v"), "v", "left")
+    open_ones = cut(rest.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select("u", "v"))
+    sets = cut(sets_of(open_ones.select(F.col("u").alias("_n")).unionByName(open_ones.select(F.col("v").alias("_n"))).distinct()))
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_py(), np.uint32) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                good.append(both >= similarity * (len(a) + len(b) - both))
+            yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    with_set = lambda x: sets.select(F.col("_n").alias(x), F.col("_set").alias(f"_set_{x}"))
+    checked = open_ones.join(with_set("u"), "u").join(with_set("v"), "v").select("u", "v", "_set_u", "_set_v")
+    return sure.unionByName(checked.mapInArrow(verify, "u bigint, v bigint"))
+
+
+def shingle_set(text: bytes, words: int) -> bytes:
+    """The distinct shingles of a text as sorted 32-bit hashes."""
+    parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)).tobytes() if parts else b""
+
+
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 16, recall: float = 0.95) -> DataFrame:
+    """The rows of df that stay: of each group of similar texts the row with the smallest id, a null id
+    counting as larger than any other.
+
+    Texts are similar if the Jaccard similarity of their sets of shingles of words words is similarity or
+    more; pairs that wide fingerprints (prints times 64 bits) tell to be far beyond it are taken as such.
+    Pairs of just this similarity are compared with probability recall at least, more similar ones with a
+    higher one. Texts without words are similar to each other. Rows that repeat id and text all stay if one
+    does: texts are told apart here, not rows.
     """
     hashed = F.xxhash64(text_or_empty(text_column))
-    found = near_duplicates(df.select(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), hashed.alias("hash")).alias("_key"), F.col(text_column).alias("_text")), "_key", "_text", words, radius, bands)
-    stay = found.select(F.col("component_id").alias("_stay")).distinct().select("_stay.id", "_stay.hash")
+    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), hashed.alias("hash"))
+    texts = df.select(key.alias("_key"), text_or_empty(text_column).cast("binary").alias("_text"))
+
+    def compute(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([wide_fingerprint(x.as_py(), words, prints) for x in batch.column(1)], pa.binary())], ["_key", "_bits"])
+
+    made = texts.mapInArrow(compute, T.StructType([texts.schema["_key"], T.StructField("_bits", T.BinaryType())]))
+    known = cut(made.withColumn("_n", F.monotonically_increasing_id()))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        def compute_sets(batches):
+            for batch in batches:
+                yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.binary())], ["_n", "_set"])
+
+        wanted = known.join(nodes, "_n", "left_semi").select("_n", F.col("_key").alias("_wanted"))
+        # The same text under the same key, however often: once for each of its rows' numbers.
+        read = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_wanted"))).select("_n", "_text").mapInArrow(compute_sets, "_n bigint, _set binary")
+        return read.groupBy("_n").agg(F.first("_set").alias("_set"))
+
+    roots = cut(components(similar_links(known, sets_of, similarity, recall)))
+    grouped = cut(roots.join(known.select(F.col("_n").alias("node"), "_key"), "node"))
+    stay = grouped.groupBy("root").agg(F.min("_key").alias("_stay")).select(F.col("_stay.id").alias("id"), F.col("_stay.hash").alias("hash"))
+    others = grouped.select("_key.id", "_key.hash").distinct()
+    gone = others.join(stay, others["id"].eqNullSafe(stay["id"]) & (others["hash"] == stay["hash"]), "left_anti")
     rows = beside(df, _id=F.col(id_column), _hash=hashed)
-    return rows.join(stay, rows["_id"].eqNullSafe(stay["id"]) & (rows["_hash"] == stay["hash"]), "left_semi").select(*row_columns(df))
+    return rows.join(gone, rows["_id"].eqNullSafe(gone["id"]) & (rows["_hash"] == gone["hash"]), "left_anti").select(*row_columns(df))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, language_id, packing, quality, secrets, simhash, toxicity, warc
+from quadrille.llm import bpe, exact_dedup, html_text, language_id, packing, quality, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_bpe": bpe.op2_bpe,
         "op3_quality": quality.op3_quality,
+        "op4_html_text": html_text.op4_html_text,
         "op5_simhash": simhash.op5_simhash,
         "op6_language_id": language_id.op6_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quadrille.plans import fmm_queries, list_queries, tree_queries, work_queries
+from quadrille.plans import fmm_queries, list_queries, more_queries, tree_queries, work_queries
 
-PARTS = (tree_queries, list_queries, fmm_queries, work_queries)
+PARTS = (tree_queries, list_queries, fmm_queries, work_queries, more_queries)
 
 
 def queries() -> dict:

@@ -65,8 +65,25 @@ def offsets(d: int, n: int, zero: bool = False) -> list[tuple[int, ...]]:
     return [o for o in product(range(-n, n + 1), repeat=d) if zero or any(o)]
 
 
+def block(names: list[str], first: list[Column], last: list[Column]) -> Column:
+    """An array of all keys from first to last on every axis, as structs of the same names."""
+
+    def along(axis: int, chosen: list[Column]) -> Column:
+        if axis == len(names):
+            return F.array(F.struct(*[c.alias(k) for c, k in zip(chosen, names)]))
+        return F.flatten(F.transform(F.sequence(first[axis], last[axis]), lambda v: along(axis + 1, [*chosen, v])))
+
+    return along(0, [])
+
+
 def moved(names: list[str], n: int, zero: bool = False) -> Column:
     """An array of the keys at all offsets, as structs of the same names."""
+    if (2 * n + 1) ** len(names) > 30:  # too much code to write out
+        keys = [F.col(k) for k in names]
+        around = block(names, [k - n for k in keys], [k + n for k in keys])
+        if zero:
+            return around
+        return F.filter(around, lambda c: ~F.forall(F.array(*[c[k] == F.col(k) for k in names]), lambda same: same))
     return F.array(*[F.struct(*[(F.col(k) + o).alias(k) for k, o in zip(names, move)]) for move in offsets(len(names), n, zero)])
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.functions.keys import axes, box_names, inside, key_names, levels, moved, offsets, shift, within
+from quadrille.functions.keys import axes, block, box_names, inside, key_names, levels, moved, offsets, shift, within
 from quadrille.operators.tree import Tree, box_extents
 from quadrille.plans.shared import cut
 
@@ -134,14 +134,12 @@ class Traversal:
         def make():
             d, n, names = self.tree.d, self.n, key_names(self.tree.d)
             t = prefixed(self.target_or_target_parent_boxes, "t", d).where("t_level > 0")
-            # Children of a colleague of the parent: moves by up to 2n + 1, of which those of up to n are near.
-            reach = 2 * n + 1
-            moves = F.array(*[F.struct(*[(F.col(f"t_{k}") + o).alias(f"s_{k}") for k, o in zip(names, move)]) for move in offsets(d, reach) if max(map(abs, move)) > n])
-            probes = t.select("*", F.col("t_level").alias("s_level"), F.explode(moves).alias("_c")).select(*t.columns, "s_level", "_c.*")
-            apart = F.lit(True)
-            for k in names:
-                apart &= F.abs(shift(F.col(f"s_{k}"), 1) - shift(F.col(f"t_{k}"), 1)) <= n
-            return self._edges(probes.where(apart).join(prefixed(self.boxes, "s", d), side("s", d)))
+            # Children of the parent and of its colleagues, less those that are near.
+            up = [shift(F.col(f"t_{k}"), 1) for k in names]
+            around = block([f"s_{k}" for k in names], [2 * (u - n) for u in up], [2 * (u + n) + 1 for u in up])
+            far = F.filter(around, lambda c: F.greatest(*[F.abs(c[f"s_{k}"] - F.col(f"t_{k}")) for k in names], F.lit(0)) > n)
+            probes = t.select("*", F.col("t_level").alias("s_level"), F.explode(far).alias("_c")).select(*t.columns, "s_level", "_c.*")
+            return self._edges(probes.join(prefixed(self.boxes, "s", d), side("s", d)))
 
         return self._once("list2", make)
 

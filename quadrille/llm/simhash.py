@@ -205,7 +205,7 @@ def expected_distance(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.95, seed: int = 42) -> DataFrame:
+def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.98, seed: int = 42) -> DataFrame:
     """(u, v, sure) for rows (_n, _bits) whose wide fingerprints differ in no larger share of bits than
     texts of this similarity may; sure if the difference is too small for less similar ones. Both
     bounds are three standard errors of the share from what is expected.
@@ -268,7 +268,7 @@ def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.95,
     return compared.mapInArrow(verify, "u bigint, v bigint, sure boolean")
 
 
-def similar_links(prints: DataFrame, sets_of, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
+def similar_links(prints: DataFrame, sets_of, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
     """(u, v) of similar rows: the candidates that are sure, and of the others those whose shingle sets have
     the similarity. Others that sure ones join already are not looked at, as they would join nothing new.
 
@@ -302,7 +302,7 @@ def shingle_set(text: bytes, words: int) -> bytes:
     return np.unique(np.concatenate(parts)).tobytes() if parts else b""
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 16, recall: float = 0.95) -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 16, recall: float = 0.98) -> DataFrame:
     """The rows of df that stay: of each group of similar texts the row with the smallest id, a null id
     counting as larger than any other.
 

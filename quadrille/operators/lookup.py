@@ -34,7 +34,9 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
     usable = balls.dropna(subset=["radius", *axes(d)])
     fits = F.size(F.filter(levels(1, F.lit(deepest)), lambda l: F.col("radius") <= F.lit(tree.width) / power2(l) / 2))
     at = usable.select(F.col("ball_id"), *[F.col(a).alias(f"ball_{a}") for a in axes(d)], F.col("radius").alias("ball_radius"), fits.alias("_deep"))
+    # At its deepest level a ball also looks for the leaves below, at the others for leaves of just that level.
     at = at.withColumn("_level", F.explode(levels(0, F.col("_deep"))))
+    at = at.withColumn("_same", F.explode(F.when(F.col("_level") == F.col("_deep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
     width, last = F.lit(tree.width) / power2(F.col("_level")), raised(F.lit(1).cast("long"), F.col("_level")) - 1
     for i, (a, k) in enumerate(zip(axes(d), names)):
         cell = lambda v: F.floor((v - F.lit(tree.lo[i])) / width)
@@ -42,8 +44,8 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
         end = F.least(cell(F.col(f"ball_{a}") + F.col("ball_radius")) + 1, last).cast("long")
         at = at.withColumn(f"_{k}", F.explode(F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
     leaves = tree.leaves().select(*box_names(d), F.explode(levels(0, F.col("level"))).alias("_level"))
-    leaves = leaves.select("*", *[shift(F.col(k), F.col("level") - F.col("_level")).alias(f"_{k}") for k in names])
-    found = at.join(leaves, ["_level", *[f"_{k}" for k in names]]).where((F.col("level") == F.col("_level")) | (F.col("_level") == F.col("_deep")))
+    leaves = leaves.select("*", (F.col("level") == F.col("_level")).alias("_same"), *[shift(F.col(k), F.col("level") - F.col("_level")).alias(f"_{k}") for k in names])
+    found = at.join(leaves, ["_same", "_level", *[f"_{k}" for k in names]])
     return found.where(distance(tree) <= F.col("ball_radius") + tree.radius(F.col("level"))).select("ball_id", *[f"ball_{a}" for a in axes(d)], "ball_radius", *box_names(d))
 
 

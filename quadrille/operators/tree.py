@@ -108,10 +108,10 @@ def _raised_cells(groups: DataFrame, d: int, first: int, amount: Column) -> Data
     return at.groupBy("level", *[shift(F.col(k), up).alias(k) for k in key_names(d)]).agg(F.sum(amount).alias("w"))
 
 
-def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, reached: bool = False) -> DataFrame:
-    """The cells (level, keys) over the limit: by the weight of points that may descend, or,
-    if reached is set, of all that reach them."""
-    names, first, active, found = key_names(d), 0, points, []
+def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, reached: bool = False) -> tuple[DataFrame, int]:
+    """The cells (level, keys) over the limit, and the deepest level with one (-1 if there is none): by the
+    weight of points that may descend, or, if reached is set, of all that reach them."""
+    names, first, active, found, lowest = key_names(d), 0, points, [], -1
     while True:
         last = min(first + levels_at_once - 1, TOP)
         m = F.least(F.col("_desc"), F.lit(last)).cast("int")
@@ -121,6 +121,7 @@ def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, rea
         over = cut(_raised_cells(groups, d, first, amount).where(F.col("w") > limit).select("level", *names))
         found.append(over)
         deepest = over.agg(F.max("level")).first()[0]
+        lowest = lowest if deepest is None else deepest
         if deepest is None or deepest < last:
             break
         if last == TOP:
@@ -131,18 +132,17 @@ def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, rea
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    return out, lowest
 
 
-def restricted(split: DataFrame, d: int) -> DataFrame:
+def restricted(split: DataFrame, d: int, deepest: int) -> DataFrame:
     """split with the boxes that must split too for leaves that touch to differ by one level at most.
 
     For a box that splits, all its neighbours must exist, so their parents split;
     one join-free pass a level, from the deepest up.
     """
     names = key_names(d)
-    deepest = split.agg(F.max("level")).first()[0]
-    if not deepest:
+    if deepest < 1:
         return split
     out, now = None, split.where(F.col("level") == deepest)
     for level in range(deepest, 0, -1):
@@ -180,15 +180,18 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     weight = F.col("weight").cast("long") if max_weight is not None else F.lit(1).cast("long")
     points = particles.select("pid", *[F.col(a).cast("double").alias(a) for a in axes(d)], role.alias("role"), radius.alias("radius"), weight.alias("weight"))
     none = [F.count_if(F.col(a).isNull() | F.isnan(a)) for a in axes(d)]
-    limits = points.agg(F.min("weight"), F.max("weight"), F.min("radius"), *none).first()
+    reach = [f(F.col(a) - sign * F.col("radius")) for a in axes(d) for f, sign in ((F.min, 1), (F.max, -1))]
+    limits = points.agg(F.min("weight"), F.max("weight"), F.min("radius"), *none, *reach).first()
     limit = max_particles if max_particles is not None else max_weight
-    if any(limits[3:]):
+    if any(limits[3 : 3 + d]):
         raise ValueError("a coordinate is missing")
     if limits[0] is not None and (limits[0] < 0 or max_weight is not None and limits[1] > max_weight):
         raise ValueError("weights must be from 0 to max_weight")
     if limits[2] is not None and limits[2] < 0:
         raise ValueError("radii must not be negative")
-    low, high = bounding_box(points, d)
+    if limits[0] is None:
+        raise ValueError("there are no points")
+    low, high = list(limits[3 + d :: 2]), list(limits[4 + d :: 2])
     lo, hi = checked_box(bbox, low, high) if bbox is not None else root_box(low, high)
 
     keyed = points.select("*", *[grid_key(F.col(a), lo[i], hi[i], TOP).alias(f"_k{a}") for i, a in enumerate(axes(d))])
@@ -196,17 +199,15 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     keyed = cut(keyed.withColumn("_desc", desc.cast("int")))
 
     if kind == "non-adaptive":
-        over = _split_cells(keyed, d, limit, levels_at_once, reached=True).agg(F.max("level")).first()[0]
-        depth = 0 if over is None else over + 1
+        depth = _split_cells(keyed, d, limit, levels_at_once, reached=True)[1] + 1
         final = F.least(F.col("_desc"), F.lit(depth)).cast("int")
         placed = keyed.withColumn("level", final)
         split = None
     else:
-        split = _split_cells(keyed, d, limit, levels_at_once)
+        split, deepest = _split_cells(keyed, d, limit, levels_at_once)
         if kind == "adaptive-level-restricted":
-            split = restricted(split, d)
-        split = cut(split)
-        depth = (split.agg(F.max("level")).first()[0] if split.take(1) else -1) + 1
+            split = restricted(split, d, deepest)
+        depth = deepest + 1
         # The cells that points are in at the deepest level, each with how many boxes split above it.
         cell = lambda a: shift(F.col(f"_k{a}"), TOP - depth)
         cells = keyed.select(*[cell(a).alias(f"_c{k}") for a, k in zip(axes(d), names)]).distinct()

@@ -31,7 +31,9 @@ def normalised(column: str = "text") -> Column:
 
 def signed_columns() -> list[Column]:
     """The signature of a normalised text _norm."""
-    return [F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)).alias("_digest"), F.octet_length("_norm").alias("_length"), F.xxhash64("_norm").alias("_check")]
+    # Told not to be null, so that joins don't compute it a second time to find out.
+    digest = F.coalesce(F.unhex(F.sha2(F.col("_norm").cast("binary"), 256)), F.lit(b""))
+    return [digest.alias("_digest"), F.octet_length("_norm").alias("_length"), F.xxhash64("_norm").alias("_check")]
 
 
 def signature(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -92,13 +94,12 @@ def drop_exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str
     first by the other columns' hash.
     """
     found = decisions(cut(signature(df, id_column, text_column)), runs, fan_in)
-    keep = found.where("kept").select(F.col("_id").alias("_keep_id"), *[F.col(k).alias(f"_keep{k}") for k in KEY])
-    signed = beside(df, _id=F.col(id_column), _norm=normalised(text_column)).select("_row", "_id", *signed_columns())
-    same = signed["_id"].eqNullSafe(keep["_keep_id"])
-    for k in KEY:
-        same &= signed[k] == keep[f"_keep{k}"]
+    # An id that is never null: the join and the window below then deal rows by the same columns, and texts move once.
+    known = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    keep = found.where("kept").select(known(F.col("_id")).alias("_id"), *KEY)
+    signed = beside(df, _id=known(F.col(id_column)), _norm=normalised(text_column)).select("_row", "_id", *signed_columns())
     one = W.partitionBy("_id", *KEY).orderBy(F.xxhash64("_row"))
-    return signed.join(keep, same, "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1").select(*row_columns(df))
+    return signed.join(keep, ["_id", *KEY], "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1").select(*row_columns(df))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,8 @@ FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Str
 
 
 def _blob(text_column: str) -> Column:
-    return F.unhex(F.sha2(text_or_empty(text_column).cast("binary"), 256))
+    # Told not to be null, so that joins don't compute it a second time to find out.
+    return F.coalesce(F.unhex(F.sha2(text_or_empty(text_column).cast("binary"), 256)), F.lit(b""))
 
 
 def _lengths(parts: Column) -> Column:

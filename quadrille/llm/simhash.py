@@ -22,14 +22,13 @@ so those groups are bounded and each gives links to its smallest member.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.common import beside, cut, row_columns, table, text_or_empty
 from quadrille.llm.components import components
@@ -183,62 +182,175 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     return found.select(F.col("_id").alias(id_column), F.col("_fp").alias("fingerprint"), "component_id")
 
 
-#: Multipliers that turn a shingle's hash into independent ones: odd numbers from a fixed sequence.
-SPREAD = [((0x9E3779B97F4A7C15 * (2 * k + 1)) ^ (k << 17)) % (1 << 64) | 1 for k in range(64)]
+#: Odd multipliers, one for each place in a shingle.
+PLACES = [((0x9E3779B97F4A7C15 * (2 * k + 1)) ^ (k << 17)) % (1 << 64) | 1 for k in range(64)]
+#: The one shingle of a text without words.
+NO_WORDS = np.array([1], np.uint64)
+#: Shingle hashes of a task that are sorted and dealt out together.
+DEAL = 1 << 21
+#: So many of the most frequent shingles at most are known to be frequent. It bears on speed alone.
+FREQUENT = 1 << 20
 
 
-def wide_fingerprint(text: bytes, words: int, prints: int) -> bytes:
-    """prints fingerprints of 64 bits, of as many hashes of each shingle, after another."""
-    ones, total = np.zeros((prints, BITS), np.int64), 0
-    for hashes in shingle_hashes(text, words):
-        for k in range(prints):
-            x = hashes * np.uint64(SPREAD[k])
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        total += len(hashes)
-    return np.packbits(2 * ones > total, bitorder="little").tobytes() if total else bytes(prints * 8)
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles of a text as sorted 64-bit hashes, made of the hashes of their words."""
+    found = text.lower().split()
+    if not found:
+        return NO_WORDS
+    if len(found) < words:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(found), words)], np.uint64)
+    each, count = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)), len(found) - words + 1
+    x = np.zeros(count, np.uint64)
+    for k in range(words):
+        x += each[k : k + count] * np.uint64(PLACES[k])
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(x ^ (x >> np.uint64(29)))
+
+
+def least_common(size, similarity: float):
+    """How many of its shingles a set of this size shares at least with a similar one."""
+    return np.ceil(similarity * size - 1e-6).astype(np.int64)
 
 
-def expected_distance(similarity: float) -> float:
-    """The share of bits that differ, on average, for shingle sets of equal size and this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def least_in_prefixes(a, b, similarity: float):
+    """How many shingles the prefixes of similar sets of sizes a and b have in common at least."""
+    both = np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6).astype(np.int64)
+    return np.maximum(both - np.maximum(least_common(a, similarity), least_common(b, similarity)) + 1, 1)
 
 
-def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.98, seed: int = 42) -> DataFrame:
-    """(u, v, sure) for rows (_n, _bits) whose wide fingerprints differ in no larger share of bits than
-    texts of this similarity may; sure if the difference is too small for less similar ones. Both
-    bounds are three standard errors of the share from what is expected.
+def _dealt(rows: np.ndarray, high: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Rows as one binary value for each range of the 32-bit numbers high."""
+    part = (high.astype(np.uint64) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return pa.record_batch([pa.array(part[starts].astype(np.int64)), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], ["_range", "_rows"])
 
-    The references are zero and the fingerprints of one bit: a row's distances to some of
-    them, less that to zero, are its key in a table. Keys have a few references more than
-    the logarithm of the number of rows, so that chance seldom brings rows together, and
-    there are as many tables as bring rows of just this similarity together with
-    probability recall; of more similar ones fewer are missed. In each bucket a row is
-    compared with the one before it and with the first, so the work is linear in the
-    bucket, and clusters are joined through their tables.
+
+def frequent_shingles(texts: DataFrame, words: int, ranges: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """The first 32 bits of the hashes of the FREQUENT most frequent shingles of texts (_n, _text), in order, and how often they occur."""
+
+    def deal(batches):
+        held, total = [], 0
+        for batch in batches:
+            for text in batch.column(1):
+                held.append((shingle_set(text.as_py(), words) >> np.uint64(32)).astype(np.uint32))
+                total += len(held[-1])
+                if total >= DEAL:
+                    rows = np.concatenate(held)
+                    yield _dealt(rows, rows, ranges)
+                    held, total = [], 0
+        if held:
+            rows = np.concatenate(held)
+            yield _dealt(rows, rows, ranges)
+
+    def count(batches):
+        held = [np.frombuffer(x.as_py(), np.uint32) for batch in batches for x in batch.column(1)]
+        if held:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            many = times >= least
+            yield pa.record_batch([pa.array(found[many].astype(np.int64)), pa.array(times[many].astype(np.int64))], ["_hash", "_times"])
+
+    dealt = texts.select("_n", "_text").mapInArrow(deal, "_range bigint, _rows binary").repartition(ranges, "_range")
+    counted = cut(dealt.mapInArrow(count, "_hash bigint, _times bigint"))
+    power, held = F.floor(F.log2("_times")), 0
+    lowest = 64
+    for row in sorted(counted.groupBy(power.alias("p")).count().collect(), reverse=True):
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        lowest = row["p"]
+    found = counted.where(power >= lowest).toArrow()
+    hashes, times = found.column(0).to_numpy().astype(np.uint32), found.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], times[order]
+
+
+def prefix_entries(texts: DataFrame, words: int, similarity: float, ranges: int, most: int) -> DataFrame:
+    """(_key, _n, _size, _crowded) for each shingle in the prefix of a text of texts (_n, _text) that is in that of another, too.
+
+    A prefix holds the rarest shingles of a set, as many as it may lack of a similar one and one more,
+    so that similar sets have a shingle of their prefixes in common. Shingles are in order of frequency,
+    then of their hashes. A key is crowded if more than ``most`` texts have it.
     """
-    first = prints.agg(F.count(F.lit(1)), F.max(F.octet_length("_bits"))).first()
-    rows, width = first[0], 8 * (first[1] or 8)
-    share = expected_distance(similarity)
-    error = 3 * math.sqrt(share * (1 - share) / width)
-    taken = min(48, max(16, math.ceil(math.log2(max(rows, 2))) + 4))
-    tables = math.ceil(math.log(1 / (1 - recall)) / (1 - share) ** taken)
-    chosen = np.stack([np.random.default_rng([seed, t]).choice(width, taken, replace=False) for t in range(tables)])
-    weights = np.uint64(1) << np.arange(taken, dtype=np.uint64)
-
-    def bits_of(column: pa.Array) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width // 8), axis=1, bitorder="little")
-
-    def buckets(batches):
+    frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words, ranges))
+    kind = np.dtype([("key", np.uint64), ("n", np.int64), ("size", np.int32)])
+
+    def deal(batches):
+        hashes, times = frequent.value
+        held, total = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                bits = bits_of(part.column(1))
-                for t in range(tables):
-                    keys = bits[:, chosen[t]].astype(np.uint64) @ weights
-                    keys = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(SPREAD[t % 64] * (t + 1) % (1 << 64))
-                    yield pa.record_batch([pa.array(keys.view(np.int64)), part.column(0)], ["_bucket", "_n"])
+            for n, text in zip(batch.column(0).to_numpy(), batch.column(1)):
+                found = shingle_set(text.as_py(), words)
+                taken = len(found) - int(least_common(len(found), similarity)) + 1
+                if len(hashes):
+                    high = (found >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(hashes, high), len(hashes) - 1)
+                    often = np.where(hashes[at] == high, times[at], 0)
+                    chosen = found[np.argsort(often, kind="stable")[:taken]]
+                else:
+                    chosen = found[:taken]
+                rows = np.empty(taken, kind)
+                rows["key"], rows["n"], rows["size"] = chosen, n, len(found)
+                held.append(rows)
+                total += taken
+                if total >= DEAL:
+                    rows = np.concatenate(held)
+                    yield _dealt(rows, rows["key"] >> np.uint64(32), ranges)
+                    held, total = [], 0
+        if held:
+            rows = np.concatenate(held)
+            yield _dealt(rows, rows["key"] >> np.uint64(32), ranges)
+
+    def shared(batches):
+        held = [np.frombuffer(x.as_py(), kind) for batch in batches for x in batch.column(1)]
+        if not held:
+            return
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows["n"], rows["key"]))]
+        same = rows["key"][1:] == rows["key"][:-1]
+        # The same row twice is one.
+        rows = rows[np.concatenate([[True], ~(same & (rows["n"][1:] == rows["n"][:-1]))])]
+        starts = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+        sizes = np.diff(np.append(starts, len(rows)))
+        of_key = np.repeat(sizes, sizes)
+        rows, of_key = rows[of_key > 1], of_key[of_key > 1]
+        for at in range(0, len(rows), 1 << 16):
+            part = rows[at : at + (1 << 16)]
+            columns = [pa.array(part["key"].copy().view(np.int64)), pa.array(part["n"].copy()), pa.array(part["size"].copy()), pa.array(of_key[at : at + (1 << 16)] > most)]
+            yield pa.record_batch(columns, ["_key", "_n", "_size", "_crowded"])
+
+    dealt = texts.select("_n", "_text").mapInArrow(deal, "_range bigint, _rows binary").repartition(ranges, "_range")
+    return cut(dealt.mapInArrow(shared, "_key bigint, _n bigint, _size int, _crowded boolean"))
+
+
+def _groups_of(batches) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of equal values in the first column, of batches that are sorted by it."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        ends = np.append(np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1, len(columns[0]))
+        at = 0
+        for end in ends:
+            if held and held[0][0][0] != columns[0][at]:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            held.append([c[at:end] for c in columns])
+            at = end
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _batch_of_pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def first_links(entries: DataFrame) -> DataFrame:
+    """(u, v): for each row of entries the one that it shares most keys with, of those next to it in a key and
+    of the first ones of its keys. They are no substitute for all pairs, but leave fewer of them open."""
 
     def neighbours(batches):
         key, leader, last = None, 0, 0  # the run that the rows before this batch ended in
@@ -251,95 +363,115 @@ def candidates(prints: DataFrame, similarity: float = 0.8, recall: float = 0.98,
             starts = np.maximum.accumulate(np.where(same, -1, np.arange(len(b))))
             heads = np.where(starts >= 0, n[np.maximum(starts, 0)], leader)
             key, leader, last = b[-1], heads[-1], n[-1]
-            u, v = np.concatenate([before[same], heads[same]]), np.concatenate([n[same], n[same]])
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+            for other, kind in ((before, 0), (heads, 1)):
+                yield pa.record_batch([pa.array(n[same]), pa.array(other[same]), pa.array(np.full(int(same.sum()), kind, np.int32))], ["u", "v", "kind"])
 
-    def verify(batches):
-        for batch in batches:
-            apart = np.bitwise_count(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64) ^ np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64)).reshape(batch.num_rows, -1).sum(1)
-            found = pa.record_batch([*batch.columns[:2], pa.array(apart <= (share - error) * width)], ["u", "v", "sure"])
-            yield found.filter(pa.array(apart <= (share + error) * width))
-
-    keyed = prints.select("_n", "_bits").mapInArrow(buckets, "_bucket bigint, _n bigint")
-    pairs = keyed.repartition("_bucket").sortWithinPartitions("_bucket", "_n").mapInArrow(neighbours, "u bigint, v bigint").where("u <> v").distinct()
-    with_bits = lambda x: prints.select(F.col("_n").alias(x), F.col("_bits").alias(f"_bits_{x}"))
-    compared = pairs.join(with_bits("u"), "u").join(with_bits("v"), "v").select("u", "v", "_bits_u", "_bits_v")
-    return compared.mapInArrow(verify, "u bigint, v bigint, sure boolean")
+    near = entries.select("_key", "_n").repartition("_key").sortWithinPartitions("_key", "_n").mapInArrow(neighbours, "u bigint, v bigint, kind int")
+    best = near.groupBy("u", "v", "kind").count().groupBy("u", "kind").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def similar_links(prints: DataFrame, sets_of, similarity: float = 0.8, recall: float = 0.98) -> DataFrame:
-    """(u, v) of similar rows: the candidates that are sure, and of the others those whose shingle sets have
-    the similarity. Others that sure ones join already are not looked at, as they would join nothing new.
+def open_pairs(entries: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) for all rows of entries that may be similar and have different roots.
 
-    sets_of takes a table of _n and returns (_n, _set): the sorted distinct 32-bit hashes of the rows' shingles.
+    Pairs come from every key they share. One that shares only crowded keys is made where it has enough
+    of them; others count the keys that are not crowded, to which the crowded ones of the row with fewer
+    of them are added. Both are upper bounds of what the prefixes have in common, so no similar pair is lost.
     """
-    found = cut(candidates(prints, similarity, recall))
-    sure = found.where("sure").select("u", "v")
-    roots = cut(components(sure))
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_root_{x}"))
-    rest = found.where("NOT sure").join(of("u"), "u", "left").join(of("v"), "v", "left")
-    open_ones = cut(rest.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select("u", "v"))
-    sets = cut(sets_of(open_ones.select(F.col("u").alias("_n")).unionByName(open_ones.select(F.col("v").alias("_n"))).distinct()))
+    crowd = entries.where("_crowded").groupBy("_n").agg(F.count(F.lit(1)).alias("_crowds"))
+    rows = entries.join(crowd, "_n", "left").join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_root")), "_n", "left")
+    rows = rows.select("_key", "_n", "_size", "_crowded", F.coalesce("_crowds", F.lit(0)).cast("int").alias("_crowds"), F.coalesce("_root", "_n").alias("_root"))
+    # A key whose rows all have one root already has nothing to add.
+    mixed = rows.groupBy("_key").agg((F.min("_root") < F.max("_root")).alias("_mixed")).where("_mixed").select("_key")
+    rows = cut(rows.join(mixed, "_key"))
+
+    def few(batches):
+        for _, n, size, crowds, root in _groups_of(batches):
+            i, j = np.triu_indices(len(n), 1)
+            fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_common(np.maximum(size[i], size[j]), similarity))
+            i, j = i[fits], j[fits]
+            if len(i):
+                need = least_in_prefixes(size[i], size[j], similarity) - np.minimum(crowds[i], crowds[j])
+                pairs = _batch_of_pairs(n[i], n[j])
+                yield pa.record_batch([*pairs.columns, pa.array(need)], ["u", "v", "need"])
+
+    def many(batches):
+        for _, n, size, crowds, root in _groups_of(batches):
+            # Roots with more rows first: rows are compared with those of the roots before theirs.
+            _, which, rows_of = np.unique(root, return_inverse=True, return_counts=True)
+            rank = np.argsort(np.argsort(-rows_of, kind="stable"), kind="stable")[which]
+            order = np.argsort(size, kind="stable")
+            n, size, crowds, rank = n[order], size[order], crowds[order], rank[order]
+            for at in np.flatnonzero(rank > 0):
+                low, high = np.searchsorted(size, [least_common(size[at], similarity), size[at] / similarity + 1])
+                fits = (rank[low:high] < rank[at]) & (least_in_prefixes(size[at], size[low:high], similarity) <= np.minimum(crowds[at], crowds[low:high]))
+                if fits.any():
+                    other = n[low:high][fits]
+                    yield _batch_of_pairs(np.full(len(other), n[at]), other)
+
+    def of(crowded: str) -> DataFrame:
+        return rows.where(crowded).select("_key", "_n", "_size", "_crowds", "_root").repartition("_key").sortWithinPartitions("_key")
+
+    counted = of("NOT _crowded").mapInArrow(few, "u bigint, v bigint, need bigint").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    return counted.where("shared >= need").select("u", "v").unionByName(of("_crowded").mapInArrow(many, "u bigint, v bigint")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have the similarity, for texts (_n, _text)."""
+    pairs = cut(pairs)
+    nodes = pairs.select(F.col("u").alias("_n")).unionByName(pairs.select(F.col("v").alias("_n"))).distinct()
+
+    def compute(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], ["_n", "_set"])
 
     def verify(batches):
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_py(), np.uint32) for x in (a, b))
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
+    read = texts.join(nodes, "_n", "left_semi").select("_n", "_text").mapInArrow(compute, "_n bigint, _set binary")
+    sets = cut(read.groupBy("_n").agg(F.first("_set").alias("_set")))
     with_set = lambda x: sets.select(F.col("_n").alias(x), F.col("_set").alias(f"_set_{x}"))
-    checked = open_ones.join(with_set("u"), "u").join(with_set("v"), "v").select("u", "v", "_set_u", "_set_v")
-    return sure.unionByName(checked.mapInArrow(verify, "u bigint, v bigint"))
+    checked = pairs.join(with_set("u"), "u").join(with_set("v"), "v").select("u", "v", "_set_u", "_set_v")
+    return cut(checked.mapInArrow(verify, "u bigint, v bigint"))
 
 
-def shingle_set(text: bytes, words: int) -> bytes:
-    """The distinct shingles of a text as sorted 32-bit hashes."""
-    parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(text, words)]
-    return np.unique(np.concatenate(parts)).tobytes() if parts else b""
+def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 64) -> DataFrame:
+    """(u, v) of similar texts of texts (_n, _text): enough of them to join all that a chain of similar pairs joins.
+
+    The search is exact. Some likely pairs are looked at first; then all pairs that prefixes allow and
+    that these do not join yet. Every link is checked by its shingle sets.
+    """
+    ranges = max(64, 4 * texts.rdd.getNumPartitions())
+    entries = prefix_entries(texts, words, similarity, ranges, most)
+    first = similar_pairs(first_links(entries), texts, words, similarity)
+    rest = similar_pairs(open_pairs(entries, cut(components(first)), similarity), texts, words, similarity)
+    return first.unionByName(rest)
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8, prints: int = 16, recall: float = 0.98) -> DataFrame:
+def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay: of each group of similar texts the row with the smallest id, a null id
     counting as larger than any other.
 
     Texts are similar if the Jaccard similarity of their sets of shingles of words words is similarity or
-    more; pairs that wide fingerprints (prints times 64 bits) tell to be far beyond it are taken as such.
-    Pairs of just this similarity are compared with probability recall at least, more similar ones with a
-    higher one. Texts without words are similar to each other. Rows that repeat id and text all stay if one
-    does: texts are told apart here, not rows.
+    more; all such pairs are found. Texts without words are similar to each other. Rows that repeat id and
+    text all stay if one does: texts are told apart here, not rows.
     """
-    hashed = F.xxhash64(text_or_empty(text_column))
-    key = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), hashed.alias("hash"))
-    texts = df.select(key.alias("_key"), text_or_empty(text_column).cast("binary").alias("_text"))
-
-    def compute(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([wide_fingerprint(x.as_py(), words, prints) for x in batch.column(1)], pa.binary())], ["_key", "_bits"])
-
-    made = texts.mapInArrow(compute, T.StructType([texts.schema["_key"], T.StructField("_bits", T.BinaryType())]))
-    known = cut(made.withColumn("_n", F.monotonically_increasing_id()))
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        def compute_sets(batches):
-            for batch in batches:
-                yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), words) for x in batch.column(1)], pa.binary())], ["_n", "_set"])
-
-        wanted = known.join(nodes, "_n", "left_semi").select("_n", F.col("_key").alias("_wanted"))
-        # The same text under the same key, however often: once for each of its rows' numbers.
-        read = texts.join(wanted, F.col("_key").eqNullSafe(F.col("_wanted"))).select("_n", "_text").mapInArrow(compute_sets, "_n bigint, _set binary")
-        return read.groupBy("_n").agg(F.first("_set").alias("_set"))
-
-    roots = cut(components(similar_links(known, sets_of, similarity, recall)))
-    grouped = cut(roots.join(known.select(F.col("_n").alias("node"), "_key"), "node"))
-    stay = grouped.groupBy("root").agg(F.min("_key").alias("_stay")).select(F.col("_stay.id").alias("id"), F.col("_stay.hash").alias("hash"))
-    others = grouped.select("_key.id", "_key.hash").distinct()
-    gone = others.join(stay, others["id"].eqNullSafe(stay["id"]) & (others["hash"] == stay["hash"]), "left_anti")
-    rows = beside(df, _id=F.col(id_column), _hash=hashed)
-    return rows.join(gone, rows["_id"].eqNullSafe(gone["id"]) & (rows["_hash"] == gone["hash"]), "left_anti").select(*row_columns(df))
+    none = F.col(id_column).isNull()
+    number = F.xxhash64(none, F.col(id_column), text_or_empty(text_column))
+    key = F.struct(none.alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("hash"))
+    texts = df.select(number.alias("_n"), text_or_empty(text_column).cast("binary").alias("_text"))
+    roots = cut(components(similar_links(texts, words, similarity)))
+    keys = df.select(number.alias("node"), key.alias("_key"))
+    grouped = cut(keys.join(roots, "node"))
+    stay = grouped.groupBy("root").agg(F.min_by("node", "_key").alias("node"))
+    gone = grouped.select("node").distinct().join(stay, "node", "left_anti")
+    return beside(df, _node=number).join(gone, F.col("_node") == gone["node"], "left_anti").select(*row_columns(df))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,6 +257,61 @@ def test_near_copies_go_and_others_stay(spark):
     assert sum(len(kept & set(g)) > 1 for g in groups) <= 1
 
 
+def plain_keep_one(texts: list[str], words: int = 5, similarity: float = 0.8) -> set[int]:
+    """The places of the texts that stay, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))})
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) >= 0.7 * max(len(a), len(b)) and (both := len(a & b)) >= similarity * (len(a) + len(b) - both):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i for i in range(len(texts)) if find(i) == i}
+
+
+def kept_places(spark, texts: list[str]) -> set[int]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    return {r["doc_id"] for r in simhash.keep_one(rows).collect()}
+
+
+@pytest.mark.parametrize("count", [60, 600])
+def test_near_copies_among_texts_of_one_template(spark, count):
+    """Texts that share a long passage, below the similarity, hide no pair that is above it."""
+    rng = random.Random(count)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(165)]
+    texts = [common + [word() for _ in range(35)] for _ in range(count)]
+    copies = []
+    for i in range(0, count, 10):
+        at = rng.randrange(170, 195)
+        copies.append(texts[i][:at] + [word()] + texts[i][at + 1 :])
+    joined = [" ".join(t) for t in texts + copies]
+    want = plain_keep_one(joined)
+    assert want == set(range(count))
+    assert kept_places(spark, joined) == want
+
+
+def test_near_copies_of_one_text_are_a_chain(spark):
+    """A crowded group: each text is similar to the ones beside it only."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    long = [word() for _ in range(400)]
+    texts = [" ".join(long[i : i + 104]) for i in range(0, 296, 4)]
+    lone = [" ".join(long[i : i + 60] + [word() for _ in range(60)]) for i in range(0, 300, 3)]
+    rng.shuffle(texts)
+    want = plain_keep_one(texts + lone)
+    assert kept_places(spark, texts + lone) == want and len(want & set(range(len(texts)))) == 1
+
+
 # Language
 
 

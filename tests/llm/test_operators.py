@@ -312,6 +312,18 @@ def test_near_copies_of_one_text_are_a_chain(spark):
     assert kept_places(spark, texts + lone) == want and len(want & set(range(len(texts)))) == 1
 
 
+def test_repeats_do_not_hide_near_copies(spark):
+    """Similarity is that of sets: a line once and the same line 40 times."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(8):
+        words, line = [word() for _ in range(200)], [word() for _ in range(12)]
+        texts += [" ".join(words + line), " ".join(words + line * 40)]
+    want = plain_keep_one(texts)
+    assert want == set(range(0, 16, 2)) and kept_places(spark, texts) == want
+
+
 # Language
 
 

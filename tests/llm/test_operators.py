@@ -324,6 +324,15 @@ def test_repeats_do_not_hide_near_copies(spark):
     assert want == set(range(0, 16, 2)) and kept_places(spark, texts) == want
 
 
+def test_a_line_repeated_joins_no_other_texts(spark):
+    """Texts with content of their own stay, however often they hold the same line."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(12)]
+    texts = [" ".join([word() for _ in range(100)] + line * 40) for _ in range(12)]
+    assert plain_keep_one(texts) == set(range(12)) == kept_places(spark, texts)
+
+
 # Language
 
 

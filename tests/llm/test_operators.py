@@ -333,6 +333,18 @@ def test_a_line_repeated_joins_no_other_texts(spark):
     assert plain_keep_one(texts) == set(range(12)) == kept_places(spark, texts)
 
 
+def test_near_copies_of_few_words(spark):
+    """Short texts against the comparison of all pairs, down to no words; 4 of 5 shingles are just similar."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = ["", " \n"]
+    for size in [*range(1, 8), *[8] * 60, *range(9, 30)]:
+        words = [word() for _ in range(size)]
+        texts += [" ".join(words), " ".join(words + [word()])]
+    want = plain_keep_one(texts)
+    assert not want & set(range(17, 137, 2)) and kept_places(spark, texts) == want
+
+
 # Language
 
 

@@ -47,6 +47,21 @@ RULES = (
 BASE = ("assign", "access", "hex")
 VERSION = "1"
 
+#: What may stand between the parts of a key: white space, also as escapes in a string, and marks of quotes.
+_GAP = r"""(?:\\[nrt]|[\s>"',|*#])"""
+_LINE_END = r"""(?:\\[nr]|[\r\n])"""
+#: A private key as a whole: from BEGIN to its END, or, where that is missing, over header fields, base64
+#: lines and a last line that is shorter. Repeats are possessive, so that long texts take one pass.
+PEM_BLOCK = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}*+(?:Proc-Type|DEK-Info):\x20*+[^\s\\]++)*+(?:{_GAP}*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)*+"
+    rf"(?:\x20*+{_LINE_END}{_GAP}*+[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t\x22',]*+(?:{_LINE_END}|\z)))?+)"
+)
+#: The rules to redact by: they cover all of a secret, where RULES may tell no more than where it begins.
+WHOLE = tuple(Rule("pem", PEM_BLOCK) if r.kind == "pem" else r for r in RULES)
+WHOLE_VERSION = f"{VERSION} whole"
+
 FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("clear_from", T.LongType())]))
 
 
@@ -120,8 +135,8 @@ def findings_by_path(df: DataFrame, ledger: str, id_column: str = "doc_id", text
     return paths.join(seen.where(F.size("findings") > 0), "_blob", "left").select(F.col("_path").alias(id_column), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
-def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
-    """df with each finding, or stretch of overlapping findings, replaced by mark.
+def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = WHOLE, version: str = WHOLE_VERSION) -> DataFrame:
+    """df with each finding, or stretch of overlapping findings, replaced by mark; of a private key, the whole block.
 
     Texts without findings, null ones included, stay as they are. Other columns are
     not changed.

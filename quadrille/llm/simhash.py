@@ -228,8 +228,9 @@ def _dealt(rows: np.ndarray, high: np.ndarray, ranges: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(part[starts].astype(np.int64)), pa.array([x.tobytes() for x in np.split(rows, starts[1:])], pa.binary())], ["_range", "_rows"])
 
 
-def frequent_shingles(texts: DataFrame, words: int, ranges: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """The first 32 bits of the hashes of the FREQUENT most frequent shingles of texts (_n, _text), in order, and how often they occur."""
+def frequent_shingles(texts: DataFrame, words: int, ranges: int, share: int = 4, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """The first 32 bits of the hashes of the FREQUENT most frequent shingles of texts (_n, _text), in order, and how
+    often they occur, in one of share texts."""
 
     def deal(batches):
         held, total = [], 0
@@ -252,7 +253,8 @@ def frequent_shingles(texts: DataFrame, words: int, ranges: int, least: int = 8)
             many = times >= least
             yield pa.record_batch([pa.array(found[many].astype(np.int64)), pa.array(times[many].astype(np.int64))], ["_hash", "_times"])
 
-    dealt = texts.select("_n", "_text").mapInArrow(deal, "_range bigint, _rows binary").repartition(ranges, "_range")
+    some = texts.where(F.pmod("_n", F.lit(share)) == 0)
+    dealt = some.select("_n", "_text").mapInArrow(deal, "_range bigint, _rows binary").repartition(ranges, "_range")
     counted = cut(dealt.mapInArrow(count, "_hash bigint, _times bigint"))
     power, held = F.floor(F.log2("_times")), 0
     lowest = 64
@@ -348,26 +350,28 @@ def _batch_of_pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
-def first_links(entries: DataFrame) -> DataFrame:
-    """(u, v): for each row of entries the one that it shares most keys with, of those next to it in a key and
-    of the first ones of its keys. They are no substitute for all pairs, but leave fewer of them open."""
+def first_links(entries: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): for each row of entries the one that it shares most keys with, of those next to it in a key and of
+    the first ones of its keys, if it is a likely one. They are no substitute for all pairs, but leave fewer open."""
 
     def neighbours(batches):
-        key, leader, last = None, 0, 0  # the run that the rows before this batch ended in
+        key, leader, last = None, (0, 0), (0, 0)  # the run that the rows before this batch ended in
         for batch in batches:
-            b, n = (batch.column(i).to_numpy() for i in (0, 1))
+            b, n, size = (batch.column(i).to_numpy() for i in (0, 1, 2))
             if not len(b):
                 continue
             same = np.concatenate([[key is not None and b[0] == key], b[1:] == b[:-1]])
-            before = np.concatenate([[last], n[:-1]])
             starts = np.maximum.accumulate(np.where(same, -1, np.arange(len(b))))
-            heads = np.where(starts >= 0, n[np.maximum(starts, 0)], leader)
-            key, leader, last = b[-1], heads[-1], n[-1]
-            for other, kind in ((before, 0), (heads, 1)):
-                yield pa.record_batch([pa.array(n[same]), pa.array(other[same]), pa.array(np.full(int(same.sum()), kind, np.int32))], ["u", "v", "kind"])
-
-    near = entries.select("_key", "_n").repartition("_key").sortWithinPartitions("_key", "_n").mapInArrow(neighbours, "u bigint, v bigint, kind int")
-    best = near.groupBy("u", "v", "kind").count().groupBy("u", "kind").agg(F.max_by("v", F.struct("count", -F.col("v"))).alias("v"))
+            heads, head_sizes = (np.where(starts >= 0, x[np.maximum(starts, 0)], was) for x, was in zip((n, size), leader))
+            before, sizes_before = (np.concatenate([[was], x[:-1]]) for x, was in zip((n, size), last))
+            key, leader, last = b[-1], (heads[-1], head_sizes[-1]), (n[-1], size[-1])
+            for other, other_size, wanted in ((heads, head_sizes, same), (before, sizes_before, same & (before != heads))):
+                need = least_in_prefixes(size[wanted], other_size[wanted], similarity)
+                yield pa.record_batch([pa.array(n[wanted]), pa.array(other[wanted]), pa.array(need)], ["u", "v", "need"])
+
+    near = entries.select("_key", "_n", "_size").repartition("_key").sortWithinPartitions("_key", "_n").mapInArrow(neighbours, "u bigint, v bigint, need bigint")
+    likely = near.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("2 * shared >= need")
+    best = likely.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
@@ -435,13 +439,13 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
             yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     read = texts.join(nodes, "_n", "left_semi").select("_n", "_text").mapInArrow(compute, "_n bigint, _set binary")
-    sets = cut(read.groupBy("_n").agg(F.first("_set").alias("_set")))
+    sets = read.groupBy("_n").agg(F.first("_set").alias("_set"))
     with_set = lambda x: sets.select(F.col("_n").alias(x), F.col("_set").alias(f"_set_{x}"))
     checked = pairs.join(with_set("u"), "u").join(with_set("v"), "v").select("u", "v", "_set_u", "_set_v")
     return cut(checked.mapInArrow(verify, "u bigint, v bigint"))
 
 
-def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 64) -> DataFrame:
+def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
     """(u, v) of similar texts of texts (_n, _text): enough of them to join all that a chain of similar pairs joins.
 
     The search is exact. Some likely pairs are looked at first; then all pairs that prefixes allow and
@@ -449,7 +453,7 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, mos
     """
     ranges = max(64, 4 * texts.rdd.getNumPartitions())
     entries = prefix_entries(texts, words, similarity, ranges, most)
-    first = similar_pairs(first_links(entries), texts, words, similarity)
+    first = similar_pairs(first_links(entries, similarity), texts, words, similarity)
     rest = similar_pairs(open_pairs(entries, cut(components(first)), similarity), texts, words, similarity)
     return first.unionByName(rest)
 

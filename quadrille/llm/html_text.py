@@ -25,7 +25,9 @@ from quadrille.llm.common import beside, row_columns, table, text_or_empty
 # Fixed values of HTML: elements without content, elements that are never shown, blocks, and
 # blocks with an empty line around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas select textarea noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title datalist iframe svg annotation annotation-xml audio video canvas select textarea noembed noframes".split())
+#: What does not end a head that is not closed.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu".split())
 BLOCKS = SPACED | frozenset("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main nav section summary tr td th caption thead tbody tfoot search".split())
 #: Fixed values of HTML: for a start tag, the open elements that it ends, and those it does not look beyond.
@@ -257,7 +259,7 @@ class Renderer:
                 pass
         if tag in _CELL and self._in_table() and self._nearest(("tr", "table")) != "tr":
             self._start("tr", {})
-        if tag not in VOID and self.open[-1].tag == "head" and tag not in UNSEEN and tag not in ("html", "head"):
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self._close()
         self._start(tag, attrs)
         if tag in VOID:
@@ -367,6 +369,8 @@ class Renderer:
             self.page.block(1)
 
     def text(self, data: str) -> None:
+        if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
+            self._close()
         here = self.open[-1]
         if here.shown and here.seen and not (here.tag == "details" and here.number == 0):
             (self.page.exact if here.exact else self.page.flow)(data.replace("\r\n", "\n") if here.exact else data)

@@ -42,6 +42,11 @@ CASES = [
     ("a<!-- no end", "a"),
     ("a<script>no end", "a"),
     ("<img alt='picture'> text", "picture text"),
+    # what a browser shows beside these
+    ("<head><title>T</title>Hello", "Hello"),
+    ("<head> <meta charset=a><br>x<title>T</title>", "x"),
+    ("so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math>.", "so x=2."),
+    ("<object data=a><param name=b>instead</object> on", "instead on"),
 ]
 
 

@@ -14,15 +14,17 @@ room unused; more groups, not larger ones, take up more documents.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from quadrille.llm.common import cut, table, text_or_empty
+from quadrille.llm.common import beside, cut, row_columns, table, text_or_empty
 
 CAPACITY = 1024
 #: Rows of pieces in a record batch that a worker gives back.
@@ -37,20 +39,35 @@ def _byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-def tokenizer_of(content: bytes, pattern: str) -> tiktoken.Encoding:
-    """The byte-level BPE tokenizer that a JSON file of the tokenizers library describes.
+def tokenizer_of(content: bytes, pattern: str) -> Callable[[str], list[int]]:
+    """The ids of a text by the byte-level BPE tokenizer that a JSON file of the tokenizers library describes.
 
     Its ids are the ranks of its merges, so the faster tiktoken library gives the same
-    ids. Added (special) tokens are left out: their names in a text are ordinary text.
+    ids. The name of an added token in a text is that token, wherever it stands; what is
+    between such names is encoded by itself.
     """
     described = json.loads(content)
-    symbols, added = _byte_symbols(), {t["content"] for t in described["added_tokens"]}
+    symbols, added = _byte_symbols(), {t["content"]: t["id"] for t in described["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in described["added_tokens"]):
+        raise ValueError("added tokens that depend on what is around them are not supported")
     ranks = {bytes(symbols[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in added}
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    plain = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added:
+        return plain
+    names = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+
+    def encode(text: str) -> list[int]:
+        ids, at = [], 0
+        for m in names.finditer(text):
+            ids += [*plain(text[at : m.start()]), added[m[0]]]
+            at = m.end()
+        return ids + plain(text[at:]) if at else plain(text)
+
+    return encode
 
 
 #: The tokenizers of this Python worker, by what they are made from.
-_TOKENIZERS: dict[tuple[int, str], tiktoken.Encoding] = {}
+_TOKENIZERS: dict[tuple[int, str], Callable[[str], list[int]]] = {}
 
 
 def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
@@ -67,7 +84,7 @@ def pieces(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         key = zlib.crc32(content.value), pattern
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = tokenizer_of(content.value, pattern)
-        encode = _TOKENIZERS[key].encode_ordinary
+        encode = _TOKENIZERS[key]
         names = ["_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
             rows, out = [], []
@@ -114,26 +131,25 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(parts: DataFrame, length_column: str = "length", capacity: int = CAPACITY, group_items: int = 1 << 15) -> DataFrame:
-    """parts with sequence_id and offset.
+    """parts with sequence_id and offset, in place of columns of these names.
 
-    parts must give the same rows whenever it is read. Lengths are from 1 to capacity.
-    Rows are dealt to groups by their place in the table, so equal rows don't meet in
-    one group. An empty table gives an empty result.
+    Lengths are from 1 to capacity. Rows are dealt to groups by their place in the
+    table, so equal rows don't meet in one group. An empty table gives an empty result.
     """
-    numbered = cut(parts.withColumn("_row", F.monotonically_increasing_id()))
-    short = numbered.where(F.col(length_column) < capacity)
+    numbered = cut(beside(parts, _length=F.col(length_column).cast("long"), _number=F.monotonically_increasing_id()))
+    short = numbered.where(F.col("_length") < capacity)
     groups = max(1, -(-short.count() // group_items))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema]
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(length_column, "descending"), ("_row", "ascending")])
-        sequence, offset = sum_of_squares(group.column(length_column).to_numpy(), capacity)
+        group = group.sort_by([("_length", "descending"), ("_number", "ascending")])
+        sequence, offset = sum_of_squares(group.column("_length").to_numpy(), capacity)
         ids = sequence + (group.column("_group")[0].as_py() << 32)
-        return group.drop_columns(["_row", "_group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return group.select(["_row"]).append_column("_sequence", pa.array(ids)).append_column("_offset", pa.array(offset))
 
-    packed = short.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInArrow(run, ", ".join([*schema, "sequence_id bigint", "offset bigint"]))
-    full = numbered.where(F.col(length_column) == capacity).withColumn("sequence_id", -1 - F.col("_row")).withColumn("offset", F.lit(0).cast("long")).drop("_row")
-    return packed.unionByName(full)
+    schema = T.StructType([numbered.schema["_row"], T.StructField("_sequence", T.LongType()), T.StructField("_offset", T.LongType())])
+    packed = short.withColumn("_group", F.pmod(F.xxhash64("_number"), F.lit(groups))).groupBy("_group").applyInArrow(run, schema)
+    full = numbered.where(F.col("_length") == capacity).select("_row", (-1 - F.col("_number")).alias("_sequence"), F.lit(0).cast("long").alias("_offset"))
+    return packed.unionByName(full).select(*row_columns(parts, ("sequence_id", "offset")), F.col("_sequence").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def pack_documents(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 2, group_items: int = 1 << 15) -> DataFrame:

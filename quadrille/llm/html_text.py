@@ -6,6 +6,10 @@ close, a renderer lays out the text that is visible: blocks on lines of their ow
 paragraphs and the like parted by an empty line, list items with marks and
 indented, table cells in columns, preformatted text as it is. No node is kept
 longer than it is open, and nothing recurses, so depth and length don't matter.
+Work and text grow in proportion to the page: lines are indented by INDENT spaces at
+most, a table has COLUMNS columns (further cells follow two spaces apart), and the
+cells of all tables are padded by four times the page's length at most; tables that
+would take more have their cells two spaces apart.
 
 Malformed input gives some text and no error, as in a browser.
 """
@@ -13,9 +17,10 @@ Malformed input gives some text and no error, as in a browser.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -53,6 +58,8 @@ ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\
 #: The attributes that matter to what is seen.
 READ = re.compile("style|hidden|open|alt|start|span", re.I)
 #: Elements whose content has no tags, and their ends.
+#: Spaces that a line is indented at most, and columns of a table that are kept apart.
+INDENT, COLUMNS = 32, 500
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
 
@@ -136,61 +143,64 @@ class Page:
 
 @dataclass
 class Grid:
-    """A table in the making: rows of (cell lines, columns it spans); cells that span rows from above."""
+    """A table in the making: rows of cells (column, columns it spans, lines), and where cells reach down."""
 
-    rows: list[list[tuple[list[str], int]]] = field(default_factory=list)
-    below: dict[int, tuple[int, int]] = field(default_factory=dict)
-    later: list[tuple[int, int, int]] = field(default_factory=list)
+    rows: list[list[tuple[int, int, list[str]]]] = field(default_factory=list)
+    #: By column: how many columns the cell has that reaches down there, and its last row.
+    reached: dict[int, tuple[int, int]] = field(default_factory=dict)
+    at: int = 0
     caption: list[str] = field(default_factory=list)
 
     def begin_row(self) -> None:
         self.rows.append([])
-        self._fill()
-
-    def _fill(self) -> None:
-        """Empty cells where one from above reaches down."""
-        while (at := sum(n for _, n in self.rows[-1])) in self.below:
-            span, left = self.below.pop(at)
-            if left > 1:
-                self.below[at] = (span, left - 1)
-            self.rows[-1].append(([], span))
+        self.at = 0
 
     def add(self, lines: list[str], columns: int, rows: int) -> None:
+        """A cell in the next column that no cell from above reaches."""
         if not self.rows:
             self.begin_row()
-        at = sum(n for _, n in self.rows[-1])
-        self.rows[-1].append((lines, columns))
-        if rows > 1:
-            self.later.append((at, columns, rows - 1))
-        self._fill()
-
-    def end_row(self) -> None:
-        for at, span, left in self.later:
-            self.below[at] = (span, left)
-        self.later = []
-
-    def lines(self) -> list[str]:
-        """Columns as wide as their widest cell, two spaces apart. A cell over several columns widens the last."""
-        rows = [r for r in self.rows if any(lines for lines, _ in r)]
-        widths = [0] * max((sum(n for _, n in r) for r in rows), default=0)
+        here = len(self.rows) - 1
+        while (above := self.reached.get(self.at)) and above[1] >= here:
+            self.at += above[0]
+        at = min(self.at, COLUMNS)
+        columns = max(1, min(columns, COLUMNS - at))
+        self.rows[-1].append((at, columns, lines))
+        if rows > 1 and at < COLUMNS:
+            self.reached[at] = (columns, here + rows - 1)
+        self.at = at + columns
+
+    def lines(self, room: int) -> tuple[list[str], int]:
+        """The table's lines, and how much they are padded: columns as wide as their widest cell, two spaces
+        apart, or, where that takes more than room spaces, cells two spaces apart. A cell over several
+        columns widens the last."""
+        rows = [r for r in self.rows if any(lines for *_, lines in r)]
+        widths = [0] * (max((at + n for r in rows for at, n, _ in r), default=0) + 1)
         for spanning in (False, True):
             for r in rows:
-                at = 0
-                for lines, n in r:
+                for at, n, lines in r:
                     if (n > 1) == spanning:
-                        room = sum(widths[at : at + n]) + 2 * (n - 1)
-                        widths[at + n - 1] += max(0, max(map(len, lines), default=0) - room)
-                    at += n
-        out = list(self.caption)
+                        widths[at + n - 1] += max(0, max(map(len, lines), default=0) - sum(widths[at : at + n]) - 2 * (n - 1))
+        starts = [0, *accumulate(w + 2 for w in widths)]
+        out: list[list[tuple[int, str]]] = []
         for r in rows:
-            for k in range(max(len(lines) for lines, _ in r)):
-                parts, at = [], 0
-                for lines, n in r:
-                    room = sum(widths[at : at + n]) + 2 * (n - 1)
-                    parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                    at += n
-                out.append("  ".join(parts).rstrip(" "))
-        return out
+            of_row: list[list[tuple[int, str]]] = [[] for _ in range(max(len(lines) for *_, lines in r))]
+            for at, _, lines in r:
+                for k, text in enumerate(lines):
+                    if text:
+                        of_row[k].append((starts[at], text))
+            out += of_row
+        padding = sum(line[-1][0] - sum(len(text) for _, text in line[:-1]) for line in out if line)
+        if padding > room:
+            return self.caption + ["  ".join(text for _, text in line).rstrip(" ") for line in out], 0
+        made = list(self.caption)
+        for line in out:
+            parts, length = [], 0
+            for start, text in line:
+                gap = max(start - length, 2 if length else 0)
+                parts += [" " * gap, text]
+                length += gap + len(text)
+            made.append("".join(parts).rstrip(" "))
+        return made, padding
 
 
 @dataclass
@@ -212,11 +222,12 @@ def _whole(value: str | None, most: int) -> int:
 
 
 class Renderer:
-    def __init__(self):
-        self.page = Page()
+    def __init__(self, room: int = 1 << 20):
+        """room: so many spaces may be spent to align the cells of tables."""
+        self.page, self.room = Page(), room
         self.open: list[Element] = [Element("#root", True, True, False)]
-        #: How many elements of each tag are open, so that most searches need not begin.
-        self.counts: Counter[str] = Counter()
+        #: The places in open of the elements of each tag.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
 
     # Tags
 
@@ -272,23 +283,22 @@ class Renderer:
         elif tag not in VOID:
             self._end_first((tag,), scope)
 
+    def _innermost(self, tags) -> int:
+        """The place of the innermost open element of these tags; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
     def _end_first(self, tags, scope) -> bool:
         """Close the innermost open element of these tags and all in it, unless one of scope comes first."""
-        if not any(self.counts[t] for t in tags):
+        at = self._innermost(tags)
+        if not at or self._innermost(scope) > at:
             return False
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                while len(self.open) > k:
-                    self._close()
-                return True
-            if self.open[k].tag in scope:
-                return False
-        return False
+        while len(self.open) > at:
+            self._close()
+        return True
 
     def _nearest(self, tags) -> str | None:
-        if not any(self.counts[t] for t in tags):
-            return None
-        return next((e.tag for e in reversed(self.open) if e.tag in tags), None)
+        at = self._innermost(tags)
+        return self.open[at].tag if at else None
 
     def _in_table(self) -> bool:
         return self._nearest(("table",)) is not None
@@ -305,8 +315,8 @@ class Renderer:
         here = Element(tag, seen, shown, (above.exact or tag in ("pre", "listing", "xmp") or "white-space:pre" in style) and "white-space:normal" not in style)
         if tag == "details":
             here.number = 0 if "open" not in attrs else None
+        self.places[tag].append(len(self.open))
         self.open.append(here)
-        self.counts[tag] += 1
         if not shown:
             return
         if tag in BLOCKS and tag not in _CELL:
@@ -321,14 +331,13 @@ class Renderer:
             start = attrs.get("start") or "1"
             here.number = (int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1) if tag == "ol" else None
         elif tag in ("li", "dd", "blockquote"):
-            here.indent, self.page.indent = self.page.indent, self.page.indent + "  "
+            here.indent, self.page.indent = self.page.indent, (self.page.indent + "  ")[:INDENT]
             if tag == "li":
-                owner = next((e for e in reversed(self.open) if e.tag in ("ol", "ul", "menu", "dir")), None)
-                mark = "- "
-                if owner is not None and owner.number is not None:
+                owner, mark = self.open[self._innermost(("ol", "ul", "menu", "dir"))], "- "
+                if owner.number is not None:
                     mark, owner.number = f"{owner.number}. ", owner.number + 1
                 outer = here.indent if self.page.first is None else self.page.first
-                self.page.indent, self.page.first = here.indent + " " * len(mark), outer + mark
+                self.page.indent, self.page.first = (here.indent + " " * len(mark))[:INDENT], outer[:INDENT] + mark
         elif tag == "table":
             here.grid = Grid()
         elif tag in ("tr", *_CELL, "caption") and (grid := self._grid()) is not None:
@@ -339,13 +348,12 @@ class Renderer:
                 here.columns, here.rows = _whole(attrs.get("colspan"), 1000), _whole(attrs.get("rowspan"), 65534)
 
     def _grid(self) -> Grid | None:
-        if not self.counts["table"]:
-            return None
-        return next((e.grid for e in reversed(self.open) if e.tag == "table"), None)
+        at = self._innermost(("table",))
+        return self.open[at].grid if at else None
 
     def _close(self) -> None:
         here = self.open.pop()
-        self.counts[here.tag] -= 1
+        self.places[here.tag].pop()
         if not here.shown:
             return
         if here.holder is not None:
@@ -355,11 +363,11 @@ class Renderer:
                 grid.caption = lines
             else:
                 grid.add([] if lines == [""] else lines, here.columns, here.rows)
-        elif here.tag == "tr" and (grid := self._grid()) is not None:
-            grid.end_row()
         elif here.grid is not None:
             self.page.block(2)  # text between the cells came before the table
-            self.page.rows(here.grid.lines())
+            lines, padding = here.grid.lines(self.room)
+            self.room -= padding
+            self.page.rows(lines)
         if here.indent is not None:
             self.page._end()
             self.page.indent, self.page.first = here.indent, None
@@ -382,13 +390,16 @@ class Renderer:
 
 
 def visible_text(html: str) -> str:
-    renderer = Renderer()
+    renderer = Renderer(4 * len(html) + 1000)
     renderer.feed(html)
     return renderer.finish()
 
 
 def extract_text(df: DataFrame, html_column: str = "html", to: str = "text") -> DataFrame:
-    """df with the html column replaced by its visible text; a null or empty page gives an empty text."""
+    """df with the html column replaced by its visible text; a null or empty page gives an empty text.
+
+    Repeated rows give the same text each; an empty table gives an empty result.
+    """
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

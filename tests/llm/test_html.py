@@ -4,6 +4,8 @@ import time
 
 import pytest
 
+from hypothesis import given, settings, strategies as st
+
 from quadrille.llm.html_text import extract_text, visible_text
 
 CASES = [
@@ -62,6 +64,67 @@ def test_odd_pages_take_linear_time(html):
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize("html", ["<table>" + "<tr><td rowspan=60000>x" * 1500, "<table><tr>" + "<td>x" * 10_000, "<ul><li>x" * 4000, "<table><tr><td>" + "w" * 8000 + "<td>b" + "<tr><td>a<td>b" * 2800, "<p><template>" + "<span>" * 4000 + "<div>" * 4000, "<blockquote>x" * 3000, "<ul><li>" * 5000 + "x", ("<table><tr><td>" + "w" * 300 + "<td>") * 60 + "x<br>" * 3000, "<table><tr><td colspan=1000>x" + "<td colspan=1000>y" * 2500])
+def test_odd_pages_give_text_in_proportion(html):
+    began = time.time()
+    text = visible_text(html)
+    assert time.time() - began < 3 and len(text) < 10 * len(html)
+
+
+def plain_table(rows: list[list[tuple[str, int, int]]]) -> str:
+    """A table laid out on a grid of places, cell by cell."""
+    taken, cells = set(), []
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in taken:
+                c += 1
+            taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+            cells.append((r, c, across, text))
+            c += across
+    widths = {}
+    for spanning in (False, True):
+        for _, c, across, text in cells:
+            if (across > 1) == spanning:
+                room = sum(widths.get(k, 0) for k in range(c, c + across)) + 2 * (across - 1)
+                widths[c + across - 1] = widths.get(c + across - 1, 0) + max(0, len(text) - room)
+    lines = []
+    for r in range(len(rows)):
+        line = ""
+        for _, c, _, text in [x for x in cells if x[0] == r and x[3]]:
+            line = line.ljust(sum(widths.get(k, 0) + 2 for k in range(c))) + text
+        if line:
+            lines.append(line)
+    return "\n".join(lines)
+
+
+#: No cell reaches into one that spans columns: HTML lets those overlap, in ways that layouts differ on.
+CELLS = st.tuples(st.text("abc", max_size=6), st.just(1), st.integers(1, 3))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(CELLS, max_size=4), max_size=5), st.lists(st.tuples(st.text("abc", max_size=9), st.integers(1, 3), st.just(1)), max_size=3))
+def test_tables_against_a_grid(rows, head):
+    rows = [head, *rows]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}</td>" for t, a, d in row) for row in rows) + "</table>"
+    assert visible_text(html) == plain_table(rows)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["one ", "two ", "x&amp;y ", "<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<ul>", "<li>", "</ul>", "<br>", "<table><tr><td>", "<td>", "<tr>", "</table>", "<!-- no -->", "<h1>", "</h1>", "</nothing>", "<pre>", "</pre>"]), max_size=40))
+def test_no_word_is_lost(parts):
+    """Words come out once each, whatever tags are open, but for cells beside each other in their order."""
+    want = sorted(p.replace("&amp;", "&").strip() for p in parts if not p.startswith("<"))
+    assert sorted(w for w in visible_text("".join(parts)).replace("-", " ").split()) == want
+
+
+def test_clashing_names_stay(spark):
+    df = spark.createDataFrame([(1, "<p>a", "mine", "mine", "mine", "mine")], "page_id bigint, html string, _row string, _text string, _html string, text string")
+    rows = extract_text(df)
+    assert rows.columns == ["page_id", "_row", "_text", "_html", "text"]
+    assert tuple(rows.first()) == (1, "mine", "mine", "mine", "a")
+
+
 def test_table_of_pages(spark):
     df = spark.createDataFrame([(1, None, "keep"), (2, "", "keep"), (3, "<p>a<p>b", "keep"), (3, "<p>a<p>b", "keep")], "page_id bigint, html string, _row string")
     rows = extract_text(df)

@@ -2,10 +2,12 @@
 
 A text is a blob, addressed by its SHA-256; the rows that hold it are its paths.
 The ledger is a table with one row (_blob, rule_version, findings) for every blob
-that was scanned under a version of the rules, also for blobs without findings.
+that was scanned under a version of the rules, also for blobs without findings. The
+version is made of the rules themselves, so that other rules never find old results.
 A scan takes the blobs of all rows, leaves out those that the ledger has under
 the same version, scans one copy of each of the rest, appends them to the
-ledger and joins the findings back to all paths.
+ledger and joins the findings back to all paths. An append that is repeated, or that two
+scans make at the same time, does no harm: the ledger is read with each blob once.
 
 Spans come from two expressions on the text: the matches, and the stretches
 between matches; their running lengths give the places, in code points.
@@ -13,6 +15,7 @@ between matches; their running lengths give the places, in code points.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -45,6 +48,7 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 BASE = ("assign", "access", "hex")
+#: To be changed if find() comes to see rules in another way.
 VERSION = "1"
 
 #: What may stand between the parts of a key: white space, also as escapes in a string, and marks of quotes.
@@ -60,7 +64,12 @@ PEM_BLOCK = (
 )
 #: The rules to redact by: they cover all of a secret, where RULES may tell no more than where it begins.
 WHOLE = tuple(Rule("pem", PEM_BLOCK) if r.kind == "pem" else r for r in RULES)
-WHOLE_VERSION = f"{VERSION} whole"
+
+
+def version_of(rules: tuple[Rule, ...], version: str = VERSION) -> str:
+    """What the ledger knows these rules by."""
+    return f"{version} {hashlib.sha256(repr(rules).encode()).hexdigest()[:16]}"
+
 
 FINDINGS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("clear_from", T.LongType())]))
 
@@ -101,26 +110,28 @@ def find(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def scan(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, version: str = VERSION) -> DataFrame:
-    """Bring the ledger (a Parquet folder) up to date with df and return df's part of it.
+    """Bring the ledger (a Parquet folder) up to date with df and return what it has under these rules.
 
-    Returns _blob and findings (array, may be empty) for each blob of df. Null and
-    empty texts are one blob, without findings.
+    Returns _blob and findings (array, may be empty) for each blob that was scanned, of
+    df or before. Null and empty texts are one blob, without findings. Rows that repeat
+    a text are one blob; an empty table adds nothing.
     """
-    spark = df.sparkSession
+    spark, known_by = df.sparkSession, version_of(rules, version)
     paths = df.select(F.col(id_column).alias("_path"), _blob(text_column).alias("_blob"))
     blobs = paths.groupBy("_blob").agg(F.min("_path").alias("_path"))
     known = _ledger(spark, ledger)
     if known is not None:
-        blobs = blobs.join(known.where(F.col("rule_version") == version), "_blob", "left_anti")
+        blobs = blobs.join(known.where(F.col("rule_version") == known_by), "_blob", "left_anti")
     unseen = cut(blobs)
     texts = df.select(F.col(id_column).alias("_of"), text_or_empty(text_column).alias("_text"), _blob(text_column).alias("_digest"))
     one = texts.join(unseen, (texts["_digest"] == unseen["_blob"]) & texts["_of"].eqNullSafe(unseen["_path"]), "left_semi").select(F.col("_digest").alias("_blob"), "_text")
-    rows = unseen.select("_blob").join(find(one, rules), "_blob", "left").select("_blob", F.lit(version).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    rows = unseen.select("_blob").join(find(one, rules), "_blob", "left").select("_blob", F.lit(known_by).alias("rule_version"), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
     rows.write.mode("append").parquet(ledger)
-    return _ledger(spark, ledger).where(F.col("rule_version") == version).select("_blob", "findings")
+    return _ledger(spark, ledger).where(F.col("rule_version") == known_by).select("_blob", "findings").dropDuplicates(["_blob"])
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger as it is, blobs that were appended twice included; None if there is none yet."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return None
@@ -135,7 +146,7 @@ def findings_by_path(df: DataFrame, ledger: str, id_column: str = "doc_id", text
     return paths.join(seen.where(F.size("findings") > 0), "_blob", "left").select(F.col("_path").alias(id_column), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
-def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = WHOLE, version: str = WHOLE_VERSION) -> DataFrame:
+def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = WHOLE, version: str = VERSION) -> DataFrame:
     """df with each finding, or stretch of overlapping findings, replaced by mark; of a private key, the whole block.
 
     Texts without findings, null ones included, stay as they are. Other columns are

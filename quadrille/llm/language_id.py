@@ -99,24 +99,30 @@ def fit_rows(rows: np.ndarray, languages: list[str], s: Settings) -> Model:
 
 
 def fit(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", language_column: str = "lang", settings: Settings = Settings()) -> Model | None:
-    """Fit on df's rows with a language and a letter; None if there are none."""
+    """Fit on df's rows with a language and a letter; None if there are none.
+
+    Rows that repeat id and language, null ids included, count once: of their presence
+    rows the smallest is taken.
+    """
     s = settings
-    named = df.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(language_column).alias("_language"), F.xxhash64(id_column).alias("_hash"))
+    named = df.where(F.col(language_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(language_column).alias("_language"), F.xxhash64(id_column).alias("_hash")).distinct()
     # As many from each of PARTS parts of a language, dealt by the hash, so that no task has a whole language.
     part = W.partitionBy("_language", F.pmod("_hash", F.lit(PARTS))).orderBy("_hash", "_id")
     first = named.withColumn("_n", F.row_number().over(part)).where(F.col("_n") <= -(-s.per_language // PARTS))
-    sample = first.orderBy("_n", "_language").limit(s.sample_rows).select("_id", "_language").distinct()
+    sample = first.orderBy("_n", "_language", "_hash", "_id").limit(s.sample_rows).select("_id", "_language")
 
     def compute(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, s.batch):
                 part = batch.slice(at, s.batch)
-                bits = [np.packbits(presence(t.as_py(), s)).tobytes() for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array(bits, pa.binary())], ["_language", "_bits"])
-
-    texts = df.select(F.col(id_column).alias("_of"), F.col(language_column).alias("_lang"), text_or_empty(text_column).alias("_text"))
-    chosen = texts.join(F.broadcast(sample), F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_lang") == F.col("_language"))).select("_language", "_text")  # sample_rows ids at most
-    found = sorted((r["_language"], bytes(r["_bits"])) for r in chosen.mapInArrow(compute, "_language string, _bits binary").limit(2 * s.sample_rows).collect())
+                bits = [np.packbits(presence(t.as_py(), s)).tobytes() for t in part.column(2)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(bits, pa.binary())], ["_id", "_language", "_bits"])
+
+    texts = df.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("_of"), F.col(language_column).alias("_lang"), F.col(text_column).alias("_text"))
+    chosen = texts.join(F.broadcast(sample), F.col("_of").eqNullSafe(F.col("_id")) & (F.col("_lang") == F.col("_language"))).select("_id", "_language", "_text")  # sample_rows ids at most
+    made = chosen.mapInArrow(compute, T.StructType([chosen.schema["_id"], chosen.schema["_language"], T.StructField("_bits", T.BinaryType())]))
+    once = made.groupBy("_id", "_language").agg(F.min("_bits").alias("_bits"))  # sample_rows rows at most
+    found = sorted((r["_language"], bytes(r["_bits"])) for r in once.collect())
     found = [(language, bits) for language, bits in found if any(bits)]
     if not found:
         return None
@@ -128,6 +134,7 @@ def predict(df: DataFrame, model: Model | None, text_column: str = "text") -> Da
     """df with lang_pred and score (0 to 1) for each row, in place of columns of these names.
 
     und, with score 0, if the text is null or has no letter, or nothing was learned.
+    Repeated rows are predicted alike, each for itself; an empty table gives an empty result.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)  # landmarks x buckets numbers
 

@@ -130,12 +130,13 @@ def _values(counts: np.ndarray) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", settings: Settings = Settings()) -> Model:
     """Fit on the documents that labels has a label for. Rows of null id or null label are left out;
-    a repeated id counts once in labels. Without any label the score is 0.5 for every text."""
+    a repeated id counts once, by its largest label and by the first of its texts' term lists in order.
+    Without any label, or any document, the score is 0.5 for every text."""
     s = settings
     known = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.max(F.col(label_column).cast("int")).alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(s.sample_rows)
     texts = documents.select(F.col(id_column).alias("_of"), text_or_empty(text_column).alias("_text"))
-    labelled = texts.join(F.broadcast(sample), F.col("_of") == F.col("_id")).select("_id", "_y", "_text")  # sample_rows rows at most
+    labelled = texts.join(F.broadcast(sample), F.col("_of") == F.col("_id")).select("_id", "_y", "_text")  # sample_rows ids at most
 
     def count(batches):
         counter = TermCounter(s.buckets)
@@ -146,7 +147,9 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["_id", "_y", "_terms", "_counts"])
 
     kind = labelled.schema["_id"].dataType.simpleString()
-    counted = cut(labelled.mapInArrow(count, f"_id {kind}, _y int, _terms array<int>, _counts array<int>"))
+    every = labelled.mapInArrow(count, f"_id {kind}, _y int, _terms array<int>, _counts array<int>")
+    once = every.groupBy("_id", "_y").agg(F.min(F.struct("_terms", "_counts")).alias("_found"))
+    counted = cut(once.select("_id", "_y", "_found.*"))  # sample_rows rows at most
     rows, toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     # The G statistic of each bucket's presence against the label, from its counts in both classes.
     of_term = counted.select("_y", F.explode("_terms").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n1")).where("n >= 3")
@@ -172,7 +175,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 def score(df: DataFrame, model: Model, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """df with a score from 0 to 1 for each row, in place of a column of that name; null texts count as empty, and an empty text
-    scores the share of label 1 as the machine's bias has it."""
+    scores the share of label 1 as the machine's bias has it. Repeated rows score alike, each for itself; an empty table gives
+    an empty result."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: settings.terms rows
 
     def run(batches):

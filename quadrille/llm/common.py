@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set as the checkpoint folder.
+    Only where the session names none and runs on one machine, as in tests, a temporary
+    folder is made and set as the checkpoint folder; elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if (own := spark.sparkContext.getCheckpointDir()) is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -55,6 +58,17 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, runs: int = 64) -> DataFrame:
+    """rows joined with values, which has one row a key.
+
+    Rows of a key that many share are dealt to runs by the column by, and each run gets
+    the key's values once, so that such rows meet their value in many tasks.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(runs)))
+    copies = dealt.select(key, "_part").distinct().join(values, key)
+    return dealt.join(copies, [key, "_part"]).drop("_part")
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -14,15 +14,16 @@ a key, and only fingerprints with a key in common are compared. No pair within r
 is lost. Many more bands than r make keys more selective, at more keys a row.
 
 Equal fingerprints are one node. A key that more than ``most`` fingerprints share
-(clusters of near copies) is not expanded into pairs: its fingerprints emit
-themselves and their 64 one-bit changes. For r = 2, two fingerprints have such a
-neighbour in common exactly if they are within r, and at most 65 can share one;
-so those groups are bounded and each gives links to its smallest member.
+(clusters of near copies) is not expanded into pairs: its fingerprints go on to a step
+with more and narrower bands, whose keys hold more of the coordinates. In the last
+step only r pairs of bits are left out of a key, and references for single bits tell
+all fingerprints apart, so that at most 4^r can share one. A pair within r shares a
+key in every step; it is found in the first one where such a key is not crowded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm.common import beside, cut, row_columns, table, text_or_empty
+from quadrille.llm.common import beside, cut, looked_up, row_columns, table, text_or_empty
 from quadrille.llm.components import components
 
 BITS = 64
@@ -72,9 +73,17 @@ def fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
     return rows.mapInArrow(compute, f"_id {kind}, _fp bigint")
 
 
-def references(width: int = 2) -> np.ndarray:
-    """Zero and a mask for each width neighbouring bits."""
-    return np.array([0] + [((1 << width) - 1) << i for i in range(0, BITS, width)], np.uint64)
+#: Pairs of neighbouring bits, each with a mask among the references.
+PAIRS = BITS // 2
+#: Bands that the pairs are dealt to, step by step; in the last step each pair is a band.
+BANDS = (6, 12, PAIRS)
+
+
+def references(fine: bool = False) -> np.ndarray:
+    """Zero and a mask for each pair of neighbouring bits; if fine, also one for the first bit of
+    each, so that the distances tell all fingerprints apart."""
+    masks = [0b11 << i for i in range(0, BITS, 2)] + [1 << i for i in range(0, BITS, 2)] * fine
+    return np.array([0, *masks], np.uint64)
 
 
 def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -91,9 +100,9 @@ def _mixed(parts: np.ndarray, start: int) -> np.ndarray:
 
 
 def keys(distances: np.ndarray, radius: int, bands: int) -> Iterator[np.ndarray]:
-    """A key of each row for each choice of bands - radius bands, from the distances in them."""
+    """A key of each row for each choice of bands - radius bands, from the distances to their pairs' masks."""
     relative = distances[:, 1:] - distances[:, :1]  # modulo 256, which keeps them apart
-    inside = np.array_split(np.arange(relative.shape[1]), bands)
+    inside = [np.concatenate([x + at for at in range(0, relative.shape[1], PAIRS)]) for x in np.array_split(np.arange(PAIRS), bands)]
     for k, chosen in enumerate(combinations(inside, bands - radius)):
         yield _mixed(relative[:, np.concatenate(chosen)], k)
 
@@ -106,12 +115,10 @@ def _table_of(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width).astype(np.int16)
 
 
-def links(distinct: DataFrame, radius: int = 2, bands: int = 6, most: int = 32) -> DataFrame:
-    """(u, v) for fingerprints of distinct (_fp) within radius: all such pairs, but in
-    crowded keys only enough of them to join all that a chain of such pairs joins."""
-    if not 0 <= radius <= 2:
-        raise ValueError("the exact way for crowded keys needs a radius of 0 to 2")
-    refs = references()
+def _near_in_keys(active: DataFrame, radius: int, bands: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Fingerprints of active (_fp) by the keys that two or more share, with how many do (_key, _fp, _n);
+    and what makes the pairs (u, v) within radius of such rows."""
+    refs = references(fine=bands == PAIRS)
 
     def keyed_rows(batches):
         for batch in batches:
@@ -132,29 +139,34 @@ def links(distinct: DataFrame, radius: int = 2, bands: int = 6, most: int = 32)
             near &= np.bitwise_count(_numbers(batch.column(0)) ^ _numbers(batch.column(1))) <= radius
             yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(near))
 
-    keyed = cut(distinct.select("_fp").mapInArrow(keyed_rows, "_key bigint, _fp bigint"))
+    def verified(rows: DataFrame) -> DataFrame:
+        tables = rows.select("_key", "_fp").mapInArrow(with_table, "_key bigint, _fp bigint, _d binary")
+        left, right = (tables.select("_key", F.col("_fp").alias(x), F.col("_d").alias(f"_d{x}")) for x in "uv")
+        pairs = left.join(right, "_key").where("u < v").select("u", "v", "_du", "_dv")
+        return pairs.mapInArrow(verify, "u bigint, v bigint")
+
+    keyed = cut(active.select("_fp").mapInArrow(keyed_rows, "_key bigint, _fp bigint"))
     shared = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    members = cut(keyed.join(shared, "_key"))
-
-    few = members.where(F.col("_n") <= most).select("_key", "_fp").mapInArrow(with_table, "_key bigint, _fp bigint, _d binary")
-    left, right = (few.select("_key", F.col("_fp").alias(x), F.col("_d").alias(f"_d{x}")) for x in "uv")
-    pairs = left.join(right, "_key").where("u < v").select("u", "v", "_du", "_dv")
-    verified = pairs.mapInArrow(verify, "u bigint, v bigint")
-
-    crowded = members.where(F.col("_n") > most).select("_fp").distinct()
-    flips = [0] if radius == 0 else [0] + [(1 << i) - (1 << BITS) * (i == BITS - 1) for i in range(BITS)]
-    changed = F.explode(F.transform(F.lit(flips).cast("array<bigint>"), lambda x: F.col("_fp").bitwiseXOR(x)))
-    near = crowded.select(F.col("_fp").alias("u"), changed.alias("_near"))
-    if radius == 2:
-        # Not more than 65 fingerprints have a neighbour in common.
-        meet = near.groupBy("_near").agg(F.collect_list("u").alias("_all")).where(F.size("_all") > 1)
-        dense = meet.select(F.explode("_all").alias("u"), F.array_min("_all").alias("v")).where("u <> v")
-    else:
-        dense = near.where("u <> _near").join(crowded, near["_near"] == crowded["_fp"], "left_semi").select("u", F.col("_near").alias("v"))
-    return verified.unionByName(dense).distinct()
-
-
-def groups(prints: DataFrame, radius: int = 2, bands: int = 6, most: int = 32, runs: int = 64) -> DataFrame:
+    return cut(keyed.join(shared, "_key")), verified
+
+
+def links(distinct: DataFrame, radius: int = 2, bands: tuple[int, ...] = BANDS, most: int = 32) -> DataFrame:
+    """(u, v), u < v, for all pairs of fingerprints of distinct (_fp) within radius."""
+    if not 0 <= radius < bands[0] or bands[-1] != PAIRS:
+        raise ValueError(f"the radius must be less than the first number of bands, and the last one {PAIRS}")
+    active, found = distinct, None
+    for many in bands:
+        members, verified = _near_in_keys(active, radius, many)
+        open_ones = cut(members.where(F.col("_n") > most).select("_fp").distinct()) if many < PAIRS else None
+        pairs = verified(members if open_ones is None else members.where(F.col("_n") <= most))
+        found = pairs if found is None else found.unionByName(pairs)
+        if open_ones is None or not open_ones.take(1):
+            break
+        active = open_ones
+    return found.distinct()
+
+
+def groups(prints: DataFrame, radius: int = 2, bands: tuple[int, ...] = BANDS, most: int = 32, runs: int = 64) -> DataFrame:
     """component_id for each row (_id, _fp) of prints: the smallest id that links reach.
 
     prints must give the same rows whenever it is read. Null ids take part; they count
@@ -166,13 +178,13 @@ def groups(prints: DataFrame, radius: int = 2, bands: int = 6, most: int = 32, r
     roots = cut(components(links(distinct.select("_fp"), radius, bands, most)))
     linked = distinct.join(roots, distinct["_fp"] == roots["node"]).select("_fp", "root", "_least")
     least = linked.groupBy("root").agg(F.min("_least").alias("component_id"))
-    of_linked = roots.join(least, "root").select(F.col("node").alias("_fp"), "component_id")
+    of_linked = looked_up(roots, least, "root", "node").select(F.col("node").alias("_fp"), "component_id")
     of_all = distinct.join(of_linked, "_fp", "left").select("_fp", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("_least")).alias("component_id"))
     # By way of the runs, so that a fingerprint that many rows share meets in many tasks.
     return dealt.join(in_runs.select("_run", "_fp").join(of_all, "_fp"), ["_run", "_fp"]).select("_id", "_fp", "component_id")
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 2, bands: int = 6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, radius: int = 2, bands: tuple[int, ...] = BANDS) -> DataFrame:
     """id, _fp and component_id for each row of df.
 
     Null, empty and blank texts have fingerprint 0 and are linked like any other. Rows

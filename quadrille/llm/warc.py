@@ -5,8 +5,10 @@ size one is a response, the others are revisits that refer to it and carry the H
 headers only. Records are written with Spark's text writer (a record's last line end
 is the writer's line separator), so the archive lies wherever Spark can write.
 
-Reading: archive files are read whole, one at a time (their size is bounded by the
-number of records a file), and parsed by their Content-Length.
+Files are compressed with gzip.
+
+Reading: archive files are read whole (their size is bounded, see FILES) and parsed
+by their Content-Length.
 
 Index: each archive file gives a run of captures, sorted by URL key (host labels
 turned round, so that a site's captures are next to each other), time and record.
@@ -18,6 +20,7 @@ order is its place in its range, after the sizes of the ranges before.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -25,34 +28,32 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadrille.llm.common import cut, fresh_path, shared_dir, table, text_or_empty
+from quadrille.llm.common import cut, fresh_path, remove, table, text_or_empty
 
 CRLF = "\r\n"
 #: Payloads of fewer bytes are always written out.
 LEAST_REVISIT = 1000
-#: Records in an archive file at most.
-FILE_RECORDS = 1024
+#: Payloads of so many bytes or fewer share a file with up to so many records; a file has 64 MiB of
+#: payloads at most. Larger payloads have a file each.
+FILES = ((1 << 16, 1024), (1 << 21, 32), (None, 1))
 HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 
 
-def with_revisits(pages: DataFrame, id_column: str = "page_id", payload_column: str = "html", least: int = LEAST_REVISIT, runs: int = 64) -> DataFrame:
-    """pages with _bytes, _digest (SHA-1, hex), _refers: the largest id of equal payloads, null for responses.
+def _with_revisits(pages: DataFrame, least: int, runs: int = 64) -> DataFrame:
+    """pages (_page, _url, _html, _date) with _bytes, _digest (SHA-1, hex), _refers: the largest id of equal payloads, null for responses.
 
-    A null payload is empty. Equal payloads are found by SHA-1, SHA-256 and length. Many equal ones meet
-    by way of runs, dealt by id, so that no task has all of them. Rows that repeat an id
-    and a payload are the same capture: all are responses or all revisits.
+    Equal payloads are found by SHA-1, SHA-256 and length. Many equal ones meet by way of
+    runs, dealt by id, so that no task has all of them. Rows that repeat an id and a
+    payload are the same capture: all are responses or all revisits.
     """
-    payload = text_or_empty(payload_column).cast("binary")
-    known = pages.select(F.col(id_column).alias("_id"), F.octet_length(payload).alias("_bytes"), F.sha1(payload).alias("_digest"), F.sha2(payload, 256).alias("_check"))
+    payload = F.col("_html").cast("binary")
+    signed = pages.select("*", F.octet_length(payload).alias("_bytes"), F.sha1(payload).alias("_digest"), F.sha2(payload, 256).alias("_check"), F.pmod(F.xxhash64("_page"), F.lit(runs)).alias("_run"))
     key = ["_bytes", "_digest", "_check"]
-    dealt = known.where(F.col("_bytes") >= least).withColumn("_run", F.pmod(F.xxhash64("_id"), F.lit(runs)))
-    in_runs = cut(dealt.groupBy("_run", *key).agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_n")))
+    in_runs = cut(signed.where(F.col("_bytes") >= least).groupBy("_run", *key).agg(F.max("_page").alias("_last"), F.count(F.lit(1)).alias("_n")))
     last = in_runs.groupBy(*key).agg(F.max("_last").alias("_last"), F.sum("_n").alias("_n")).where("_n > 1")
     shared = in_runs.drop("_last", "_n").join(last, key).select("_run", *key, "_last")
-    by_run = [*key, "_run"]
-    signed = pages.select("*", F.octet_length(payload).alias("_bytes"), F.sha1(payload).alias("_digest"), F.sha2(payload, 256).alias("_check"), F.pmod(F.xxhash64(id_column), F.lit(runs)).alias("_run"))
-    joined = signed.join(shared, by_run, "left")
-    refers = F.when(F.col("_last").isNotNull() & ~F.col(id_column).eqNullSafe(F.col("_last")), F.col("_last"))
+    joined = signed.join(shared, [*key, "_run"], "left")
+    refers = F.when(F.col("_last").isNotNull() & ~F.col("_page").eqNullSafe(F.col("_last")), F.col("_last"))
     return joined.withColumn("_refers", refers).drop("_check", "_run", "_last")
 
 
@@ -79,13 +80,25 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     """Write a record for each row of pages to archive files under path.
 
     date is a string column in the form of WARC-Date; without one, records are dated by
-    their id, a second each from 1970 on. A null id or URL is written as an empty one.
+    their id, a second each from 1970 on. A null id or URL is written as an empty one, a
+    null payload counts as empty. Rows that repeat an id are records of their own; an
+    empty table gives an archive without records. Other columns are passed over.
     """
     number = F.coalesce(F.col(id_column).cast("long"), F.lit(0))
     when = date if date is not None else F.date_format(F.timestamp_seconds(F.pmod(number, F.lit(1 << 32))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    rows = with_revisits(pages.select(F.col(id_column).alias("_page"), F.col(url_column).cast("string").alias("_url"), F.col(payload_column).alias("_html"), when.alias("_date")), "_page", "_html", least)
-    records = rows.select(_record(F.col("_page"), F.col("_url"), F.col("_date"), text_or_empty("_html")).alias("value"))
-    records.write.option("lineSep", CRLF).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    named = pages.select(F.col(id_column).alias("_page"), F.col(url_column).cast("string").alias("_url"), text_or_empty(payload_column).alias("_html"), when.alias("_date"))
+    size = F.octet_length("_html")
+    largest = named.agg(F.max(size)).first()[0] or 0
+    below = -1
+    for most, records in FILES:
+        # Equal payloads are of one size, so revisits refer to records of the same part.
+        part = named.where((size > below) & (size <= most)) if most else named.where(size > below)
+        rows = _with_revisits(part if below >= 0 or most and largest > most else named, least)
+        text = rows.select(_record(F.col("_page"), F.col("_url"), F.col("_date"), F.col("_html")).alias("value"))
+        text.write.mode("append" if below >= 0 else "errorifexists").option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+        if not most or largest <= most:
+            break
+        below = most
 
 
 def records_in(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -125,7 +138,9 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record of the archive files under path: a sorted run of captures for each file.
 
     payload_ok tells for a response whether its payload has the length and SHA-1 that
-    the record names; it is null for revisits.
+    the record names; it is null for revisits. Files may be compressed or not. Records
+    that repeat are rows of their own; an archive without records gives an empty table.
+    The rows are a checkpoint: the files aren't needed any more.
     """
 
     def number(value: str | None) -> int | None:
@@ -135,8 +150,8 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                rows = []
-                for n, (fields, block) in enumerate(records_in(content.as_py())):
+                rows, data = [], content.as_py()
+                for n, (fields, block) in enumerate(records_in(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(next(x for x in head.decode().split(CRLF) if x.lower().startswith("content-length:")).partition(":")[2])
                     kind, digest = fields["warc-type"], fields["warc-payload-digest"].partition(":")[2]
@@ -149,13 +164,9 @@ def captures(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+    # A task's files have spark.sql.files.maxPartitionBytes together, or are one larger file.
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    one_by_one = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file at a time
-    try:
-        return cut(files.mapInArrow(read, CAPTURE))
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", one_by_one)
+    return cut(files.mapInArrow(read, CAPTURE))
 
 
 def merged(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
@@ -187,7 +198,8 @@ def history(found: DataFrame, range_rows: int = 100_000) -> DataFrame:
     """captures in the order of url_key, date, run and record, with their place in it.
 
     Ranges have about range_rows rows; captures of one URL key may be in several, parted
-    by time. One count a range comes to the driver.
+    by time. One count a range comes to the driver. Equal captures stand in the order of
+    their files and records; an empty table gives an empty result.
     """
     spark = found.sparkSession
     order = ["url_key", "date", "run", "record"]
@@ -219,8 +231,8 @@ def history(found: DataFrame, range_rows: int = 100_000) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared_dir(spark)
     path = fresh_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = history(captures(spark, path))
-    return found.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place", "payload_ok")
+    found = captures(spark, path)
+    remove(spark, path)
+    return history(found).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "place", "payload_ok")

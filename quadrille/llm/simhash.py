@@ -28,10 +28,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quadrille.llm.common import beside, cut, looked_up, row_columns, table, text_or_empty
+from quadrille.llm.common import beside, cut, fresh_path, looked_up, row_columns, table, text_or_empty, written
 from quadrille.llm.components import components
 
 BITS = 64
@@ -202,6 +203,10 @@ NO_WORDS = np.array([1], np.uint64)
 DEAL = 1 << 21
 #: So many of the most frequent shingles at most are known to be frequent. It bears on speed alone.
 FREQUENT = 1 << 20
+#: Bits of a text's marks, a power of two.
+MARKS = 2048
+#: Bits of the filter by which texts are chosen whose sets are compared, a power of two.
+SIEVE = 1 << 26
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -281,19 +286,30 @@ def frequent_shingles(texts: DataFrame, words: int, ranges: int, share: int = 4,
     return hashes[order], times[order]
 
 
-def prefix_entries(texts: DataFrame, words: int, similarity: float, ranges: int, most: int) -> DataFrame:
-    """(_key, _n, _size, _crowded) for each shingle in the prefix of a text of texts (_n, _text) that is in that of another, too.
+def prefix_entries(texts: DataFrame, words: int, similarity: float, ranges: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(_key, _n, _size, _crowded) for each shingle in the prefix of a text of texts (_n, _text) that is in that of another, too;
+    and (_n, _size, _marks) for each text.
 
     A prefix holds the rarest shingles of a set, as many as it may lack of a similar one and one more,
     so that similar sets have a shingle of their prefixes in common. Shingles are in order of frequency,
-    then of their hashes. A key is crowded if more than ``most`` texts have it.
+    then of their hashes. A key is crowded if more than ``most`` texts have it. Marks are MARKS bits that
+    each tell whether the number of shingles that fall on it is odd.
     """
     frequent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, words, ranges))
     kind = np.dtype([("key", np.uint64), ("n", np.int64), ("size", np.int32)])
+    marked = np.dtype([("n", np.int64), ("size", np.int32), ("marks", f"V{MARKS // 8}")])
+
+    def dealt_out(held: list[np.ndarray], of_texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held)
+        yield _dealt(rows, rows["key"] >> np.uint64(32), ranges)
+        marks = np.array(of_texts, marked)
+        # Ranges from -1 down hold marks.
+        part = _dealt(marks, marks["n"].view(np.uint64) >> np.uint64(32), ranges)
+        yield pa.record_batch([pc.subtract(-1, part.column(0)), part.column(1)], ["_range", "_rows"])
 
     def deal(batches):
         hashes, times = frequent.value
-        held, total = [], 0
+        held, of_texts, total = [], [], 0
         for batch in batches:
             for n, text in zip(batch.column(0).to_numpy(), batch.column(1)):
                 found = shingle_set(text.as_py(), words)
@@ -308,17 +324,26 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, ranges: int,
                 rows = np.empty(taken, kind)
                 rows["key"], rows["n"], rows["size"] = chosen, n, len(found)
                 held.append(rows)
+                odd = np.bincount((found & np.uint64(MARKS - 1)).astype(np.int64), minlength=MARKS) & 1
+                of_texts.append((n, len(found), np.packbits(odd).tobytes()))
                 total += taken
                 if total >= DEAL:
-                    rows = np.concatenate(held)
-                    yield _dealt(rows, rows["key"] >> np.uint64(32), ranges)
-                    held, total = [], 0
+                    yield from dealt_out(held, of_texts)
+                    held, of_texts, total = [], [], 0
         if held:
-            rows = np.concatenate(held)
-            yield _dealt(rows, rows["key"] >> np.uint64(32), ranges)
+            yield from dealt_out(held, of_texts)
 
     def shared(batches):
-        held = [np.frombuffer(x.as_py(), kind) for batch in batches for x in batch.column(1)]
+        held = []
+        for batch in batches:
+            for number, blob in zip(batch.column(0), batch.column(1)):
+                if number.as_py() >= 0:
+                    held.append(np.frombuffer(blob.as_py(), kind))
+                    continue
+                rows = np.frombuffer(blob.as_py(), marked)
+                none = pa.nulls(len(rows), pa.int64())
+                columns = [none, pa.array(rows["n"].copy()), pa.array(rows["size"].copy()), pa.nulls(len(rows), pa.bool_()), pa.array([x.tobytes() for x in rows["marks"]], pa.binary())]
+                yield from pa.Table.from_arrays(columns, ["_key", "_n", "_size", "_crowded", "_marks"]).to_batches(4096)
         if not held:
             return
         rows = np.concatenate(held)
@@ -332,11 +357,29 @@ def prefix_entries(texts: DataFrame, words: int, similarity: float, ranges: int,
         rows, of_key = rows[of_key > 1], of_key[of_key > 1]
         for at in range(0, len(rows), 1 << 16):
             part = rows[at : at + (1 << 16)]
-            columns = [pa.array(part["key"].copy().view(np.int64)), pa.array(part["n"].copy()), pa.array(part["size"].copy()), pa.array(of_key[at : at + (1 << 16)] > most)]
-            yield pa.record_batch(columns, ["_key", "_n", "_size", "_crowded"])
+            columns = [pa.array(part["key"].copy().view(np.int64)), pa.array(part["n"].copy()), pa.array(part["size"].copy()), pa.array(of_key[at : at + (1 << 16)] > most), pa.nulls(len(part), pa.binary())]
+            yield pa.record_batch(columns, ["_key", "_n", "_size", "_crowded", "_marks"])
 
     dealt = texts.select("_n", "_text").mapInArrow(deal, "_range bigint, _rows binary").repartition(ranges, "_range")
-    return cut(dealt.mapInArrow(shared, "_key bigint, _n bigint, _size int, _crowded boolean"))
+    both = cut(dealt.mapInArrow(shared, "_key bigint, _n bigint, _size int, _crowded boolean, _marks binary"))
+    return both.where("_marks IS NULL").drop("_marks"), both.where("_marks IS NOT NULL").select("_n", "_size", "_marks")
+
+
+def _whole_groups(batches) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first one, in parts that end where its values change."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = [np.concatenate(x) for x in zip(held, columns)] if held else columns
+        if not len(columns[0]):
+            continue
+        before = np.flatnonzero(columns[0] != columns[0][-1])
+        end = before[-1] + 1 if len(before) else 0
+        if end:
+            yield [c[:end] for c in columns]
+        held = [c[end:] for c in columns]
+    if held and len(held[0]):
+        yield held
 
 
 def _groups_of(batches) -> Iterator[list[np.ndarray]]:
@@ -402,14 +445,15 @@ def open_pairs(entries: DataFrame, roots: DataFrame, similarity: float) -> DataF
     rows = cut(rows.join(mixed, "_key"))
 
     def few(batches):
-        for _, n, size, crowds, root in _groups_of(batches):
-            i, j = np.triu_indices(len(n), 1)
-            fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_common(np.maximum(size[i], size[j]), similarity))
-            i, j = i[fits], j[fits]
-            if len(i):
+        for key, n, size, crowds, root in _whole_groups(batches):
+            apart = 1
+            while apart < len(key) and len(i := np.flatnonzero(key[apart:] == key[:-apart])):
+                j = i + apart
+                fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_common(np.maximum(size[i], size[j]), similarity))
+                i, j = i[fits], j[fits]
                 need = least_in_prefixes(size[i], size[j], similarity) - np.minimum(crowds[i], crowds[j])
-                pairs = _batch_of_pairs(n[i], n[j])
-                yield pa.record_batch([*pairs.columns, pa.array(need)], ["u", "v", "need"])
+                yield pa.record_batch([*_batch_of_pairs(n[i], n[j]).columns, pa.array(need)], ["u", "v", "need"])
+                apart += 1
 
     def many(batches):
         for _, n, size, crowds, root in _groups_of(batches):
@@ -432,14 +476,57 @@ def open_pairs(entries: DataFrame, roots: DataFrame, similarity: float) -> DataF
     return counted.where("shared >= need").select("u", "v").unionByName(of("_crowded").mapInArrow(many, "u bigint, v bigint")).distinct()
 
 
+def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """pairs (u, v), a table or checkpoint, with the columns of values (_n and others) for both, named _..._u and _..._v.
+
+    The pairs of a node that has many are dealt to parts, and each part gets the node's values once.
+    """
+    out = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(64)).alias("_part_u"), F.pmod(F.xxhash64("u"), F.lit(64)).alias("_part_v"))
+    nodes = out
+    for x in "uv":
+        of = values.select(F.col("_n").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in values.columns if c != "_n"])
+        out = out.join(nodes.select(x, f"_part_{x}").distinct().join(of, x), [x, f"_part_{x}"])
+    return out.drop("_part_u", "_part_v")
+
+
+def possible_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, _apart) for the pairs (u, v) whose marks leave it open that they are similar, and what share of their
+    shingles is not common at least.
+
+    A mark that differs stands for a shingle at least that only one of them has, so no similar pair is lost.
+    """
+
+    def judge(batches):
+        for batch in batches:
+            a, b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+            mu, mv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, MARKS // 64) for i in (4, 5))
+            apart = np.bitwise_count(mu ^ mv).sum(1, dtype=np.int64)
+            good = (a + b - apart) / 2 >= similarity / (1 + similarity) * (a + b) - 1e-6
+            yield pa.record_batch([*batch.columns[:2], pa.array(apart / (a + b))], ["u", "v", "_apart"]).filter(pa.array(good))
+
+    both = with_both(cut(pairs.select("u", "v")), marks)
+    return cut(both.select("u", "v", "_size_u", "_size_v", "_marks_u", "_marks_v").mapInArrow(judge, "u bigint, v bigint, _apart double"))
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have the similarity, for texts (_n, _text)."""
-    pairs = cut(pairs)
-    nodes = pairs.select(F.col("u").alias("_n")).unionByName(pairs.select(F.col("v").alias("_n"))).distinct()
+    """The pairs (u, v) whose shingle sets have the similarity, for texts (_n, _text). pairs is a table or checkpoint.
+
+    Sets are made where the texts are read, of those that a filter of SIEVE bits lets pass: all that are in
+    pairs, and a few others. So texts are not shuffled, and what is broadcast is of a fixed size.
+    """
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("_n"))
+    place = nodes.select(F.pmod("_n", F.lit(SIEVE)).alias("_at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_at", F.lit(64)).cast("int"))
+    bits = place.groupBy(F.floor(F.col("_at") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits")).toArrow()  # SIEVE / 64 rows at most
+    sieve = np.zeros(SIEVE // 64, np.int64)
+    sieve[bits.column(0).to_numpy()] = bits.column(1).to_numpy()
+    sent = texts.sparkSession.sparkContext.broadcast(sieve)
 
     def compute(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)], pa.binary())], ["_n", "_set"])
+            at = batch.column(0).to_numpy() % SIEVE
+            for part in batch.filter(pa.array(sent.value[at >> 6] >> (at & 63) & 1 == 1)).to_struct_array().to_pylist() if batch.num_rows else []:
+                yield pa.record_batch([pa.array([part["_n"]]), pa.array([shingle_set(part["_text"], words).tobytes()], pa.binary())], ["_n", "_set"])
 
     def verify(batches):
         for batch in batches:
@@ -450,24 +537,33 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, words: int, similarity: fl
                 good.append(both >= similarity * (len(a) + len(b) - both))
             yield pa.record_batch(batch.columns[:2], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    read = texts.join(nodes, "_n", "left_semi").select("_n", "_text").mapInArrow(compute, "_n bigint, _set binary")
-    sets = read.groupBy("_n").agg(F.first("_set").alias("_set"))
-    with_set = lambda x: sets.select(F.col("_n").alias(x), F.col("_set").alias(f"_set_{x}"))
-    checked = pairs.join(with_set("u"), "u").join(with_set("v"), "v").select("u", "v", "_set_u", "_set_v")
-    return cut(checked.mapInArrow(verify, "u bigint, v bigint"))
+    read = texts.select("_n", "_text").mapInArrow(compute, "_n bigint, _set binary")
+    sets = cut(read.groupBy("_n").agg(F.first("_set").alias("_set")))
+    return cut(with_both(pairs, sets).select("u", "v", "_set_u", "_set_v").mapInArrow(verify, "u bigint, v bigint"))
+
+
+def still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose nodes are not joined yet."""
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"_root_{x}"))
+    both = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return both.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select(*pairs.columns)
 
 
 def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
     """(u, v) of similar texts of texts (_n, _text): enough of them to join all that a chain of similar pairs joins.
 
-    The search is exact. Some likely pairs are looked at first; then all pairs that prefixes allow and
-    that these do not join yet. Every link is checked by its shingle sets.
+    The search is exact. Some likely pairs are looked at first; then all pairs that prefixes and marks
+    allow and that these do not join yet, of each text the closest one before the others. Every link is
+    checked by its shingle sets.
     """
-    ranges = max(64, 4 * texts.rdd.getNumPartitions())
-    entries = prefix_entries(texts, words, similarity, ranges, most)
-    first = similar_pairs(first_links(entries, similarity), texts, words, similarity)
-    rest = similar_pairs(open_pairs(entries, cut(components(first)), similarity), texts, words, similarity)
-    return first.unionByName(rest)
+    entries, marks = prefix_entries(texts, words, similarity, max(16, texts.rdd.getNumPartitions()), most)
+    marks = marks.dropDuplicates(["_n"])
+    found = similar_pairs(possible_pairs(first_links(entries, similarity), marks, similarity), texts, words, similarity)
+    left = possible_pairs(open_pairs(entries, cut(components(found)), similarity), marks, similarity)
+    closest = cut(left.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v")))
+    found = found.unionByName(similar_pairs(closest, texts, words, similarity))
+    left = cut(still_open(left.select("u", "v").join(closest, ["u", "v"], "left_anti"), cut(components(found))))
+    return found.unionByName(similar_pairs(left, texts, words, similarity))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -475,18 +571,19 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     counting as larger than any other.
 
     Texts are similar if the Jaccard similarity of their sets of shingles of words words is similarity or
-    more; all such pairs are found. Texts without words are similar to each other. Rows that repeat id and
-    text all stay if one does: texts are told apart here, not rows.
+    more; all such pairs are found. Null, empty and blank texts are similar to each other. Rows that repeat
+    id and text all stay if one does: texts are told apart here, not rows. An empty table stays empty.
     """
-    none = F.col(id_column).isNull()
+    spark, none = df.sparkSession, F.col(id_column).isNull()
     number = F.xxhash64(none, F.col(id_column), text_or_empty(text_column))
     key = F.struct(none.alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("hash"))
     texts = df.select(number.alias("_n"), text_or_empty(text_column).cast("binary").alias("_text"))
     roots = cut(components(similar_links(texts, words, similarity)))
     keys = df.select(number.alias("node"), key.alias("_key"))
-    grouped = cut(keys.join(roots, "node"))
+    grouped = cut(keys.join(roots, "node").groupBy("node", "root").agg(F.first("_key").alias("_key")))
     stay = grouped.groupBy("root").agg(F.min_by("node", "_key").alias("node"))
-    gone = grouped.select("node").distinct().join(stay, "node", "left_anti")
+    # A table, so that its size is known: if it is small, texts need not be shuffled to be looked up in it.
+    gone = written(grouped.select("node").join(stay, "node", "left_anti"), fresh_path(spark, "gone"))
     return beside(df, _node=number).join(gone, F.col("_node") == gone["node"], "left_anti").select(*row_columns(df))
 
 

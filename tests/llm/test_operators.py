@@ -1,6 +1,7 @@
 """Each operator on the cases of rows.py, against a plain version where there is one."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -93,6 +95,21 @@ def test_ledger_scans_only_what_is_new(spark):
     assert spark.read.parquet(ledger).count() == 2 * blobs
 
 
+def test_other_rules_scan_again_and_repeated_appends_change_nothing(spark):
+    ledger = fresh_path(spark, "ledger")
+    df = spark.createDataFrame([(1, "SECRETX here"), (2, "SECRETX here"), (3, "none")], "doc_id bigint, text string")
+    rule = (secrets.Rule("own", "SECRETX"),)
+    spans = lambda rules: sorted((r["doc_id"], len(r["findings"])) for r in secrets.findings_by_path(df, ledger, rules=rules).collect())
+    assert spans(secrets.RULES) == [(1, 0), (2, 0), (3, 0)]
+    assert spans(rule) == [(1, 1), (2, 1), (3, 0)]
+    assert spans((secrets.Rule("own", "SECRETY"),)) == [(1, 0), (2, 0), (3, 0)]
+    again = fresh_path(spark, "again")
+    spark.read.parquet(ledger).write.parquet(again)
+    spark.read.parquet(again).write.mode("append").parquet(ledger)
+    assert spans(rule) == [(1, 1), (2, 1), (3, 0)]
+    assert {r["text"] for r in secrets.redact(df, ledger, rules=rule).collect()} == {"[REDACTED] here", "none"}
+
+
 def test_redact(spark):
     rows = secrets.redact(clashing(spark), fresh_path(spark, "ledger"))
     assert rows.columns == clashing(spark).columns and rows.count() == len(ROWS)
@@ -198,6 +215,54 @@ def test_outliers_are_rejected_and_the_bulk_is_kept(spark):
     assert all(kept[i] for i, *_ in normal) and not any(kept[i] for i, *_ in odd)
 
 
+def plain_distances(stats: list[tuple], s: quality.Settings) -> list[float]:
+    """The scaled squared distance of each vector of a group that passed the base rules."""
+    x = np.array([[math.floor(1000 * v + 0.5) for v in (math.log1p(n), math.log(max(c / max(n, 1), 1)), math.sqrt(y / max(c, 1)), math.sqrt(d / max(lines, 1)), math.sqrt(r / max(n, 1)))] for n, c, y, d, r, lines in stats], float)
+    floors, wide = np.diag(np.square(s.floors)), np.diag(np.square(s.wide))
+
+    def estimate(rows):
+        m = rows.mean(0)
+        return m, ((rows - m).T @ (rows - m) + s.prior * wide) / (len(rows) + s.prior) + floors
+
+    def distances(m, cov):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+
+    bins = lambda d: np.floor(np.log1p(d) * 48)
+    quarter = lambda q: np.sort(x, 0)[max(0, math.ceil(q * len(x)) - 1)]
+    found = []
+    for m, cov in (estimate(x), (quarter(0.5), np.diag(np.maximum((quarter(0.75) - quarter(0.25)) / 1.349, s.floors) ** 2))):
+        for _ in range(s.steps):
+            b = bins(distances(m, cov))
+            last = np.sort(b)[math.ceil(s.share * len(x)) - 1]
+            m, cov = estimate(x[b <= last])
+        found.append((np.linalg.slogdet(cov)[1], m, cov))
+    _, m, cov = min(found, key=lambda f: round(f[0], 9))
+    d = distances(m, cov)
+    middle = np.sort(bins(d))[math.ceil(len(x) / 2) - 1]
+    return (d / (max(math.expm1((middle + 0.5) / 48), quality.MEDIAN_5) / quality.MEDIAN_5)).tolist()
+
+
+def test_verdicts_against_plain_estimates(spark):
+    """Groups of 1 to 400 texts, some of them odd, against the same estimate from whole arrays."""
+    rng = random.Random(9)
+    word = lambda extra: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + extra
+    rows = []
+    for source, size in (("a", 400), ("b", 60), ("c", 7), ("d", 1), (None, 30)):
+        for k in range(size):
+            odd = k % 9 == 8
+            words = [word("#*&" if odd and source == "a" else "") for _ in range(rng.randint(60, 3000 if odd else 200))]
+            rows.append((len(rows), "".join(w + rng.choice("  \n") for w in words), "en", source))
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    for source in ("a", "b", "c", "d", None):
+        group = [(i, t) for i, t, _, at in rows if at == source]
+        stats = [(*plain_statistics(t), len([x for x in t.split("\n") if x.strip()])) for _, t in group]
+        for (i, _), want in zip(group, plain_distances(stats, quality.Settings())):
+            assert got[i]["distance"] == pytest.approx(want, rel=1e-6, abs=1e-6)
+            assert got[i]["kept"] == (want <= quality.Settings().cutoff)
+    assert not all(r["kept"] for r in got.values()) and all(got[i]["kept"] for i, *_, at in rows if at in ("c", "d"))
+
+
 # SimHash
 
 
@@ -236,6 +301,34 @@ def test_links_find_every_group(spark, most):
     assert groups(lambda f: roots.get(f, f)) == groups(lambda f: want[f % (1 << 64)])
 
 
+def plain_fingerprint(text: str) -> int:
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_op5_against_all_pairs(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    root = plain_groups(sorted(set(fps.values())))
+    least = {}
+    for i, f in sorted(fps.items()):
+        least.setdefault(root[f], i)
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op5_simhash(spark, sf_dir).collect()}
+    assert got == {i: (f"{f:016x}", least[root[f]]) for i, f in fps.items()}
+
+
+def test_all_links_of_a_crowded_cluster(spark):
+    """All fingerprints within two bits of one, and swaps inside pairs of bits, which distances to pairs don't tell."""
+    centre = random.Random(8).getrandbits(64)
+    fps = {centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(24) for b in range(a)} | {centre ^ (3 << a) ^ (3 << b) ^ (3 << c) for a in range(0, 24, 2) for b in range(0, a, 2) for c in range(0, b, 2)}
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(f,) for f in signed], "_fp bigint"), most=4).collect()}
+    assert got == {(a, b) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 2}
+
+
 def test_components_of_a_chain(spark):
     df = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["root"] for r in components(df).collect()} == {0}
@@ -388,6 +481,35 @@ def test_language(spark):
     assert language_id.predict(empty(spark), model).count() == 0
 
 
+def test_the_kernel_is_that_of_sets_of_grams():
+    """Presence rows and their products against sets of n-grams, with as many buckets as no two share one."""
+    s = language_id.Settings(buckets=1 << 22)
+    texts = ["Ein kleiner Text, 12 Zeichen!", "ein Kleiner", "naïve café 日本語", "a", ""]
+    def grams(text):
+        letters = " ".join(re.findall(r"[^\W\d_]+", text.lower()))
+        return {(n, f" {letters} "[i : i + n]) for n in (1, 2, 3) for i in range(len(letters) + 3 - n)} if letters else set()
+    rows = language_id.normalised(np.stack([language_id.presence(t, s) for t in texts]))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            x, y = grams(a), grams(b)
+            want = len(x & y) / math.sqrt(len(x) * len(y)) if x and y else 0
+            assert rows[i] @ rows[j] == pytest.approx(want, abs=1e-6)
+
+
+def test_languages_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    found = language_id.op6_language_id(spark, sf_dir)
+    truth = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang IS NOT NULL AND n_chars > 40").select("doc_id", "lang")
+    right = found.where("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double"))).first()[0]
+    assert right >= 0.98
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(1, "abc abd", "x")] * 50 + [(None, "uvw uvx", "y")] * 50 + [(2, "klm kln", "z")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == ["x", "y", "z"] and len(model.landmarks) == 3
+
+
 # WARC
 
 
@@ -409,6 +531,22 @@ def test_warc_round_trip(spark):
     assert by_id[1]["url_key"] == by_id[3]["url_key"] == "example,a)/b?q=1"
 
 
+def test_warc_of_pages_of_all_sizes(spark):
+    sizes = [0, 999, 1000, 65_536, 65_537, 2_097_152, 2_097_153, 3_000_000]
+    pages = [(k * 10 + copy, f"http://h/{copy}", "é" * (n // 2) + "x" * (n % 2), "mine") for k, n in enumerate(sizes) for copy in (1, 2)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string, mine string")
+    for name in ("_page", "_run", "_check", "_bytes", "_digest", "_refers", "_html"):
+        df = df.withColumn(name, F.lit("mine"))
+    path = fresh_path(spark, "warc")
+    warc.write_archives(df, path)
+    rows = {r["page"]: r for r in warc.history(warc.captures(spark, path)).collect()}
+    assert len(rows) == len(pages)
+    for k, n in enumerate(sizes):
+        first, last = rows[k * 10 + 1], rows[k * 10 + 2]
+        assert first["payload_bytes"] == last["payload_bytes"] == n and last["record_type"] == "response" and last["payload_ok"]
+        assert (first["record_type"], first["refers_to"]) == (("revisit", k * 10 + 2) if n >= 1000 else ("response", None))
+
+
 def test_warc_of_no_pages(spark):
     path = fresh_path(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)
@@ -437,7 +575,6 @@ def test_sum_of_squares_fits(lengths):
 
 def test_packing_on_all_cases(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got = packing.pack_documents(clashing(spark), group_items=4).collect()
     want = Counter()
     for i, text, *_ in ROWS:
@@ -458,6 +595,20 @@ def test_packing_on_all_cases(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|>a<|endoftext|>", "a <|endoftext|><|endoftext|>b", "<|endoftext|", "<|<|endoftext|>|>", " <|endoftext|>\n\n 1"])
+def test_names_of_added_tokens_are_those_tokens(text):
+    content = open(public_tokenizers.path("byte_bpe_50k.json"), "rb").read()
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert packing.tokenizer_of(content, public_tokenizers.PATTERN)(text) == want
+
+
+def test_packing_keeps_other_columns(spark):
+    rows = spark.createDataFrame([(i, 1 + i % 9, "a", "b", "c", "d") for i in range(50)], "id bigint, length bigint, _row string, _number string, _group string, offset string")
+    packed = packing.pack(rows, capacity=10)
+    assert sorted(packed.columns) == sorted([*rows.columns, "sequence_id"])
+    assert packed.count() == 50 and packed.where("_row = 'a' AND _number = 'b' AND _group = 'c' AND offset < 10").count() == 50
+
+
 # Toxicity
 
 
@@ -480,6 +631,34 @@ def test_pairs_weigh_more_than_their_parts(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_scores_against_all_pairs_of_terms():
+    """The machine's score against the sum over every pair of a text's terms."""
+    rng = np.random.default_rng(4)
+    m = toxicity.FactorizationMachine(0.3, rng.normal(size=12), rng.normal(0, 0.5, (12, 4)))
+    for n in (0, 1, 2, 7):
+        places, values = rng.permutation(12)[:n], rng.random(n) + 0.5
+        pairs = sum(m.factors[places[i]] @ m.factors[places[j]] * values[i] * values[j] for i in range(n) for j in range(i))
+        want = 1 / (1 + math.exp(-(0.3 + sum(m.weights[p] * v for p, v in zip(places, values)) + pairs)))
+        assert m.probability(places, values) == pytest.approx(want, rel=1e-9)
+
+
+def test_toxicity_held_out(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    found = toxicity.op10_toxicity(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic IS NOT NULL"), "doc_id")
+    r = {(x["toxic"], x["predicted"]): x["count"] for x in found.groupBy("toxic", "predicted").count().collect()}
+    assert r[(1, 1)] >= 0.8 * (r[(1, 1)] + r.get((1, 0), 0)) and r.get((0, 1), 0) <= 0.01 * (r[(0, 0)] + r.get((0, 1), 0))
+
+
+def test_repeated_documents_count_once_in_the_fit(spark):
+    docs = spark.createDataFrame([(1, "bad bad")] * 40 + [(2, "good")] * 40 + [(3, "good"), (4, "bad"), (5, "bad")], "doc_id bigint, text string")
+    once = docs.distinct()
+    y = spark.createDataFrame([(i, int(i in (1, 4, 5))) for i in range(1, 6)], "doc_id bigint, toxic int")
+    a, b = toxicity.fit(docs, y), toxicity.fit(once, y)
+    assert a.chosen == b.chosen and np.array_equal(a.machine.weights, b.machine.weights)
+    none = toxicity.fit(empty(spark), y)
+    assert {r["score"] for r in toxicity.score(docs, none).collect()} == {0.5}
+
+
 def test_nothing_to_learn_from(spark):
     model = toxicity.fit(documents(spark), spark.createDataFrame([(None, 1), (1, None), (77, 1)], "doc_id bigint, toxic int"))
     assert {r["score"] for r in toxicity.score(documents(spark), model).collect()} == {0.5}
@@ -506,3 +685,49 @@ def test_pipeline(spark):
         docs = after
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_on_all_cases(spark, tmp_path):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables, in every stage."""
+    labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (8, 1, 0), (10, 1, 1)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    texts = len({re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in ROWS})
+    counts = {"toxicity": range(1, len(ROWS) + 1), "exact dedup": [texts], "simhash near-dedup": range(9, len(ROWS)), "secret scan": [len(ROWS)]}
+    for docs in (clashing(spark), empty(spark)):
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, str(tmp_path))
+            rows = after.collect()
+            if name == "best-fit packing":
+                assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()}
+                continue
+            assert after.columns == docs.columns
+            if docs.columns == empty(spark).columns:
+                assert not rows
+            else:
+                assert len(rows) in counts[name] and all(r["_row"] == r["_toxicity"] == r["score"] == "mine" for r in rows)
+
+
+def test_near_dedup_finds_all_that_exact_similarity_does(spark):
+    """Recall and precision on documents of a table: the same rows stay as by the exact similarity of all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = dict(sorted((r["doc_id"], r["text"] or "") for r in docs.collect()))
+    sets, holders = {}, {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for at in holders.values() for k, a in enumerate(at) for b in at[k + 1 :])
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), both in shared.items():
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i for i in texts if find(i) == i}
+    assert len(want) < len(texts)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()} == want

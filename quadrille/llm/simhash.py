@@ -205,6 +205,8 @@ DEAL = 1 << 21
 FREQUENT = 1 << 20
 #: Bits of a text's marks, a power of two.
 MARKS = 2048
+#: Rounds in which neighbours in crowded keys are linked before all other pairs are looked for. It bears on speed alone.
+ROUNDS = 3
 #: Bits of the filter by which texts are chosen whose sets are compared, a power of two.
 SIEVE = 1 << 26
 
@@ -405,41 +407,72 @@ def _batch_of_pairs(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
 
-def first_links(entries: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): for each row of entries the one that it shares most keys with, of those next to it in a key and of
-    the first ones of its keys, if it is a likely one. They are no substitute for all pairs, but leave fewer open."""
+def with_roots(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """entries with the _root that their texts have by now."""
+    if roots is None:
+        return entries.withColumn("_root", F.col("_n"))
+    found = roots.select(F.col("node").alias("_n"), F.col("root").alias("_found"))
+    return entries.join(found, "_n", "left").select(*entries.columns, F.coalesce("_found", "_n").alias("_root"))
+
+
+def neighbour_pairs(entries: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
+    """(u, v, shared, need): for each text of entries those of another root that stand before it, or first, in a key of
+    its own; in how many keys they do, and how many keys they share if they are similar. Two a key and text at most."""
 
     def neighbours(batches):
-        key, leader, last = None, (0, 0), (0, 0)  # the run that the rows before this batch ended in
+        key, leader, last = None, (0, 0, 0), (0, 0, 0)  # the run that the rows before this batch ended in
         for batch in batches:
-            b, n, size = (batch.column(i).to_numpy() for i in (0, 1, 2))
+            b, *columns = (batch.column(i).to_numpy() for i in range(4))
             if not len(b):
                 continue
+            n, size, root = columns
             same = np.concatenate([[key is not None and b[0] == key], b[1:] == b[:-1]])
             starts = np.maximum.accumulate(np.where(same, -1, np.arange(len(b))))
-            heads, head_sizes = (np.where(starts >= 0, x[np.maximum(starts, 0)], was) for x, was in zip((n, size), leader))
-            before, sizes_before = (np.concatenate([[was], x[:-1]]) for x, was in zip((n, size), last))
-            key, leader, last = b[-1], (heads[-1], head_sizes[-1]), (n[-1], size[-1])
-            for other, other_size, wanted in ((heads, head_sizes, same), (before, sizes_before, same & (before != heads))):
+            heads = [np.where(starts >= 0, x[np.maximum(starts, 0)], was) for x, was in zip(columns, leader)]
+            before = [np.concatenate([[was], x[:-1]]) for x, was in zip(columns, last)]
+            key, leader, last = b[-1], tuple(x[-1] for x in heads), tuple(x[-1] for x in columns)
+            for other, other_size, other_root in (heads, before):
+                wanted = same & (root != other_root)
+                if other is not heads[0]:
+                    wanted &= other != heads[0]
                 need = least_in_prefixes(size[wanted], other_size[wanted], similarity)
                 yield pa.record_batch([pa.array(n[wanted]), pa.array(other[wanted]), pa.array(need)], ["u", "v", "need"])
 
-    near = entries.select("_key", "_n", "_size").repartition("_key").sortWithinPartitions("_key", "_n").mapInArrow(neighbours, "u bigint, v bigint, need bigint")
-    likely = near.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("2 * shared >= need")
-    best = likely.groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
-    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
+    rows = with_roots(entries.select("_key", "_n", "_size"), roots).repartition("_key").sortWithinPartitions("_key", "_root", "_n")
+    near = rows.mapInArrow(neighbours, "u bigint, v bigint, need bigint")
+    return near.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need")).where("u <> v")
+
+
+def likely_links(pairs: DataFrame) -> DataFrame:
+    """(u, v): of the neighbour pairs of each text that share many keys the one that shares most."""
+    best = pairs.where("2 * shared >= need").groupBy("u").agg(F.max_by("v", F.struct("shared", -F.col("v"))).alias("v"))
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
 
+def closest(pairs: DataFrame) -> DataFrame:
+    """(u, v): of the possible pairs of each text the closest one."""
+    return cut(pairs.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v")))
 
-def open_pairs(entries: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+
+def _may_be_similar(a, b, marks_a: np.ndarray, marks_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether marks leave it open that sets of sizes a and b are similar: a mark that differs stands for a shingle
+    at least that only one of them has."""
+    apart = np.bitwise_count(marks_a ^ marks_b).sum(-1, dtype=np.int64)
+    both = np.add(a, b, dtype=np.float64)
+    return (both - apart) / 2 >= similarity / (1 + similarity) * both - 1e-6
+
+
+def open_pairs(entries: DataFrame, marks: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
     """(u, v) for all rows of entries that may be similar and have different roots.
 
     Pairs come from every key they share. One that shares only crowded keys is made where it has enough
-    of them; others count the keys that are not crowded, to which the crowded ones of the row with fewer
-    of them are added. Both are upper bounds of what the prefixes have in common, so no similar pair is lost.
+    of them and their marks allow it; others count the keys that are not crowded, to which the crowded ones
+    of the row with fewer of them are added. All are upper bounds of what the texts have in common, so no
+    similar pair is lost.
     """
     crowd = entries.where("_crowded").groupBy("_n").agg(F.count(F.lit(1)).alias("_crowds"))
-    rows = entries.join(crowd, "_n", "left").join(roots.select(F.col("node").alias("_n"), F.col("root").alias("_root")), "_n", "left")
-    rows = rows.select("_key", "_n", "_size", "_crowded", F.coalesce("_crowds", F.lit(0)).cast("int").alias("_crowds"), F.coalesce("_root", "_n").alias("_root"))
+    rows = with_roots(entries, roots).join(crowd, "_n", "left")
+    rows = rows.select("_key", "_n", "_size", "_crowded", F.coalesce("_crowds", F.lit(0)).cast("int").alias("_crowds"), "_root")
     # A key whose rows all have one root already has nothing to add.
     mixed = rows.groupBy("_key").agg((F.min("_root") < F.max("_root")).alias("_mixed")).where("_mixed").select("_key")
     rows = cut(rows.join(mixed, "_key"))
@@ -456,24 +489,27 @@ def open_pairs(entries: DataFrame, roots: DataFrame, similarity: float) -> DataF
                 apart += 1
 
     def many(batches):
-        for _, n, size, crowds, root in _groups_of(batches):
+        for _, n, size, crowds, root, odd in _groups_of(batches):
             # Roots with more rows first: rows are compared with those of the roots before theirs.
             _, which, rows_of = np.unique(root, return_inverse=True, return_counts=True)
             rank = np.argsort(np.argsort(-rows_of, kind="stable"), kind="stable")[which]
             order = np.argsort(size, kind="stable")
             n, size, crowds, rank = n[order], size[order], crowds[order], rank[order]
+            bits = np.frombuffer(b"".join(odd[order]), np.uint64).reshape(-1, MARKS // 64)
             for at in np.flatnonzero(rank > 0):
                 low, high = np.searchsorted(size, [least_common(size[at], similarity), size[at] / similarity + 1])
                 fits = (rank[low:high] < rank[at]) & (least_in_prefixes(size[at], size[low:high], similarity) <= np.minimum(crowds[at], crowds[low:high]))
-                if fits.any():
-                    other = n[low:high][fits]
-                    yield _batch_of_pairs(np.full(len(other), n[at]), other)
+                other = low + np.flatnonzero(fits)
+                other = other[_may_be_similar(size[at], size[other], bits[at], bits[other], similarity)]
+                if len(other):
+                    yield _batch_of_pairs(np.full(len(other), n[at]), n[other])
 
-    def of(crowded: str) -> DataFrame:
-        return rows.where(crowded).select("_key", "_n", "_size", "_crowds", "_root").repartition("_key").sortWithinPartitions("_key")
+    def by_key(some: DataFrame, *more: str) -> DataFrame:
+        return some.select("_key", "_n", "_size", "_crowds", "_root", *more).repartition("_key").sortWithinPartitions("_key")
 
-    counted = of("NOT _crowded").mapInArrow(few, "u bigint, v bigint, need bigint").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    return counted.where("shared >= need").select("u", "v").unionByName(of("_crowded").mapInArrow(many, "u bigint, v bigint")).distinct()
+    crowded = by_key(rows.where("_crowded").join(marks.select("_n", "_marks"), "_n"), "_marks")
+    counted = by_key(rows.where("NOT _crowded")).mapInArrow(few, "u bigint, v bigint, need bigint").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    return counted.where("shared >= need").select("u", "v").unionByName(crowded.mapInArrow(many, "u bigint, v bigint")).distinct()
 
 
 def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -492,17 +528,14 @@ def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
 def possible_pairs(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """(u, v, _apart) for the pairs (u, v) whose marks leave it open that they are similar, and what share of their
     shingles is not common at least.
-
-    A mark that differs stands for a shingle at least that only one of them has, so no similar pair is lost.
     """
 
     def judge(batches):
         for batch in batches:
-            a, b = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+            a, b = (batch.column(i).to_numpy() for i in (2, 3))
             mu, mv = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, MARKS // 64) for i in (4, 5))
-            apart = np.bitwise_count(mu ^ mv).sum(1, dtype=np.int64)
-            good = (a + b - apart) / 2 >= similarity / (1 + similarity) * (a + b) - 1e-6
-            yield pa.record_batch([*batch.columns[:2], pa.array(apart / (a + b))], ["u", "v", "_apart"]).filter(pa.array(good))
+            apart = np.bitwise_count(mu ^ mv).sum(1, dtype=np.int64) / np.add(a, b, dtype=np.float64)
+            yield pa.record_batch([*batch.columns[:2], pa.array(apart)], ["u", "v", "_apart"]).filter(pa.array(_may_be_similar(a, b, mu, mv, similarity)))
 
     both = with_both(cut(pairs.select("u", "v")), marks)
     return cut(both.select("u", "v", "_size_u", "_size_v", "_marks_u", "_marks_v").mapInArrow(judge, "u bigint, v bigint, _apart double"))
@@ -552,18 +585,29 @@ def still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
     """(u, v) of similar texts of texts (_n, _text): enough of them to join all that a chain of similar pairs joins.
 
-    The search is exact. Some likely pairs are looked at first; then all pairs that prefixes and marks
-    allow and that these do not join yet, of each text the closest one before the others. Every link is
-    checked by its shingle sets.
+    The search is exact. Likely pairs are looked at first, and each text's closest neighbour in crowded keys,
+    in ROUNDS rounds; then all pairs that prefixes and marks allow and that these do not join yet, of each
+    text the closest one before the others. Every link is checked by its shingle sets.
     """
     entries, marks = prefix_entries(texts, words, similarity, max(16, texts.rdd.getNumPartitions()), most)
     marks = marks.dropDuplicates(["_n"])
-    found = similar_pairs(possible_pairs(first_links(entries, similarity), marks, similarity), texts, words, similarity)
-    left = possible_pairs(open_pairs(entries, cut(components(found)), similarity), marks, similarity)
-    closest = cut(left.groupBy("u").agg(F.min_by("v", F.struct("_apart", "v")).alias("v")))
-    found = found.unionByName(similar_pairs(closest, texts, words, similarity))
-    left = cut(still_open(left.select("u", "v").join(closest, ["u", "v"], "left_anti"), cut(components(found))))
-    return found.unionByName(similar_pairs(left, texts, words, similarity))
+    compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
+    possible = lambda pairs: possible_pairs(pairs, marks, similarity)
+    found = compare(possible(likely_links(neighbour_pairs(entries, None, similarity))))
+    roots = cut(components(found))
+    # Crowded keys are where pairs grow with the square of a group.
+    crowded = cut(entries.where("_crowded"))
+    for _ in range(ROUNDS if crowded.take(1) else 0):
+        more = compare(closest(possible(neighbour_pairs(crowded, roots, similarity))))
+        if not more.take(1):
+            break
+        found = found.unionByName(more)
+        roots = cut(components(found))
+    left = possible(open_pairs(entries, marks, roots, similarity))
+    first = closest(left)
+    found = found.unionByName(compare(first))
+    left = cut(still_open(left.select("u", "v").join(first, ["u", "v"], "left_anti"), cut(components(found))))
+    return found.unionByName(compare(left))
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

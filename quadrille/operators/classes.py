@@ -51,22 +51,22 @@ def class_level_starts(traversal: Traversal) -> DataFrame:
 def rotation_classes(traversal: Traversal) -> DataFrame:
     """The rotation class and angle to the last axis of each used translation class.
 
-    Vectors are made as short as they can be by their greatest common divisor; classes
-    are numbered by the first translation class that has their angle. The divisors of
-    the (4n + 3)^d possible vectors are a small table.
+    An angle is told by the sign of the vector's last part and the square of that part over
+    the square of the length, as a reduced fraction; classes are numbered by the first
+    translation class that has their angle. These of the (4n + 3)^d possible vectors are a
+    small table.
     """
     d, n = traversal.tree.d, traversal.n
     spark = traversal.tree.boxes.sparkSession
     reach = range(-(2 * n + 1), 2 * n + 2)
     rows = []
     for v in product(reach, repeat=d):
-        g = gcd(*v)
-        if g:
-            short = [x // g for x in v]
-            rows.append((*v, sum(x * x for x in short), short[-1], short[-1] / sqrt(sum(x * x for x in short))))
-    schema = ", ".join([*[f"v_{a} bigint" for a in axes(d)], "_norm2 bigint", "_last bigint", "_cos double"])
+        norm2 = sum(x * x for x in v)
+        if norm2:
+            g = gcd(v[-1] ** 2, norm2)
+            rows.append((*v, norm2 // g, (v[-1] > 0) - (v[-1] < 0), v[-1] ** 2 // g, v[-1] / sqrt(norm2)))
+    schema = ", ".join([*[f"v_{a} bigint" for a in axes(d)], "_norm2 bigint", "_sign int", "_last2 bigint", "_cos double"])
     vectors = spark.createDataFrame(rows, schema)
     used = used_classes(traversal).join(F.broadcast(vectors), [f"v_{a}" for a in axes(d)])  # (4n + 3)^d rows
-    # Equal angles: the same sign of the last part and the same ratio of its square to the length's.
-    first = F.min("class_id").over(W.partitionBy("_norm2", "_last"))
+    first = F.min("class_id").over(W.partitionBy("_sign", "_last2", "_norm2"))
     return used.withColumn("_first", first).select("class_number", "class_id", (F.dense_rank().over(W.orderBy("_first")) - 1).cast("long").alias("rotation_class"), F.acos("_cos").alias("angle"))

@@ -76,7 +76,7 @@ def box_users(masks: DataFrame, d: int) -> DataFrame:
 
 
 def local_particles(tree: Tree, masks: DataFrame) -> DataFrame:
-    """The points of each worker's local tree: its own targets and the sources it needs, numbered within the worker."""
+    """The points of each worker's local tree: its own targets and the sources it needs."""
     d = tree.d
     boxes = lambda mask: masks.where(F.col("mask") == mask).select("rank", *box_names(d))
     part = lambda roles, mask, kind: tree.particles.where(F.col("role").isin(*roles)).join(boxes(mask), box_names(d)).select("rank", "pid", *box_names(d), F.lit(kind).alias("kind"))

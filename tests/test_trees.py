@@ -134,3 +134,18 @@ def test_more_workers_than_boxes(spark):
     tree = build_tree(normal_points(spark, 20, 2), max_particles=30)
     with pytest.raises(ValueError):
         partition.partition_work(tree, tree.boxes.select(*box_names(2), F.lit(1.0).alias("cost")), 2)
+
+
+def test_rotation_classes_in_space(spark):
+    """One class for each angle to the last axis, also where vectors of unlike lengths have it."""
+    from quadrille.operators.classes import rotation_classes
+    from quadrille.operators.traversal import Traversal
+    from quadrille.operators.tree import build_tree
+
+    points = spark.range(3000).select(F.col("id").alias("pid"), *[F.rand(seed=i).alias(a) for i, a in enumerate("xyz")])
+    rows = rotation_classes(Traversal(build_tree(points, d=3, max_particles=40))).collect()
+    angles = {}
+    for r in rows:
+        angles.setdefault(round(r["angle"], 9), set()).add(r["rotation_class"])
+    assert len(angles) > 10 and all(len(c) == 1 for c in angles.values())
+    assert sorted(min(c) for c in angles.values()) == list(range(len(angles)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.common import cut, looked_up
+from quadrille.llm.common import cut
 
 
 def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -13,7 +13,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (Connected
     Components in MapReduce and Beyond, 2014), each a grouped minimum and a join on
     node ids, until the links stop changing. After the last step every link leads
-    from a node to its root. A node with very many neighbours meets them in many tasks. The links of each round are kept by a checkpoint; only
+    from a node to its root. The links of each round are kept by a checkpoint; only
     their count and a checksum come to the driver. The number of rounds grows with
     the logarithm of the longest path.
     """
@@ -28,6 +28,11 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) by the links (u, v) of more and those that roots (node, root) come from."""
+    return cut(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)))
+
+
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
@@ -36,10 +41,10 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return looked_up(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return looked_up(links, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()

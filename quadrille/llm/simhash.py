@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.common import beside, cut, fresh_path, looked_up, row_columns, table, text_or_empty, written
-from quadrille.llm.components import components
+from quadrille.llm.components import components, joined
 
 BITS = 64
 #: Shingles hashed at a time, so that a very long text takes bounded memory.
@@ -206,7 +206,7 @@ FREQUENT = 1 << 20
 #: Bits of a text's marks, a power of two.
 MARKS = 2048
 #: Rounds in which neighbours in crowded keys are linked before all other pairs are looked for. It bears on speed alone.
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of the filter by which texts are chosen whose sets are compared, a power of two.
 SIEVE = 1 << 26
 
@@ -582,8 +582,8 @@ def still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select(*pairs.columns)
 
 
-def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
-    """(u, v) of similar texts of texts (_n, _text): enough of them to join all that a chain of similar pairs joins.
+def similarity_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
+    """(node, root) for the texts (_n, _text) that chains of similar pairs join with others; root is the smallest _n.
 
     The search is exact. Likely pairs are looked at first, and each text's closest neighbour in crowded keys,
     in ROUNDS rounds; then all pairs that prefixes and marks allow and that these do not join yet, of each
@@ -593,21 +593,19 @@ def similar_links(texts: DataFrame, words: int = 5, similarity: float = 0.8, mos
     marks = marks.dropDuplicates(["_n"])
     compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
     possible = lambda pairs: possible_pairs(pairs, marks, similarity)
-    found = compare(possible(likely_links(neighbour_pairs(entries, None, similarity))))
-    roots = cut(components(found))
+    roots = cut(components(compare(possible(likely_links(neighbour_pairs(entries, None, similarity))))))
     # Crowded keys are where pairs grow with the square of a group.
     crowded = cut(entries.where("_crowded"))
     for _ in range(ROUNDS if crowded.take(1) else 0):
         more = compare(closest(possible(neighbour_pairs(crowded, roots, similarity))))
         if not more.take(1):
             break
-        found = found.unionByName(more)
-        roots = cut(components(found))
+        roots = joined(roots, more)
     left = possible(open_pairs(entries, marks, roots, similarity))
     first = closest(left)
-    found = found.unionByName(compare(first))
-    left = cut(still_open(left.select("u", "v").join(first, ["u", "v"], "left_anti"), cut(components(found))))
-    return found.unionByName(compare(left))
+    roots = joined(roots, compare(first))
+    left = cut(still_open(left.select("u", "v").join(first, ["u", "v"], "left_anti"), roots))
+    return joined(roots, compare(left)) if left.take(1) else roots
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -622,7 +620,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     number = F.xxhash64(none, F.col(id_column), text_or_empty(text_column))
     key = F.struct(none.alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("hash"))
     texts = df.select(number.alias("_n"), text_or_empty(text_column).cast("binary").alias("_text"))
-    roots = cut(components(similar_links(texts, words, similarity)))
+    roots = similarity_groups(texts, words, similarity)
     keys = df.select(number.alias("node"), key.alias("_key"))
     grouped = cut(keys.join(roots, "node").groupBy("node", "root").agg(F.first("_key").alias("_key")))
     stay = grouped.groupBy("root").agg(F.min_by("node", "_key").alias("node"))

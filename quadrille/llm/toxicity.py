@@ -147,9 +147,11 @@ def fit(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["_id", "_y", "_terms", "_counts"])
 
     kind = labelled.schema["_id"].dataType.simpleString()
-    every = labelled.mapInArrow(count, f"_id {kind}, _y int, _terms array<int>, _counts array<int>")
-    once = every.groupBy("_id", "_y").agg(F.min(F.struct("_terms", "_counts")).alias("_found"))
-    counted = cut(once.select("_id", "_y", "_found.*"))  # sample_rows rows at most
+    counted = cut(labelled.mapInArrow(count, f"_id {kind}, _y int, _terms array<int>, _counts array<int>"))
+    found, ids = counted.agg(F.count(F.lit(1)), F.count_distinct("_id")).first()
+    if found > ids:  # only then term lists are shuffled
+        once = counted.groupBy("_id", "_y").agg(F.min(F.struct("_terms", "_counts")).alias("_found"))
+        counted = cut(once.select("_id", "_y", "_found.*"))  # sample_rows rows at most
     rows, toxic = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0))).first()
     # The G statistic of each bucket's presence against the label, from its counts in both classes.
     of_term = counted.select("_y", F.explode("_terms").alias("_t")).groupBy("_t").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("n1")).where("n >= 3")

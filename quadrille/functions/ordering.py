@@ -6,41 +6,42 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from quadrille.plans.shared import cut
 
+#: Bits of monotonically_increasing_id that hold a row's place in its partition.
+BITS = 33
+
+
+def _dealt(df: DataFrame, order: list) -> DataFrame:
+    """df dealt by ranges of the order and sorted, in one shuffle: _range, and _in, a row's place there."""
+    kept = cut(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    return kept.withColumn("_range", F.shiftright("_at", BITS)).withColumn("_in", F.col("_at").bitwiseAND(F.lit((1 << BITS) - 1))).drop("_at")
 
-def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
-    """df with its place in the order of the columns order, from first on.
 
-    Rows are dealt by ranges of the order and numbered within each; only the number of
-    rows a range comes to the driver.
+def _with_before(dealt: DataFrame, ends: DataFrame, f) -> DataFrame:
+    """dealt with _before, what f makes of the column _v of the ranges before a row's own.
+
+    ends has one row a range, so at most as many as the shuffle has partitions, and is broadcast.
     """
-    dealt = cut(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
-    before, total = [], first
-    for r in dealt.groupBy("_range").count().orderBy("_range").collect():
-        before.append((r["_range"], total))
-        total += r["count"]
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    if not before:
-        return dealt.withColumn(name, F.lit(None).cast("long")).drop("_range")
-    starts = F.create_map(*[F.lit(x) for pair in before for x in pair])
-    return dealt.withColumn(name, (starts[F.col("_range")] + place - 1).cast("long")).drop("_range")
-
-
-def running(df: DataFrame, order: list, value: str, name: str, how: str = "sum", part: int = 10_000) -> DataFrame:
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return dealt.join(F.broadcast(ends.select("_range", f("_v").over(before).alias("_before"))), "_range")
+
+
+def numbered(df: DataFrame, order: list, name: str, first: int = 0) -> DataFrame:
+    """df with its place in the order of the columns order, from first on."""
+    dealt = _dealt(df, order)
+    rows = _with_before(dealt, dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_v")), F.sum)
+    place = F.coalesce("_before", F.lit(0)) + F.col("_in") + first
+    return rows.withColumn(name, place.cast("long")).drop("_range", "_in", "_before")
+
+
+def running(df: DataFrame, order: list, value: str, name: str, how: str = "sum") -> DataFrame:
     """df with the running sum or minimum of value up to each row in the order of the columns order.
 
-    Rows are numbered and dealt to parts of part rows; a window runs inside each part, and what the
-    parts before it give is added from one number a part.
+    A window runs inside each range of the order, and what the ranges before it give is added from one
+    number a range.
     """
-    placed = cut(numbered(df, order, "_place").withColumn("_part", F.floor(F.col("_place") / part)))
     f = {"sum": F.sum, "min": F.min}[how]
-    before, last = [], None
-    for r in placed.groupBy("_part").agg(f(value).alias("v")).orderBy("_part").collect():
-        before += [F.lit(r["_part"]), F.lit(last)]
-        last = r["v"] if last is None else last + r["v"] if how == "sum" else min(last, r["v"])
-    if not before:
-        return placed.withColumn(name, F.col(value)).drop("_part", "_place")
-    here = f(value).over(W.partitionBy("_part").orderBy("_place"))
-    kind = placed.schema[value].dataType
-    earlier = F.create_map(*before)[F.col("_part")].cast(kind)
-    both = here + F.coalesce(earlier, F.lit(0)) if how == "sum" else F.least(here, earlier)
-    return placed.withColumn(name, both).drop("_part", "_place")
+    dealt = _dealt(df, order)
+    rows = _with_before(dealt, dealt.groupBy("_range").agg(f(value).alias("_v")), f)
+    here = f(value).over(W.partitionBy("_range").orderBy("_in").rowsBetween(W.unboundedPreceding, 0))
+    both = here + F.coalesce("_before", F.lit(0)) if how == "sum" else F.least(here, "_before")
+    return rows.withColumn(name, both).drop("_range", "_in", "_before")

@@ -10,10 +10,13 @@ from quadrille.functions.keys import axes, box_names, key_names, levels, power2,
 from quadrille.operators.traversal import prefixed, side, touching
 from quadrille.operators.tree import Tree
 
+#: Leaves below a cell of this level or above are looked up in so many parts.
+LARGE, SPREAD = 3, 64
+
 
 def peers(tree: Tree) -> DataFrame:
     """For each box (t_) the boxes (s_) that touch it, are as large or larger, and have no child that
-    does both; the root's peer is itself."""
+    does both; the root's peer is itself. A larger box that holds it is never one: its child on the way does both."""
     d = tree.d
     pairs = touching(prefixed(tree.boxes, "t", d), "t", prefixed(tree.boxes, "s", d), "s", d).select(*side("t", d), *side("s", d))
     parents = pairs.where("s_level > 0").select(*side("t", d), (F.col("s_level") - 1).alias("s_level"), *[shift(F.col(f"s_{k}"), 1).alias(f"s_{k}") for k in key_names(d)])
@@ -26,26 +29,33 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
     balls: ball_id, coordinates, radius. A ball is looked up at the deepest level whose
     boxes are at least as large as it, where it overlaps few cells: leaves below are
     known there by their ancestor, larger leaves at their own level. The candidates of
-    this equi-join are then tested exactly. Balls with a null are in no pair. The result
-    has the ball's columns, prefixed by ball_, and the leaf's keys.
+    this equi-join are then tested exactly. Only levels that have leaves, or balls whose
+    deepest it is, take part, and the leaves below a large cell are dealt to SPREAD parts.
+    Balls with a null are in no pair. The result has the ball's columns, prefixed by
+    ball_, and the leaf's keys.
     """
     d, names = tree.d, key_names(tree.d)
-    deepest = tree.boxes.agg(F.max("level")).first()[0]
+    on_leaves = sorted(r["level"] for r in tree.leaves().select("level").distinct().collect())  # at most TOP + 1
     usable = balls.dropna(subset=["radius", *axes(d)])
-    fits = F.size(F.filter(levels(1, F.lit(deepest)), lambda l: F.col("radius") <= F.lit(tree.width) / power2(l) / 2))
+    fits = F.size(F.filter(levels(1, F.lit(on_leaves[-1])), lambda l: F.col("radius") <= F.lit(tree.width) / power2(l) / 2))
     at = usable.select(F.col("ball_id"), *[F.col(a).alias(f"ball_{a}") for a in axes(d)], F.col("radius").alias("ball_radius"), fits.alias("_deep"))
+    on_balls = sorted(r["_deep"] for r in at.select("_deep").distinct().collect())  # at most TOP + 1
     # At its deepest level a ball also looks for the leaves below, at the others for leaves of just that level.
-    at = at.withColumn("_level", F.explode(levels(0, F.col("_deep"))))
+    at = at.withColumn("_level", F.explode(F.filter(levels(0, F.col("_deep")), lambda l: l.isin(*on_leaves) | (l == F.col("_deep")))))
     at = at.withColumn("_same", F.explode(F.when(F.col("_level") == F.col("_deep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    large = ~F.col("_same") & (F.col("_level") <= LARGE)
+    at = at.withColumn("_part", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     width, last = F.lit(tree.width) / power2(F.col("_level")), raised(F.lit(1).cast("long"), F.col("_level")) - 1
     for i, (a, k) in enumerate(zip(axes(d), names)):
         cell = lambda v: F.floor((v - F.lit(tree.lo[i])) / width)
         first = F.greatest(cell(F.col(f"ball_{a}") - F.col("ball_radius")) - 1, F.lit(0)).cast("long")
         end = F.least(cell(F.col(f"ball_{a}") + F.col("ball_radius")) + 1, last).cast("long")
         at = at.withColumn(f"_{k}", F.explode(F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
-    leaves = tree.leaves().select(*box_names(d), F.explode(levels(0, F.col("level"))).alias("_level"))
+    known = F.filter(levels(0, F.col("level")), lambda l: l.isin(*on_balls, -1) | (l == F.col("level")))
+    leaves = tree.leaves().select(*box_names(d), F.explode(known).alias("_level"))
     leaves = leaves.select("*", (F.col("level") == F.col("_level")).alias("_same"), *[shift(F.col(k), F.col("level") - F.col("_level")).alias(f"_{k}") for k in names])
-    found = at.join(leaves, ["_same", "_level", *[f"_{k}" for k in names]])
+    leaves = leaves.withColumn("_part", F.when(large, F.pmod(F.hash(*names), F.lit(SPREAD))).otherwise(0))
+    found = at.join(leaves, ["_same", "_level", "_part", *[f"_{k}" for k in names]])
     return found.where(distance(tree) <= F.col("ball_radius") + tree.radius(F.col("level"))).select("ball_id", *[f"ball_{a}" for a in axes(d)], "ball_radius", *box_names(d))
 
 

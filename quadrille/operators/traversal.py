@@ -36,18 +36,29 @@ def near(prefix: str, d: int, n: int) -> Column:
     return within(F.col(f"{prefix}_level"), keys(prefix), F.col("s_level"), keys("s"), n)
 
 
-def touching(fine: DataFrame, f: str, coarse: DataFrame, c: str, d: int) -> DataFrame:
+def rim_cells(fine: DataFrame, f: str, c: str, d: int, own: tuple[int, ...] = ()) -> DataFrame:
+    """The boxes fine (with columns prefixed by f), each with the cells (prefixed by c) of its own level and above
+    that hold it or touch it. Larger cells that hold it are left out but for the levels own."""
+    names = key_names(d)
+    at = F.explode(levels(0, F.col(f"{f}_level"))).alias(f"{c}_level")
+    up = F.col(f"{f}_level") - F.col(f"{c}_level")
+    cell = lambda move: F.struct(*[shift(F.col(f"{f}_{k}") + o, up).alias(f"{c}_{k}") for k, o in zip(names, move)])
+    cells = F.array_distinct(F.array(*[cell(move) for move in offsets(d, 1, zero=True)]))
+    whole = (up == 0) | F.col(f"{c}_level").isin(*own) if own else up == 0
+    cells = F.when(whole, cells).otherwise(F.array_remove(cells, cell([0] * d)))
+    probes = fine.select("*", at).select("*", F.explode(cells).alias("_cell")).select(*fine.columns, f"{c}_level", "_cell.*")
+    return probes.where(inside_of(c, d))
+
+
+def touching(fine: DataFrame, f: str, coarse: DataFrame, c: str, d: int, own: tuple[int, ...] = ()) -> DataFrame:
     """Pairs of boxes (with columns prefixed by f and c) that touch or overlap, the first not coarser than the second.
 
     A coarse box touches a fine one if it holds one of the fine one's neighbours or the fine
     one itself: these are the cells that the fine box's neighbours are in, at every level up.
+    A larger box that holds the fine one is in no pair but at the levels own. So a cell is looked
+    up by the boxes along its rim, not by all that it holds, and the root by itself alone.
     """
-    names = key_names(d)
-    at = F.explode(levels(0, F.col(f"{f}_level"))).alias(f"{c}_level")
-    up = F.col(f"{f}_level") - F.col(f"{c}_level")
-    cells = F.array_distinct(F.array(*[F.struct(*[shift(F.col(f"{f}_{k}") + o, up).alias(f"{c}_{k}") for k, o in zip(names, move)]) for move in offsets(d, 1, zero=True)]))
-    probes = fine.select("*", at).select("*", F.explode(cells).alias("_cell")).select(*fine.columns, f"{c}_level", "_cell.*")
-    return probes.join(coarse, side(c, d))
+    return rim_cells(fine, f, c, d, own).join(coarse, side(c, d))
 
 
 @dataclass
@@ -121,8 +132,11 @@ class Traversal:
         def make():
             d = self.tree.d
             t, s = prefixed(self.target_boxes, "t", d), prefixed(self.source_boxes, "s", d)
-            up = touching(t, "t", s, "s", d)
-            down = touching(s, "s", t, "t", d).where("s_level > t_level")
+            # Boxes with points of their own that hold other boxes; they take extents, and have at most TOP + 1 levels.
+            holding = self.boxes.where("is_split AND (is_source OR is_target)").select("level").distinct()
+            own = tuple(r["level"] for r in holding.collect()) if self.tree.has_extent else ()
+            up = touching(t, "t", s, "s", d, own)
+            down = touching(s, "s", t, "t", d, own).where("s_level > t_level")
             return self._edges(up).unionByName(self._edges(down))
 
         return self._once("list1", make)

@@ -135,6 +135,30 @@ def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, rea
     return out, lowest
 
 
+def _splits_above(cells: DataFrame, split: DataFrame, d: int, depth: int) -> DataFrame:
+    """The cells, by their keys at level depth, with how many boxes split above them (_deep).
+
+    They are looked up by blocks of levels, from the root on: cells that share the cell they are in at the
+    last level of a block are one row there. So at most 2^16 rows meet at a key, however many points are below it.
+    """
+    names, at_once, out, first = key_names(d), 16 // d, None, 0
+    own = [f"_{k}" for k in names]
+    if depth > at_once:
+        cells = cut(cells)
+    for end in [*range(at_once, depth, at_once), depth]:
+        here = cells.select(*[shift(F.col(k), depth - end).alias(o) for k, o in zip(names, own)]).distinct()
+        probes = here.select(*own, F.explode(levels(first, F.lit(end - 1))).alias("level"))
+        probes = probes.select("*", *[shift(F.col(o), F.lit(end) - F.col("level")).alias(k) for k, o in zip(names, own)])
+        found = probes.join(split.withColumn("_one", F.lit(1)), box_names(d), "left").groupBy(*own).agg(F.count("_one").alias("_deep"))
+        found = found.select(*[F.col(o).alias(k) for k, o in zip(names, own)], "_deep")
+        if out is not None:
+            before = out.select(*[F.col(k).alias(o) for k, o in zip(names, own)], F.col("_deep").alias("_before"))
+            found = found.select("*", *[shift(F.col(k), end - first).alias(o) for k, o in zip(names, own)]).join(before, own)
+            found = found.select(*names, (F.col("_deep") + F.col("_before")).alias("_deep"))
+        out, first = found, end
+    return out
+
+
 def restricted(split: DataFrame, d: int, deepest: int) -> DataFrame:
     """split with the boxes that must split too for leaves that touch to differ by one level at most.
 
@@ -208,13 +232,8 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
         if kind == "adaptive-level-restricted":
             split = restricted(split, d, deepest)
         depth = deepest + 1
-        # The cells that points are in at the deepest level, each with how many boxes split above it.
-        cell = lambda a: shift(F.col(f"_k{a}"), TOP - depth)
-        cells = keyed.select(*[cell(a).alias(f"_c{k}") for a, k in zip(axes(d), names)]).distinct()
-        above = cells.select("*", F.explode(levels(0, F.lit(depth - 1))).alias("level")) if depth else cells.limit(0).withColumn("level", F.lit(0))
-        above = above.select("*", *[shift(F.col(f"_c{k}"), F.lit(depth) - F.col("level")).alias(k) for k in names]).join(split, box_names(d))
-        deep = above.groupBy(*[f"_c{k}" for k in names]).agg(F.count(F.lit(1)).cast("int").alias("_deep"))
-        placed = keyed.select("*", *[cell(a).alias(f"_c{k}") for a, k in zip(axes(d), names)]).join(deep, [f"_c{k}" for k in names], "left")
+        celled = keyed.select("*", *[shift(F.col(f"_k{a}"), TOP - depth).alias(k) for a, k in zip(axes(d), names)])
+        placed = celled.join(_splits_above(celled.select(*names).distinct(), split, d, depth), names, "left").drop(*names)
         placed = placed.withColumn("level", F.least(F.col("_desc"), F.coalesce("_deep", F.lit(0))).cast("int"))
     placed = cut(placed.select("pid", *axes(d), "role", "radius", "weight", "level", *[shift(F.col(f"_k{a}"), TOP - F.col("level")).alias(k) for a, k in zip(axes(d), names)]))
 

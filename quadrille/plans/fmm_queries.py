@@ -100,7 +100,7 @@ _P, _V = f"{sql.tree()},\n{_B}", f"{sql.tree('events')},\n{_B}"
 _PAIRS = f"{_P},\n{sql.BALLS},\nhit AS (SELECT ball_id, b.level, b.ix, b.iy, greatest(abs(a.x - cx), abs(a.y - cy)) AS dist, radius + r AS reach FROM balls a JOIN b ON NOT is_split AND greatest(abs(a.x - cx), abs(a.y - cy)) <= radius + r)"
 _CLASS = f"{_P},\nc AS (SELECT *, t_ix - s_ix AS v_x, t_iy - s_iy AS v_y, 3 + t_ix - s_ix + 7 * (3 + t_iy - s_iy) + 49 * t_level AS class_number FROM ({_list2(1)})),\nuc AS (SELECT class_number, t_level AS level, v_x, v_y, row_number() OVER (ORDER BY class_number) - 1 AS class_id FROM (SELECT DISTINCT class_number, t_level, v_x, v_y FROM c))"
 SQL = {
-    "peers": sql.query(f"{_V},\nc AS (SELECT t.level AS t_level, t.ix AS t_ix, t.iy AS t_iy, s.level AS s_level, s.ix AS s_ix, s.iy AS s_iy FROM b t JOIN b s ON s.level <= t.level AND {touch('t', 's')})", "SELECT c.* FROM c LEFT JOIN (SELECT DISTINCT c.t_level, c.t_ix, c.t_iy, k.level - 1 AS s_level, k.ix >> 1 AS s_ix, k.iy >> 1 AS s_iy FROM c JOIN b k ON k.level = c.s_level AND k.ix = c.s_ix AND k.iy = c.s_iy WHERE k.level > 0) z ON z.t_level = c.t_level AND z.t_ix = c.t_ix AND z.t_iy = c.t_iy AND z.s_level = c.s_level AND z.s_ix = c.s_ix AND z.s_iy = c.s_iy WHERE z.t_level IS NULL"),
+    "peers": sql.query(f"{_V},\nq AS (SELECT DISTINCT t.level AS t_level, t.ix AS t_ix, t.iy AS t_iy, g.l, (t.ix + ox.o) >> (t.level - g.l) AS gx, (t.iy + oy.o) >> (t.level - g.l) AS gy FROM b t JOIN (SELECT unnest(range(13)) AS l) g ON g.l <= t.level CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o) ox CROSS JOIN (SELECT unnest([-1, 0, 1]) AS o) oy WHERE t.ix + ox.o >= 0 AND t.iy + oy.o >= 0),\nc AS MATERIALIZED (SELECT t_level, t_ix, t_iy, s.level AS s_level, s.ix AS s_ix, s.iy AS s_iy FROM q JOIN b s ON s.level = q.l AND s.ix = q.gx AND s.iy = q.gy)", "SELECT c.* FROM c LEFT JOIN (SELECT DISTINCT c.t_level, c.t_ix, c.t_iy, k.level - 1 AS s_level, k.ix >> 1 AS s_ix, k.iy >> 1 AS s_iy FROM c JOIN b k ON k.level = c.s_level AND k.ix = c.s_ix AND k.iy = c.s_iy WHERE k.level > 0) z ON z.t_level = c.t_level AND z.t_ix = c.t_ix AND z.t_iy = c.t_iy AND z.s_level = c.s_level AND z.s_ix = c.s_ix AND z.s_iy = c.s_iy WHERE z.t_level IS NULL"),
     "area_query": sql.query(_PAIRS, "SELECT ball_id, level, ix, iy FROM hit"),
     "area_query_elementwise": sql.query(_PAIRS, "SELECT ball_id, count(*) AS n_leaves, round(max(reach - dist), 9) AS overlap FROM hit GROUP BY ball_id"),
     "leaves_to_balls": sql.query(_PAIRS, "SELECT level, ix, iy, string_agg(CAST(ball_id AS VARCHAR), ',' ORDER BY ball_id) AS balls FROM hit GROUP BY ALL"),

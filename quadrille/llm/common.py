@@ -45,6 +45,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_tasks_of(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """df, a table or checkpoint of so many rows, in tasks of each rows, but in no more tasks than it has now."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path, read again."""
     df.write.mode("errorifexists").parquet(path)

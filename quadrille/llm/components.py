@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.common import cut
+from quadrille.llm.common import cut, in_tasks_of
+
+#: Links that make one task. A graph of fewer is worked on without a shuffle; larger ones are dealt by node.
+LINKS = 1 << 17
 
 
 def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
@@ -13,14 +16,14 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     Alternates the large-star and small-star steps of Kiveris et al. (Connected
     Components in MapReduce and Beyond, 2014), each a grouped minimum and a join on
     node ids, until the links stop changing. After the last step every link leads
-    from a node to its root. The links of each round are kept by a checkpoint; only
-    their count and a checksum come to the driver. The number of rounds grows with
-    the logarithm of the longest path.
+    from a node to its root. The links of each round are kept by a checkpoint, in as
+    many tasks as their number asks for; only their count and a checksum come to the
+    driver. The number of rounds grows with the logarithm of the longest path.
     """
     now = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(in_tasks_of(now, mark[0], LINKS))))
         before, mark = mark, _mark(now)
         if mark == before:
             break
@@ -39,7 +42,7 @@ def _mark(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _links(links, ("u", "v"), ("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
@@ -47,4 +50,10 @@ def _large_star(links: DataFrame) -> DataFrame:
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return _links(links.join(least, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
+
+
+def _links(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """(u, v) for each pair of columns of each row."""
+    pairs = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])
+    return rows.select(F.explode(pairs).alias("_link")).select("_link.u", "_link.v")

@@ -46,7 +46,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def in_tasks_of(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """df, a table or checkpoint of so many rows, in tasks of each rows, but in no more tasks than it has now."""
+    """df, which has so many rows at most, in tasks of each rows, but in no more tasks than it has now."""
     return df.coalesce(max(1, -(-rows // each)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.common import cut, in_tasks_of
@@ -23,7 +26,9 @@ def components(links: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     now = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
     while mark[0]:
-        now = cut(_small_star(_large_star(in_tasks_of(now, mark[0], LINKS))))
+        # Steps make no more rows than there are links; said again after each join, Spark sees that one task needs no shuffle.
+        sized = partial(in_tasks_of, rows=mark[0], each=LINKS)
+        now = cut(_small_star(_large_star(sized(now), sized), sized))
         before, mark = mark, _mark(now)
         if mark == before:
             break
@@ -40,17 +45,17 @@ def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, sized: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour or itself."""
     both = _links(links, ("u", "v"), ("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return sized(both.where("v > u").join(least, "u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, sized: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"))
-    return _links(links.join(least, "u"), ("v", "m"), ("u", "m")).where("u <> v").distinct()
+    return _links(sized(links.join(least, "u")), ("v", "m"), ("u", "m")).where("u <> v").distinct()
 
 
 def _links(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:

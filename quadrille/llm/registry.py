@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, html_text, language_id, packing, quality, secrets, simhash, toxicity, warc
+from quadrille.llm import bpe, exact_dedup, fill_middle, html_text, language_id, packing, quality, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_warc": warc.op8_warc,
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_fill_middle": fill_middle.op11_fill_middle,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict:
     return {
         "op1_secret_scan": secrets.OP1_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
+        "op11_fill_middle": fill_middle.OP11_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille.plans.shared import cut
 
@@ -45,3 +45,23 @@ def running(df: DataFrame, order: list, value: str, name: str, how: str = "sum")
     here = f(value).over(W.partitionBy("_range").orderBy("_in").rowsBetween(W.unboundedPreceding, 0))
     both = here + F.coalesce("_before", F.lit(0)) if how == "sum" else F.least(here, "_before")
     return rows.withColumn(name, both).drop("_range", "_in", "_before")
+
+
+def running_within(df: DataFrame, by: str, order: list, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums of some values within the rows of equal by (not null), in the order of the columns order.
+
+    The table is sorted by range, so the rows of one by may lie in many ranges: a window runs inside each range,
+    and what earlier ranges hold of the by that a range begins with is added. These are one row a range: of all
+    that an earlier range holds, only the by that it ends with can go on in a later one.
+    """
+    names = list(sums)
+    dealt = _dealt(df.withColumns(sums), [by, *order])
+    here = W.partitionBy("_range", by).orderBy("_in").rowsBetween(W.unboundedPreceding, 0)
+    rows = dealt.withColumns({n: F.sum(n).over(here) for n in names})
+    held = dealt.groupBy("_range", by).agg(*[F.sum(n).alias(n) for n in names])
+    ends = held.groupBy("_range").agg(F.min(by).alias("_first"), F.max(F.struct(by, *names)).alias("_last"))
+    begun = ends.select("_range", F.col("_first").alias(by))
+    over = ends.select(F.col("_range").alias("_earlier"), "_last.*").join(begun, by).where("_earlier < _range")
+    carried = over.groupBy("_range", by).agg(*[F.sum(n).alias(f"_carried_{n}") for n in names])
+    both = rows.join(F.broadcast(carried), ["_range", by], "left")  # at most as many rows as there are ranges
+    return both.withColumns({n: F.col(n) + F.coalesce(f"_carried_{n}", F.lit(0)) for n in names}).drop("_range", "_in", *[f"_carried_{n}" for n in names])

@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from quadrille.functions.keys import box_names
-from quadrille.functions.ordering import numbered, running
+from quadrille.functions.ordering import numbered, running, running_within
 from quadrille.operators.lookup import area_query, peers
 from quadrille.operators.traversal import prefixed, rim_cells, side
 from quadrille.operators.tree import build_tree
@@ -66,3 +66,18 @@ def test_running_sums_and_minima(spark):
     assert [r["s"] for r in running(rows, ["at"], "v", "s", how="min").orderBy("at").collect()] == least
     assert numbered(rows.limit(0), ["at"], "n").count() == running(rows.limit(0), ["at"], "v", "s").count() == 0
     assert numbered(rows, ["at"], "n")._jdf.queryExecution().optimizedPlan().toString().count("map(") == 0
+
+
+def test_running_sums_within_groups_that_span_ranges(spark):
+    """One group has most of the rows, so it lies in all ranges; another begins where it ends."""
+    rows = [(7 if i % 5 else i, i, i % 11 - 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g bigint, at bigint, v bigint").repartition(5)
+    found = running_within(df, "g", [F.col("at").desc()], {"n": F.lit(1).cast("long"), "total": F.col("v")}).collect()
+    sums = {}
+    for g, at, v in sorted(rows, key=lambda r: -r[1]):
+        n, total = sums.get(g, (0, 0, ()))[:2]
+        sums[g] = (n + 1, total + v)
+        sums[g, at] = sums[g]
+    assert len(found) == len(rows)
+    assert all((r["n"], r["total"]) == sums[r["g"], r["at"]] for r in found)
+    assert running_within(df.where("g < 0"), "g", ["at"], {"n": F.lit(1)}).count() == 0

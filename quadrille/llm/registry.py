@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, fill_middle, html_text, language_id, packing, quality, secrets, simhash, toxicity, warc
+from quadrille.llm import bpe, exact_dedup, fill_middle, html_text, language_id, packing, prefix_trie, quality, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_fill_middle": fill_middle.op11_fill_middle,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict:
         "op1_secret_scan": secrets.OP1_SQL,
         "op7_exact_dedup": exact_dedup.OP7_SQL,
         "op11_fill_middle": fill_middle.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
     }

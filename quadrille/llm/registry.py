@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import bpe, exact_dedup, fill_middle, html_text, language_id, packing, prefix_trie, quality, secrets, simhash, toxicity, warc
+from quadrille.llm import bpe, exact_dedup, fill_middle, html_text, language_id, licenses, packing, prefix_trie, quality, secrets, simhash, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_fill_middle": fill_middle.op11_fill_middle,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_licenses": licenses.op13_licenses,
     }
 
 

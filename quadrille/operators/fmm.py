@@ -9,19 +9,32 @@ expansions need no shift, or level by level for the others.
 
 from __future__ import annotations
 
+import math
 from abc import ABC, abstractmethod
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.functions.keys import axes, box_names, key_names, levels, shift
+from quadrille.functions.keys import axes, box_names, inside, key_names, levels, moved, shift
+from quadrille.operators.classes import class_count, class_number, class_vector
 from quadrille.operators.traversal import Traversal, side
 from quadrille.plans.shared import cut
 
 
+#: What sums of a kernel are multiplied with, by equation and dimensions.
+SCALES = {("laplace", 2): -1 / (2 * math.pi), ("helmholtz", 2): 1.0, ("laplace", 3): 1 / (4 * math.pi), ("helmholtz", 3): 1 / (4 * math.pi)}
+
+
 class Kernel(ABC):
-    """How sources (pid, coordinates, box, weight) act on targets, by way of expansions."""
+    """How sources (pid, coordinates, box, weight) act on targets, by way of expansions.
+
+    What it needs of a source beside the weight are source_columns; its results are outputs.
+    """
+
+    source_columns: tuple[str, ...] = ()
+    outputs: tuple[str, ...] = ("potential",)
 
     @abstractmethod
     def form_multipoles(self, sources: DataFrame) -> DataFrame:
@@ -55,30 +68,41 @@ class Kernel(ABC):
     def eval_direct(self, edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
         """(pid, potential) from the sources of a near list."""
 
-    def finalize(self, potential: Column) -> Column:
-        return potential
+    @abstractmethod
+    def add_up(self, expansions: DataFrame) -> DataFrame:
+        """Expansions with one row a box."""
+
+    def finalize(self, value: Column) -> Column:
+        return value
 
 
 def drive(traversal: Traversal, kernel: Kernel, weights: DataFrame | None = None) -> DataFrame:
-    """The potential at each target: pid, potential. weights: pid, weight for sources; 1 for each without."""
+    """The kernel's outputs at each target: pid, potential and others.
+
+    weights: pid, weight for sources, and the kernel's source_columns; a weight of 1 for each without. Sources that
+    are not in weights have no effect.
+    """
     tree, d = traversal.tree, traversal.tree.d
+    if kernel.source_columns and weights is None:
+        raise ValueError(f"sources need the columns {kernel.source_columns}")
     points = tree.particles.drop("weight")
     sources = points.where(F.col("role").isin("s", "b")).drop("role")
-    sources = sources.withColumn("weight", F.lit(1.0)) if weights is None else sources.join(weights.select("pid", F.col("weight").cast("double")), "pid")
-    sources = cut(sources.select("pid", *axes(d), *box_names(d), "weight"))
+    more = [F.col(c).cast("double").alias(c) for c in ("weight", *kernel.source_columns)]
+    sources = sources.withColumn("weight", F.lit(1.0)) if weights is None else sources.join(weights.select("pid", *more), "pid")
+    sources = cut(sources.select("pid", *axes(d), *box_names(d), "weight", *kernel.source_columns))
     targets = points.where(F.col("role").isin("t", "b")).select("pid", *axes(d), *box_names(d))
     multipoles = cut(kernel.coarsen_multipoles(kernel.form_multipoles(sources)))
     local = kernel.multipole_to_local(traversal.list2, multipoles)
     parts = [kernel.eval_direct(traversal.list1_merged if tree.has_extent else traversal.list1, sources, targets)]
     if traversal.list4.take(1):
-        local = add_up(local.unionByName(kernel.form_locals(traversal.list4, sources)), box_names(d))
+        local = kernel.add_up(local.unionByName(kernel.form_locals(traversal.list4, sources)))
     if traversal.list3.take(1):
         parts.append(kernel.eval_multipoles(traversal.list3, multipoles, targets))
     parts.append(kernel.eval_locals(kernel.refine_locals(cut(local)), targets))
-    out = targets.select("pid", F.lit(0.0).alias("potential"))
+    out = targets.select("pid", *[F.lit(0.0).alias(c) for c in kernel.outputs])
     for part in parts:
         out = out.unionByName(part)
-    return out.groupBy("pid").agg(kernel.finalize(F.sum("potential")).alias("potential"))
+    return out.groupBy("pid").agg(*[kernel.finalize(F.sum(c)).alias(c) for c in kernel.outputs])
 
 
 def add_up(df: DataFrame, by: list[str]) -> DataFrame:
@@ -96,6 +120,9 @@ class ConstantOne(Kernel):
     def __init__(self, d: int):
         self.d = d
 
+    def add_up(self, expansions):
+        return add_up(expansions, box_names(self.d))
+
     def form_multipoles(self, sources):
         return sources.groupBy(*box_names(self.d)).agg(F.sum("weight").alias("m"))
 
@@ -137,181 +164,336 @@ class ConstantOne(Kernel):
         return self._at_targets(self._along(edges, self.form_multipoles(sources), "m"), targets)
 
 
-def direct(edges: DataFrame, sources: DataFrame, targets: DataFrame, d: int, value: Column) -> DataFrame:
-    """(pid, potential): value, on columns t_x.., s_x.. and weight, summed over the sources of boxes that edges lead to."""
-    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in (*box_names(d), *axes(d))], "weight", F.col("pid").alias("s_pid"))
+def direct(edges: DataFrame, sources: DataFrame, targets: DataFrame, d: int, value: Column | dict[str, Column], more: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, potential): value, on columns t_x.., s_x.., weight and more of the sources, summed over the sources of boxes
+    that edges lead to. value may also be several, by name."""
+    values = value if isinstance(value, dict) else {"potential": value}
+    s = sources.select(*[F.col(c).alias(f"s_{c}") for c in (*box_names(d), *axes(d))], "weight", *more, F.col("pid").alias("s_pid"))
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in (*box_names(d), *axes(d))], "pid")
-    return t.join(edges, side("t", d)).join(s, side("s", d)).where("pid <> s_pid").groupBy("pid").agg(F.sum(value).alias("potential"))
+    near = t.join(edges, side("t", d)).join(s, side("s", d)).where("pid <> s_pid")
+    return near.groupBy("pid").agg(*[F.sum(v).alias(name) for name, v in values.items()])
 
 
 def squared_distance(d: int) -> Column:
     return sum(((F.col(f"t_{a}") - F.col(f"s_{a}")) * (F.col(f"t_{a}") - F.col(f"s_{a}")) for a in axes(d)), F.lit(0.0))
 
 
+def _complex(column: pa.Array) -> np.ndarray:
+    """Coefficients of rows that all have as many, one row each."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), complex).reshape(len(values), -1)
+
+
+def _packed(c: np.ndarray) -> pa.Array:
+    """Rows of coefficients as binary values."""
+    size = 16 * c.shape[1]
+    ends = np.arange(len(c) + 1, dtype=np.int32) * size
+    return pa.Array.from_buffers(pa.binary(), len(c), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(c, complex))])
+
+
+def _expansions(level: int, keys: list[np.ndarray], c: np.ndarray) -> pa.RecordBatch:
+    """Expansions of boxes of one level, those of a box that is there more than once added up."""
+    if len(c):
+        order = np.lexsort(keys)
+        keys, c = [k[order] for k in keys], c[order]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], 0)]))
+        keys, c = [k[starts] for k in keys], np.add.reduceat(c, starts)
+    return pa.record_batch([pa.array(np.full(len(c), level, np.int32)), *(pa.array(k.astype(np.int64)) for k in keys), _packed(c)], ["level", "ix", "iy", "c"])
+
+
+def _of_levels(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by level."""
+    at = batch.column(batch.schema.names.index("level")).to_numpy()
+    for level in np.unique(at):
+        yield int(level), batch.filter(pa.array(at == level))
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(batch.schema.names.index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _with_whole_groups(batches, keys: int) -> Iterator[pa.RecordBatch]:
+    """Batches that are sorted by their first columns, dealt anew so that rows with the same keys are in one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        unlike = np.flatnonzero(np.any([c != c[-1] for c in columns], 0))
+        end = unlike[-1] + 1 if len(unlike) else 0
+        # The group that this batch begins with may be the one that the last one ended in.
+        if end:
+            yield pa.Table.from_batches([*held, batch.slice(0, end)]).combine_chunks().to_batches()[0]
+            held = [batch.slice(end)]
+        elif held and any(h.as_py() != c[0] for h, c in zip((held[-1].column(i)[0] for i in range(keys)), columns)):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = [batch]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 class Laplace2D(Kernel):
-    """The logarithm of the distance in the plane, by complex series of some order (Greengard and Rokhlin, 1987).
+    """The logarithm of the distance in the plane, by complex series (Greengard and Rokhlin, 1987).
 
-    Expansions are scaled by the box's width. Coefficients are the columns r0, i0, r1, ...; moving
-    them between boxes is a matrix for each relative place, applied to batches of rows.
-    A point has no effect on itself.
+    Sources are charges or, with dipoles, pairs of them along dx, dy. With gradient, the
+    gradient of the potential is given, too, by the derivatives of the series. A point has no
+    effect on itself.
+
+    An expansion is the binary column c: complex numbers, one more than the order at the box's level
+    (order may be a function of it), scaled by the box's width. Moving expansions to a parent, to a child or along
+    list 2 is a matrix for each of the few relative places; a batch's rows of one place are moved together and
+    what falls on one box is added up before rows are exchanged.
     """
 
-    def __init__(self, traversal: Traversal, order: int = 16):
-        self.traversal, self.tree, self.order = traversal, traversal.tree, order
+    BOX = "level int, ix bigint, iy bigint, c binary"
+
+    def __init__(self, traversal: Traversal, order: int | Callable[[int], int] = 16, dipoles: bool = False, gradient: bool = False):
+        self.traversal, self.tree, self.dipoles, self.gradient = traversal, traversal.tree, dipoles, gradient
         if self.tree.d != 2:
             raise ValueError("the kernel is for the plane")
-        self.columns = [f"{c}{k}" for k in range(order + 1) for c in "ri"]
+        self.deepest = self.tree.boxes.agg(F.max("level")).first()[0]
+        self.orders = [order(l) if callable(order) else order for l in range(self.deepest + 1)]
+        if min(self.orders) < 1:
+            raise ValueError("orders must be 1 or more")
+        self.source_columns = ("dx", "dy") if dipoles else ()
+        self.outputs = ("potential", "gradient_x", "gradient_y") if gradient else ("potential",)
 
-    def _schema(self, first: str) -> str:
-        return first + ", " + ", ".join(f"{c} double" for c in self.columns)
-
-    BOX = "level int, ix bigint, iy bigint"
-
-    def _batches(self, df: DataFrame, first: str, make) -> DataFrame:
-        """make takes a dict of arrays and returns (arrays of the first columns, complex coefficients)."""
-        columns = self.columns
+    def _binomials(self) -> np.ndarray:
+        n = 2 * max(self.orders) + 2
+        c = np.zeros((n, n))
+        c[:, 0] = 1
+        for i in range(1, n):
+            c[i, 1:] = c[i - 1, 1:] + c[i - 1, :-1]
+        return c
 
-        def run(batches):
-            for batch in batches:
-                rows = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-                keys, c = make(rows)
-                flat = np.ascontiguousarray(c).view(float).reshape(len(c), len(columns))
-                yield pa.record_batch([*(pa.array(k) for k in keys), *(pa.array(flat[:, j]) for j in range(len(columns)))], [*(x.split()[0] for x in first.split(", ")), *columns])
+    def up_matrices(self) -> np.ndarray:
+        """For each child 2 * x + y the matrix from its multipole to its parent's."""
+        p, choose = max(self.orders), self._binomials()
+        out = np.zeros((4, p + 1, p + 1), complex)
+        for child in range(4):
+            z0 = ((child >> 1) - 0.5) / 2 + 1j * ((child & 1) - 0.5) / 2  # the child's centre, in parents' widths
+            out[child, 0, 0] = 1
+            for l in range(1, p + 1):
+                out[child, l, 0] = -(z0**l) / l
+                for k in range(1, l + 1):
+                    out[child, l, k] = 0.5**k * z0 ** (l - k) * choose[l - 1, k - 1]
+        return out
 
-        return df.mapInArrow(run, self._schema(first))
+    def down_matrices(self) -> np.ndarray:
+        """For each child 2 * x + y the matrix from its parent's local to its own."""
+        p, choose = max(self.orders), self._binomials()
+        out = np.zeros((4, p + 1, p + 1), complex)
+        for child in range(4):
+            z0 = ((child >> 1) - 0.5) / 2 + 1j * ((child & 1) - 0.5) / 2
+            for l in range(p + 1):
+                for k in range(l, p + 1):
+                    out[child, l, k] = 0.5**l * choose[k, l] * z0 ** (k - l)
+        return out
 
-    @staticmethod
-    def _complex(rows: dict, columns: list[str]) -> np.ndarray:
-        return np.stack([rows[c] for c in columns], 1).astype(float).view(complex)
+    def class_matrices(self) -> dict[int, np.ndarray]:
+        """For each translation class, without its level's part, the matrix from multipoles to locals of boxes that are
+        that far apart, but for the width's logarithm."""
+        p, n, choose, out = max(self.orders), self.traversal.n, self._binomials(), {}
+        k = np.arange(1, p + 1)
+        for number in range(class_count(n, 2)):
+            v = class_vector(number, n, 2)  # from source to target
+            if max(map(abs, v)) <= n:
+                continue
+            z0 = complex(-v[0], -v[1])
+            m = np.zeros((p + 1, p + 1), complex)
+            m[0, 0], m[0, 1:] = np.log(-z0), (-1.0) ** k / z0**k
+            for l in range(1, p + 1):
+                m[l, 0] = -1 / (l * z0**l)
+                m[l, 1:] = choose[l + k - 1, k - 1] * (-1.0) ** k / z0 ** (k + l)
+            out[number] = m
+        return out
 
     def _place(self):
-        """A function that gives complex places in units of the box, from its centre."""
+        """A function that gives complex places in units of the box, from its centre, and the box's width."""
         lo, width = self.tree.lo, self.tree.width
 
         def place(x, y, level, ix, iy):
-            w = width / 2.0 ** level.astype(float)
+            w = width / 2.0**level
             return ((x - lo[0]) / w - ix - 0.5) + 1j * ((y - lo[1]) / w - iy - 0.5), w
 
         return place
 
-    def form_multipoles(self, sources):
-        place, order = self._place(), self.order
+    def add_up(self, expansions):
+        def run(batches):
+            for whole in _with_whole_groups(batches, 3):
+                for level, rows in _of_levels(whole):
+                    yield _expansions(level, _columns(rows, "ix", "iy"), _complex(rows.column(3)))
 
-        def make(r):
-            z, _ = place(r["x"], r["y"], r["level"], r["ix"], r["iy"])
-            powers = np.cumprod(np.concatenate([np.ones((len(z), 1)), np.repeat(z[:, None], order, 1)], 1), 1)
-            c = powers * r["weight"][:, None]
-            c[:, 1:] /= -np.arange(1, order + 1)
-            return (r["level"].astype("int32"), r["ix"], r["iy"]), c
+        dealt = expansions.select(*box_names(2), "c").repartition(*box_names(2)).sortWithinPartitions(*box_names(2))
+        return dealt.mapInArrow(run, self.BOX)
 
-        return add_up(self._batches(sources.select("x", "y", *box_names(2), "weight"), self.BOX, make), box_names(2))
+    def _source_columns(self) -> list[str]:
+        return ["x", "y", "weight", *self.source_columns]
 
-    def _binomials(self) -> np.ndarray:
-        n = 2 * self.order + 2
-        c = np.zeros((n, n))
-        c[:, 0] = 1
-        for i in range(1, n):
-            c[i, 1:] = c[i - 1, 1:] + c[i - 1, :-1]
-        return c
+    def form_multipoles(self, sources):
+        place, orders, dipoles = self._place(), self.orders, self.dipoles
+
+        def run(batches):
+            for batch in batches:
+                for level, rows in _of_levels(batch):
+                    x, y, weight, ix, iy = _columns(rows, "x", "y", "weight", "ix", "iy")
+                    z, w = place(x, y, level, ix, iy)
+                    k = np.arange(1, orders[level] + 1)
+                    if dipoles:
+                        dx, dy = _columns(rows, "dx", "dy")
+                        strength = -weight * (dx + 1j * dy) / w
+                        c = np.concatenate([np.zeros((len(z), 1)), strength[:, None] * z[:, None] ** (k - 1)], 1)
+                    else:
+                        c = weight[:, None] * np.concatenate([np.ones((len(z), 1)), -(z[:, None] ** k) / k], 1)
+                    yield _expansions(level, [ix, iy], c)
+
+        return self.add_up(sources.select(*self._source_columns(), *box_names(2)).mapInArrow(run, self.BOX))
 
     def coarsen_multipoles(self, multipoles):
         """From the deepest level up, each level's multipoles are moved to their parents and added to theirs."""
-        columns, order, choose = self.columns, self.order, self._binomials()
-        deepest = self.tree.boxes.agg(F.max("level")).first()[0]
-
-        def make(r):
-            a = self_complex(r, columns)
-            z0 = ((r["ix"] % 2) - 0.5) / 2 + 1j * ((r["iy"] % 2) - 0.5) / 2  # the child's centre, in parents' widths
-            b = np.zeros_like(a)
-            b[:, 0] = a[:, 0]
-            for l in range(1, order + 1):
-                b[:, l] = -a[:, 0] * z0**l / l
-                for k in range(1, l + 1):
-                    b[:, l] += a[:, k] * 0.5**k * z0 ** (l - k) * choose[l - 1, k - 1]
-            return ((r["level"] - 1).astype("int32"), r["ix"] >> 1, r["iy"] >> 1), b
+        matrices, orders = self.up_matrices(), self.orders
 
-        self_complex = self._complex
-        now, out = multipoles.where(F.col("level") == deepest), None
-        for level in range(deepest, -1, -1):
+        def run(batches):
+            for batch in batches:
+                for level, rows in _of_levels(batch):
+                    ix, iy = _columns(rows, "ix", "iy")
+                    a, child = _complex(rows.column(3)), 2 * (ix & 1) + (iy & 1)
+                    b = np.zeros((len(a), orders[level - 1] + 1), complex)
+                    for which in range(4):
+                        b[child == which] = a[child == which] @ matrices[which, : b.shape[1], : a.shape[1]].T
+                    yield _expansions(level - 1, [ix >> 1, iy >> 1], b)
+
+        multipoles = multipoles.select(*box_names(2), "c")
+        now, out = multipoles.where(F.col("level") == self.deepest), None
+        for level in range(self.deepest, -1, -1):
             out = now if out is None else out.unionByName(now)
             if level:
-                up = self._batches(now, self.BOX, make)
-                now = cut(add_up(up.unionByName(multipoles.where(F.col("level") == level - 1)), box_names(2)))
+                now = cut(self.add_up(now.mapInArrow(run, self.BOX).unionByName(multipoles.where(F.col("level") == level - 1))))
         return out
 
     def multipole_to_local(self, edges, multipoles):
-        columns, order, choose, width = self.columns, self.order, self._binomials(), self.tree.width
-        from_box = multipoles.select(*[F.col(c).alias(f"s_{c}") for c in box_names(2)], *columns)
-        self_complex = self._complex
-
-        def make(r):
-            a = self_complex(r, columns)
-            z0 = (r["s_ix"] - r["t_ix"]) + 1j * (r["s_iy"] - r["t_iy"])
-            b = np.zeros_like(a)
-            signs = (-1.0) ** np.arange(order + 1)
-            scaled = a * signs / z0[:, None] ** np.arange(order + 1)
-            b[:, 0] = scaled[:, 1:].sum(1) + a[:, 0] * (np.log(-z0) + np.log(width / 2.0 ** r["t_level"].astype(float)))
-            for l in range(1, order + 1):
-                terms = scaled[:, 1:] @ choose[l + np.arange(1, order + 1) - 1, np.arange(1, order + 1) - 1]
-                b[:, l] = (terms - a[:, 0] / l) / z0**l
-            return (r["t_level"].astype("int32"), r["t_ix"], r["t_iy"]), b
-
-        moved = self._batches(edges.join(from_box, side("s", 2)), "level int, ix bigint, iy bigint", make)
-        return add_up(moved, box_names(2))
+        """The locals by list 2, without its edges: each multipole is sent once to every colleague of its parent.
+
+        There the children of the colleague, which are told by a row that says which of them are targets, take from
+        all that arrives what is not near them. A box's multipole so goes to 8 parents (for n = 1) and not to 27 boxes, and
+        a box's local is whole where it is made.
+        """
+        n, orders, width, matrices = self.traversal.n, self.orders, self.tree.width, self.class_matrices()
+        base = 4 * n + 3
+
+        names = key_names(2)
+        bit = F.call_function("shiftleft", F.lit(1), (2 * (F.col("ix") % 2) + F.col("iy") % 2).cast("int"))
+        parents = self.traversal.target_or_target_parent_boxes.where("level > 1").groupBy("level", *[shift(F.col(k), 1).alias(f"q{k}") for k in names]).agg(F.bit_or(bit).alias("kids"))
+        none = [F.lit(None).cast("bigint").alias(k) for k in names]
+        asking = parents.select("level", "qix", "qiy", *none, "kids", F.lit(None).cast("binary").alias("c"))
+        around = multipoles.where("level > 1").select("level", *names, "c", *[shift(F.col(k), 1).alias(f"q{k}") for k in names])
+        sent = around.select("level", *names, "c", F.explode(moved(["qix", "qiy"], n)).alias("_q"))
+        sent = sent.where(inside(["_q.qix", "_q.qiy"], F.col("level") - 1)).select("level", "_q.qix", "_q.qiy", *names, F.lit(None).cast("int").alias("kids"), "c")
+        dealt = asking.unionByName(sent).repartition("level", "qix", "qiy").sortWithinPartitions("level", "qix", "qiy", F.col("kids").desc_nulls_last())
 
-    def form_locals(self, edges, sources):
-        order, place = self.order, self._place()
-        s = sources.select(*[F.col(c).alias(f"s_{c}") for c in box_names(2)], "x", "y", "weight")
+        def run(batches):
+            for whole in _with_whole_groups(batches, 3):
+                for level, rows in _of_levels(whole):
+                    qx, qy = _columns(rows, "qix", "qiy")
+                    group = np.concatenate([[0], np.cumsum((qx[1:] != qx[:-1]) | (qy[1:] != qy[:-1]))])
+                    kids = rows.column(5)
+                    is_ask = kids.is_valid().to_numpy(zero_copy_only=False)
+                    if not is_ask.any():
+                        continue
+                    asked = np.zeros(group[-1] + 1, np.int64)
+                    asked[group[is_ask]] = kids.drop_null().to_numpy()
+                    arrived = rows.filter(pa.array(~is_ask & (asked[group] > 0)))
+                    if not arrived.num_rows:
+                        continue
+                    group, qx, qy = (v[~is_ask & (asked[group] > 0)] for v in (group, qx, qy))
+                    sx, sy = _columns(arrived, "ix", "iy")
+                    a, log_width = _complex(arrived.column(6)), np.log(width / 2.0**level)
+                    p = orders[level]
+                    for child in range(4):
+                        vx, vy = 2 * qx + (child >> 1) - sx, 2 * qy + (child & 1) - sy
+                        far = (asked[group] >> child & 1 == 1) & (np.maximum(np.abs(vx), np.abs(vy)) > n)
+                        number = np.where(far, class_number([vx, vy], n), -1)
+                        out = np.zeros((asked.size, p + 1), complex)
+                        for which in np.unique(number[far]):
+                            at = np.flatnonzero(number == which)
+                            moved_here = a[at] @ matrices[which][: p + 1, : p + 1].T
+                            moved_here[:, 0] += a[at, 0] * log_width
+                            out[group[at]] += moved_here  # of one place there is one source for each target
+                        some, first = np.unique(group[far], return_index=True)
+                        if len(some):
+                            yield _expansions(level, [2 * qx[far][first] + (child >> 1), 2 * qy[far][first] + (child & 1)], out[some])
+
+        return dealt.mapInArrow(run, self.BOX)
 
-        def make(r):
-            z, w = place(r["x"], r["y"], r["t_level"], r["t_ix"], r["t_iy"])
-            c = r["weight"][:, None] * np.concatenate([(np.log(-z) + np.log(w))[:, None], -1 / (np.arange(1, order + 1) * z[:, None] ** np.arange(1, order + 1))], 1)
-            return (r["t_level"].astype("int32"), r["t_ix"], r["t_iy"]), c
+    def form_locals(self, edges, sources):
+        orders, place, dipoles = self.orders, self._place(), self.dipoles
+        s = sources.select(*[F.col(c).alias(f"s_{c}") for c in box_names(2)], *self._source_columns())
 
-        return add_up(self._batches(edges.join(s, side("s", 2)), self.BOX, make), box_names(2))
+        def run(batches):
+            for batch in batches:
+                for level, rows in _of_levels(batch):
+                    x, y, weight, ix, iy = _columns(rows, "x", "y", "weight", "ix", "iy")
+                    z, w = place(x, y, level, ix, iy)
+                    k = np.arange(1, orders[level] + 1)
+                    if dipoles:
+                        dx, dy = _columns(rows, "dx", "dy")
+                        c = (weight * (dx + 1j * dy) / w)[:, None] / z[:, None] ** np.arange(1, orders[level] + 2)
+                    else:
+                        c = weight[:, None] * np.concatenate([(np.log(-z) + np.log(w))[:, None], -1 / (k * z[:, None] ** k)], 1)
+                    yield _expansions(level, [ix, iy], c)
+
+        near = edges.join(s, side("s", 2)).select(*_from("t", 2), *self._source_columns())
+        return self.add_up(near.mapInArrow(run, self.BOX))
 
     def refine_locals(self, local):
         """From the root down, each box's local is moved to its children and added to theirs."""
-        columns, order, choose = self.columns, self.order, self._binomials()
-        deepest = self.tree.boxes.agg(F.max("level")).first()[0]
-        self_complex = self._complex
-
-        def make(r):
-            a = self_complex(r, columns)
-            z0 = ((r["ix"] % 2) - 0.5) / 2 + 1j * ((r["iy"] % 2) - 0.5) / 2
-            b = np.zeros_like(a)
-            for l in range(order + 1):
-                for k in range(l, order + 1):
-                    b[:, l] += a[:, k] * choose[k, l] * z0 ** (k - l)
-                b[:, l] *= 0.5**l
-            return (r["level"].astype("int32"), r["ix"], r["iy"]), b
+        matrices, orders = self.down_matrices(), self.orders
 
+        def run(batches):
+            for batch in batches:
+                for level, rows in _of_levels(batch):
+                    ix, iy = _columns(rows, "ix", "iy")
+                    a, child = _complex(rows.column(3)), 2 * (ix & 1) + (iy & 1)
+                    b = np.zeros((len(a), orders[level] + 1), complex)
+                    for which in range(4):
+                        b[child == which] = a[child == which] @ matrices[which, : b.shape[1], : a.shape[1]].T
+                    yield _expansions(level, [ix, iy], b)
+
+        local = local.select(*box_names(2), "c")
         now, out = local.where(F.col("level") == 0), None
-        for level in range(deepest + 1):
+        for level in range(self.deepest + 1):
             out = now if out is None else out.unionByName(now)
-            if level < deepest:
+            if level < self.deepest:
                 below = self.tree.boxes.where(F.col("level") == level + 1).select(*box_names(2), *[shift(F.col(k), 1).alias(f"_{k}") for k in key_names(2)])
-                above = now.select(*[F.col(k).alias(f"_{k}") for k in key_names(2)], *columns)
-                down = self._batches(below.join(above, [f"_{k}" for k in key_names(2)]).select(*box_names(2), *columns), self.BOX, make)
-                now = cut(add_up(down.unionByName(local.where(F.col("level") == level + 1)), box_names(2)))
+                above = now.select(*[F.col(k).alias(f"_{k}") for k in key_names(2)], "c")
+                down = below.join(above, [f"_{k}" for k in key_names(2)]).select(*box_names(2), "c").mapInArrow(run, self.BOX)
+                now = cut(self.add_up(down.unionByName(local.where(F.col("level") == level + 1))))
         return out
 
     def _evaluate(self, rows: DataFrame, inverse: bool) -> DataFrame:
-        columns, order, place = self.columns, self.order, self._place()
-        self_complex = self._complex
+        """The outputs at points of rows from their expansions: power series, or series of inverse powers."""
+        place, names = self._place(), self.outputs
 
         def run(batches):
             for batch in batches:
-                r = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
-                z, w = place(r["x"], r["y"], r["level"], r["ix"], r["iy"])
-                a = self_complex(r, columns)
-                if inverse:
-                    value = a[:, 0] * (np.log(z) + np.log(w)) + (a[:, 1:] / z[:, None] ** np.arange(1, order + 1)).sum(1)
-                else:
-                    value = (a * z[:, None] ** np.arange(order + 1)).sum(1)
-                yield pa.record_batch([batch.column(batch.schema.names.index("pid")), pa.array(value.real)], ["pid", "potential"])
-
-        return rows.mapInArrow(run, "pid bigint, potential double")
+                for level, r in _of_levels(batch):
+                    pid, x, y, ix, iy = _columns(r, "pid", "x", "y", "ix", "iy")
+                    z, w = place(x, y, level, ix, iy)
+                    a = _complex(r.column(r.schema.names.index("c")))
+                    k = np.arange(a.shape[1])
+                    powers = z[:, None] ** (-k if inverse else k)
+                    if inverse:
+                        value = a[:, 0] * (np.log(z) + np.log(w)) + (a[:, 1:] * powers[:, 1:]).sum(1)
+                        slope = (a[:, 0] - (k[1:] * a[:, 1:] * powers[:, 1:]).sum(1)) / z / w
+                    else:
+                        value = (a * powers).sum(1)
+                        slope = (k[1:] * a[:, 1:] * powers[:, :-1]).sum(1) / w
+                    columns = [value.real, slope.real, -slope.imag][: len(names)]
+                    yield pa.record_batch([pa.array(pid), *map(pa.array, columns)], ["pid", *names])
+
+        return rows.select("pid", "x", "y", *box_names(2), "c").mapInArrow(run, "pid bigint, " + ", ".join(f"{c} double" for c in names))
 
     def eval_locals(self, local, targets):
         return self._evaluate(targets.join(local, box_names(2)), False)
@@ -321,7 +503,17 @@ class Laplace2D(Kernel):
         return self._evaluate(near.select("pid", "x", "y", *_from("s", 2)).join(multipoles, box_names(2)), True)
 
     def eval_direct(self, edges, sources, targets):
-        return direct(edges, sources, targets, 2, F.col("weight") * F.log(squared_distance(2)) / 2)
+        return direct(edges, sources, targets, 2, dict(zip(self.outputs, laplace_2d(self.dipoles))), self.source_columns)
+
+    def finalize(self, value):
+        return value * F.lit(SCALES["laplace", 2])
+
 
-    def finalize(self, potential):
-        return potential * F.lit(-1 / (2 * np.pi))
+def laplace_2d(dipoles: bool = False) -> list[Column]:
+    """What a source adds to a target's potential and the two parts of its gradient, but for the scale."""
+    x, y, r2, w = F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"), squared_distance(2), F.col("weight")
+    if not dipoles:
+        return [w * F.log(r2) / 2, w * x / r2, w * y / r2]
+    dx, dy = F.col("dx"), F.col("dy")
+    along, across = x * x - y * y, 2 * x * y
+    return [-w * (dx * x + dy * y) / r2, w * (dx * along + dy * across) / (r2 * r2), w * (dx * across - dy * along) / (r2 * r2)]

@@ -205,7 +205,7 @@ DEAL = 1 << 21
 FREQUENT = 1 << 20
 #: Bits of a text's marks, a power of two.
 MARKS = 2048
-#: Rounds in which neighbours in crowded keys are linked before all other pairs are looked for. It bears on speed alone.
+#: Rounds in which nearest texts in crowded keys are linked before all other pairs are looked for. It bears on speed alone.
 ROUNDS = 2
 #: Bits of the filter by which texts are chosen whose sets are compared, a power of two.
 SIEVE = 1 << 26
@@ -462,35 +462,30 @@ def _may_be_similar(a, b, marks_a: np.ndarray, marks_b: np.ndarray, similarity:
     return (both - apart) / 2 >= similarity / (1 + similarity) * both - 1e-6
 
 
-def open_pairs(entries: DataFrame, marks: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
-    """(u, v) for all rows of entries that may be similar and have different roots.
-
-    Pairs come from every key they share. One that shares only crowded keys is made where it has enough
-    of them and their marks allow it; others count the keys that are not crowded, to which the crowded ones
-    of the row with fewer of them are added. All are upper bounds of what the texts have in common, so no
-    similar pair is lost.
-    """
+def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """entries with the _root that their texts have by now and how many crowded keys these have (_crowds), without
+    the keys whose rows all have one root: they have nothing to add."""
     crowd = entries.where("_crowded").groupBy("_n").agg(F.count(F.lit(1)).alias("_crowds"))
     rows = with_roots(entries, roots).join(crowd, "_n", "left")
     rows = rows.select("_key", "_n", "_size", "_crowded", F.coalesce("_crowds", F.lit(0)).cast("int").alias("_crowds"), "_root")
-    # A key whose rows all have one root already has nothing to add.
     mixed = rows.groupBy("_key").agg((F.min("_root") < F.max("_root")).alias("_mixed")).where("_mixed").select("_key")
-    rows = cut(rows.join(mixed, "_key"))
+    return cut(rows.join(mixed, "_key"))
 
-    def few(batches):
-        for key, n, size, crowds, root in _whole_groups(batches):
-            apart = 1
-            while apart < len(key) and len(i := np.flatnonzero(key[apart:] == key[:-apart])):
-                j = i + apart
-                fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_common(np.maximum(size[i], size[j]), similarity))
-                i, j = i[fits], j[fits]
-                need = least_in_prefixes(size[i], size[j], similarity) - np.minimum(crowds[i], crowds[j])
-                yield pa.record_batch([*_batch_of_pairs(n[i], n[j]).columns, pa.array(need)], ["u", "v", "need"])
-                apart += 1
+
+def _by_key(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("_key", "_n", "_size", "_crowds", "_root", *more).repartition("_key").sortWithinPartitions("_key")
+
+
+def crowded_pairs(rows: DataFrame, marks: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """(u, v, _apart) for rows in crowded keys that have enough of them in common with one of another root, and whose marks
+    leave it open that they are similar; _apart is the share of their shingles that is not common at least.
+
+    Roots with more rows in a key come first: rows are compared with those of the roots before theirs, with all of
+    them, or to give the nearest one alone.
+    """
 
     def many(batches):
         for _, n, size, crowds, root, odd in _groups_of(batches):
-            # Roots with more rows first: rows are compared with those of the roots before theirs.
             _, which, rows_of = np.unique(root, return_inverse=True, return_counts=True)
             rank = np.argsort(np.argsort(-rows_of, kind="stable"), kind="stable")[which]
             order = np.argsort(size, kind="stable")
@@ -501,15 +496,42 @@ def open_pairs(entries: DataFrame, marks: DataFrame, roots: DataFrame | None, si
                 fits = (rank[low:high] < rank[at]) & (least_in_prefixes(size[at], size[low:high], similarity) <= np.minimum(crowds[at], crowds[low:high]))
                 other = low + np.flatnonzero(fits)
                 other = other[_may_be_similar(size[at], size[other], bits[at], bits[other], similarity)]
-                if len(other):
-                    yield _batch_of_pairs(np.full(len(other), n[at]), n[other])
+                if not len(other):
+                    continue
+                apart = np.bitwise_count(bits[at] ^ bits[other]).sum(-1, dtype=np.int64) / np.add(size[at], size[other], dtype=np.float64)
+                if nearest:
+                    best = np.lexsort((n[other], apart))[:1]
+                    other, apart = other[best], apart[best]
+                yield pa.record_batch([pa.array(np.full(len(other), n[at])), pa.array(n[other]), pa.array(apart)], ["u", "v", "_apart"])
+
+    marked = rows.where("_crowded").join(marks.select("_n", "_marks"), "_n")
+    return _by_key(marked, "_marks").mapInArrow(many, "u bigint, v bigint, _apart double")
+
+
+def open_pairs(entries: DataFrame, marks: DataFrame, roots: DataFrame | None, similarity: float) -> DataFrame:
+    """(u, v) for all rows of entries that may be similar and have different roots.
+
+    Pairs come from every key they share. One that shares only crowded keys is made where it has enough
+    of them and their marks allow it; others count the keys that are not crowded, to which the crowded ones
+    of the row with fewer of them are added. All are upper bounds of what the texts have in common, so no
+    similar pair is lost.
+    """
+    rows = _rooted(entries, roots)
 
-    def by_key(some: DataFrame, *more: str) -> DataFrame:
-        return some.select("_key", "_n", "_size", "_crowds", "_root", *more).repartition("_key").sortWithinPartitions("_key")
+    def few(batches):
+        for key, n, size, crowds, root in _whole_groups(batches):
+            apart = 1
+            while apart < len(key) and len(i := np.flatnonzero(key[apart:] == key[:-apart])):
+                j = i + apart
+                fits = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least_common(np.maximum(size[i], size[j]), similarity))
+                i, j = i[fits], j[fits]
+                need = least_in_prefixes(size[i], size[j], similarity) - np.minimum(crowds[i], crowds[j])
+                yield pa.record_batch([*_batch_of_pairs(n[i], n[j]).columns, pa.array(need)], ["u", "v", "need"])
+                apart += 1
 
-    crowded = by_key(rows.where("_crowded").join(marks.select("_n", "_marks"), "_n"), "_marks")
-    counted = by_key(rows.where("NOT _crowded")).mapInArrow(few, "u bigint, v bigint, need bigint").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
-    return counted.where("shared >= need").select("u", "v").unionByName(crowded.mapInArrow(many, "u bigint, v bigint")).distinct()
+    counted = _by_key(rows.where("NOT _crowded")).mapInArrow(few, "u bigint, v bigint, need bigint").groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
+    crowded = crowded_pairs(rows, marks, similarity, nearest=False).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return counted.where("shared >= need").select("u", "v").unionByName(crowded).distinct()
 
 
 def with_both(pairs: DataFrame, values: DataFrame) -> DataFrame:
@@ -594,10 +616,10 @@ def similarity_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8,
     compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
     possible = lambda pairs: possible_pairs(pairs, marks, similarity)
     roots = cut(components(compare(possible(likely_links(neighbour_pairs(entries, None, similarity))))))
-    # Crowded keys are where pairs grow with the square of a group.
+    # Crowded keys are where pairs grow with the square of a group: each text's nearest one of another root goes first.
     crowded = cut(entries.where("_crowded"))
     for _ in range(ROUNDS if crowded.take(1) else 0):
-        more = compare(closest(possible(neighbour_pairs(crowded, roots, similarity))))
+        more = compare(closest(crowded_pairs(_rooted(crowded, roots), marks, similarity, nearest=True)))
         if not more.take(1):
             break
         roots = joined(roots, more)

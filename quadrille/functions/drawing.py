@@ -31,5 +31,12 @@ def roman(n: Column) -> Column:
 
 
 def padded_binary(n: Column, digits: int) -> Column:
-    """A number in base 2, with zeros in front."""
-    return F.lpad(F.bin(n), digits, "0")
+    """A number in base 2, with zeros in front up to so many digits; a longer one stays whole."""
+    bits = F.bin(n)
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(digits) - F.char_length(bits), F.lit(0))), bits)
+
+
+def filled_lines(tree: Tree, boxes: DataFrame, color: str) -> DataFrame:
+    """A line of TikZ that fills each of the boxes (level, ix, iy), such as one box's part of an interaction list."""
+    r = rectangles(tree, leaves_only=False).join(boxes.select("level", "ix", "iy"), ["level", "ix", "iy"], "left_semi")
+    return r.select("level", "ix", "iy", F.format_string(f"\\fill[{color}] (%.5f,%.5f) rectangle (%.5f,%.5f);", "x0", "y0", "x1", "y1").alias("line"))

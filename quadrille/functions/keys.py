@@ -11,8 +11,8 @@ from itertools import product
 from pyspark.sql import Column, functions as F
 
 AXES = ("x", "y", "z")
-#: Deepest level; keys of 30 bits and their shifts are exact.
-TOP = 30
+#: Deepest level; keys of 60 bits, and their shifts and neighbours, are exact in 64.
+TOP = 60
 
 
 def axes(d: int) -> list[str]:

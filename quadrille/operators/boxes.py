@@ -5,15 +5,45 @@ A tree is a table (level, keys, is_leaf); flags are tables of boxes.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.functions.keys import axes, box_names, children, key_names, power2, shift
+from quadrille.functions.ordering import numbered
+from quadrille.operators.tree import Tree, with_path
+from quadrille.plans.shared import cut
 
 
-def root(spark: SparkSession, d: int) -> DataFrame:
+def root(spark: SparkSession, d: int, bbox=None) -> DataFrame:
+    """The root box alone. bbox, (low, high) for each axis, is checked to be a cube."""
+    if bbox is not None:
+        if len(bbox) != d:
+            raise ValueError("the bounding box needs a pair for each axis")
+        cube_of(bbox)
     return spark.range(1).select(F.lit(0).alias("level"), *[F.lit(0).cast("long").alias(k) for k in key_names(d)], F.lit(True).alias("is_leaf"))
 
 
+def cube_of(bbox) -> tuple[tuple[float, ...], float]:
+    """The low corner and the width of a bounding box that is given as (low, high) for each axis; it must be a cube."""
+    widths = [float(high) - float(low) for low, high in bbox]
+    if min(widths) <= 0 or not all(math.isclose(w, widths[0], rel_tol=1e-5, abs_tol=1e-8) for w in widths):
+        raise ValueError("the bounding box must have the same width on all axes")
+    return tuple(float(low) for low, _ in bbox), widths[0]
+
+
+def as_tree(tree: DataFrame, d: int, bbox) -> Tree:
+    """Boxes alone as a tree that lists can be made of: each box is a source and a target, and there are no points."""
+    lo, width = cube_of(bbox)
+    boxes = cut(tree.select(*box_names(d), (~F.col("is_leaf")).alias("is_split")))
+    return Tree(d, lo, tuple(l + width for l in lo), boxes, None, boxes.where("is_split").select(*box_names(d)))
+
+
+def with_ids(tree: DataFrame, d: int) -> DataFrame:
+    """The boxes with box_id from 0, by level and then by the way from the root, whatever was refined or removed before."""
+    return numbered(with_path(tree, d), ["level", "path"], "box_id").drop("path")
+
+
 def with_leaves(boxes: DataFrame, d: int) -> DataFrame:
     """boxes (level, keys) with is_leaf: whether no box is below."""
     parents = boxes.where("level > 0").select((F.col("level") - 1).alias("level"), *[shift(F.col(k), 1).alias(k) for k in key_names(d)], F.lit(True).alias("_parent")).distinct()

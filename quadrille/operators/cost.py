@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quadrille.functions.keys import box_names
+from quadrille.functions.keys import TOP, box_names
 from quadrille.operators.traversal import Traversal, prefixed, side
 
 PARAMETERS = ("c_p2p", "c_p2l", "c_l2p", "c_p2m", "c_m2p", "c_m2m", "c_l2l", "c_m2l")
@@ -44,7 +44,7 @@ class CostModel:
         self.traversal, self.d, self.c = traversal, traversal.tree.d, parameters or unit_parameters()
         spark = traversal.tree.boxes.sparkSession
         # A row for each level there can be, so it can always be broadcast.
-        rows = [(n, *(float(self.c[k] * cost.coefficients(n)) for k in ("c_p2m", "c_l2p", "c_m2p", "c_p2l")), float(self.c["c_m2l"] * cost.between(n, n)), float(self.c["c_m2m"] * cost.between(n + 1, n)), float(self.c["c_l2l"] * cost.between(n, n + 1))) for n in range(32)]
+        rows = [(n, *(float(self.c[k] * cost.coefficients(n)) for k in ("c_p2m", "c_l2p", "c_m2p", "c_p2l")), float(self.c["c_m2l"] * cost.between(n, n)), float(self.c["c_m2m"] * cost.between(n + 1, n)), float(self.c["c_l2l"] * cost.between(n, n + 1))) for n in range(TOP + 2)]
         self.factors = spark.createDataFrame(rows, "level int, p2m double, l2p double, m2p double, p2l double, m2l double, m2m double, l2l double")
 
     def _factor(self, df: DataFrame, name: str, level: str = "level") -> DataFrame:

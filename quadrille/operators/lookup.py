@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from quadrille.functions.keys import axes, box_names, key_names, levels, power2, raised, shift
 from quadrille.operators.traversal import prefixed, side, touching
 from quadrille.operators.tree import Tree
+from quadrille.plans.shared import cut
 
-#: Leaves below a cell of this level or above are looked up in so many parts.
-LARGE, SPREAD = 3, 64
+#: A cell with more leaves below is looked up in parts of about so many.
+PART = 4096
 
 
 def peers(tree: Tree) -> DataFrame:
@@ -30,11 +32,13 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
     boxes are at least as large as it, where it overlaps few cells: leaves below are
     known there by their ancestor, larger leaves at their own level. The candidates of
     this equi-join are then tested exactly. Only levels that have leaves, or balls whose
-    deepest it is, take part, and the leaves below a large cell are dealt to SPREAD parts.
-    Balls with a null are in no pair. The result has the ball's columns, prefixed by
+    deepest it is, take part, and the leaves below a cell that has many, on whatever level it is, are
+    dealt to parts by their number.
+    Balls with a null are in no pair; a negative radius is an error. The result has the ball's columns, prefixed by
     ball_, and the leaf's keys.
     """
     d, names = tree.d, key_names(tree.d)
+    balls = _checked(balls, d)
     on_leaves = sorted(r["level"] for r in tree.leaves().select("level").distinct().collect())  # at most TOP + 1
     usable = balls.dropna(subset=["radius", *axes(d)])
     fits = F.size(F.filter(levels(1, F.lit(on_leaves[-1])), lambda l: F.col("radius") <= F.lit(tree.width) / power2(l) / 2))
@@ -43,20 +47,49 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
     # At its deepest level a ball also looks for the leaves below, at the others for leaves of just that level.
     at = at.withColumn("_level", F.explode(F.filter(levels(0, F.col("_deep")), lambda l: l.isin(*on_leaves) | (l == F.col("_deep")))))
     at = at.withColumn("_same", F.explode(F.when(F.col("_level") == F.col("_deep"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
-    large = ~F.col("_same") & (F.col("_level") <= LARGE)
-    at = at.withColumn("_part", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))))
     width, last = F.lit(tree.width) / power2(F.col("_level")), raised(F.lit(1).cast("long"), F.col("_level")) - 1
     for i, (a, k) in enumerate(zip(axes(d), names)):
         cell = lambda v: F.floor((v - F.lit(tree.lo[i])) / width)
         first = F.greatest(cell(F.col(f"ball_{a}") - F.col("ball_radius")) - 1, F.lit(0)).cast("long")
         end = F.least(cell(F.col(f"ball_{a}") + F.col("ball_radius")) + 1, last).cast("long")
         at = at.withColumn(f"_{k}", F.explode(F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
-    known = F.filter(levels(0, F.col("level")), lambda l: l.isin(*on_balls, -1) | (l == F.col("level")))
+    leaves, heavy = keyed_leaves(tree, on_balls)
+    at = at.join(heavy, ["_same", *_cell(d)], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    found = at.join(leaves, ["_same", "_part", *_cell(d)])
+    return found.where(distance(tree) <= F.col("ball_radius") + tree.radius(F.col("level"))).select("ball_id", *[f"ball_{a}" for a in axes(d)], "ball_radius", *box_names(d))
+
+
+def _cell(d: int) -> list[str]:
+    return ["_level", *[f"_{k}" for k in key_names(d)]]
+
+
+def _checked(balls: DataFrame, d: int) -> DataFrame:
+    """balls, if they have numbers for their centres and radii; a negative radius fails when it is read."""
+    for c in ("radius", *axes(d)):
+        if c not in balls.columns:
+            raise ValueError(f"balls need the column {c}")
+        if not isinstance(balls.schema[c].dataType, NumericType):
+            raise TypeError(f"the balls' column {c} must hold numbers")
+    if "ball_id" not in balls.columns:
+        raise ValueError("balls need the column ball_id")
+    radius = F.when(F.col("radius") < 0, F.raise_error(F.lit("radii must not be negative")).cast("double")).otherwise(F.col("radius").cast("double"))
+    return balls.select("ball_id", *axes(d), radius.alias("radius"))
+
+
+def keyed_leaves(tree: Tree, on: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The leaves by the cells (_level, _ix, ..) that they are in at the levels on, with _same set where that is their own level,
+    and the _part of the cell's leaves that they are in; and the cells in several parts, with their number _parts.
+
+    A cell has so many parts that none holds many more than PART leaves: so a key is not larger where points are clustered.
+    """
+    d, names = tree.d, key_names(tree.d)
+    known = F.filter(levels(0, F.col("level")), lambda l: l.isin(*on, -1) | (l == F.col("level")))
     leaves = tree.leaves().select(*box_names(d), F.explode(known).alias("_level"))
     leaves = leaves.select("*", (F.col("level") == F.col("_level")).alias("_same"), *[shift(F.col(k), F.col("level") - F.col("_level")).alias(f"_{k}") for k in names])
-    leaves = leaves.withColumn("_part", F.when(large, F.pmod(F.hash(*names), F.lit(SPREAD))).otherwise(0))
-    found = at.join(leaves, ["_same", "_level", "_part", *[f"_{k}" for k in names]])
-    return found.where(distance(tree) <= F.col("ball_radius") + tree.radius(F.col("level"))).select("ball_id", *[f"ball_{a}" for a in axes(d)], "ball_radius", *box_names(d))
+    counts = leaves.where("NOT _same").groupBy("_same", *_cell(d)).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    heavy = cut(counts.where("_parts > 1"))
+    dealt = leaves.join(heavy, ["_same", *_cell(d)], "left")
+    return dealt.withColumn("_part", F.pmod(F.hash(*names), F.coalesce("_parts", F.lit(1)))).drop("_parts"), heavy
 
 
 def distance(tree: Tree) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quadrille.functions.keys import axes, block, box_names, inside, key_names, levels, moved, offsets, shift, within
 from quadrille.operators.tree import Tree, box_extents
@@ -72,6 +72,8 @@ class Traversal:
     min_sources: int = 0
     #: Boxes (level, keys) that may be sources; all if there is none.
     source_mask: DataFrame | None = None
+    #: Boxes (level, keys) that may be parents of sources: list 3 goes down through these alone. All if there is none.
+    source_parent_mask: DataFrame | None = None
     _made: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -84,10 +86,13 @@ class Traversal:
             if self.tree.norm == "l2" and self.criterion == "static_linf":
                 raise ValueError("static_linf does not go with the l2 norm")
         d = self.tree.d
-        boxes = self.tree.boxes.withColumn("is_source", F.col("n_src_own") > 0).withColumn("is_target", F.col("n_tgt_own") > 0)
-        if self.source_mask is not None:
-            mask = self.source_mask.select(*box_names(d)).distinct().withColumn("_in", F.lit(True))
-            boxes = boxes.join(mask, box_names(d), "left").withColumn("is_source", F.col("is_source") & F.coalesce("_in", F.lit(False))).drop("_in")
+        # A tree of boxes alone has no points: each of its boxes is a source and a target.
+        holds = lambda c: F.col(c) > 0 if self.tree.particles is not None else F.lit(True)
+        boxes = self.tree.boxes.withColumns({"is_source": holds("n_src_own"), "is_target": holds("n_tgt_own"), "is_source_parent": F.col("is_split")})
+        for given, flag in ((self.source_mask, "is_source"), (self.source_parent_mask, "is_source_parent")):
+            if given is not None:
+                mask = given.select(*box_names(d)).distinct().withColumn("_in", F.lit(True))
+                boxes = boxes.join(mask, box_names(d), "left").withColumn(flag, F.col(flag) & F.coalesce("_in", F.lit(False))).drop("_in")
         self.boxes = cut(boxes)
 
     def _once(self, name: str, make) -> DataFrame:
@@ -101,7 +106,7 @@ class Traversal:
 
     @property
     def source_parent_boxes(self) -> DataFrame:
-        return self.boxes.where("is_split").select(*box_names(self.tree.d))
+        return self.boxes.where("is_source_parent").select(*box_names(self.tree.d))
 
     @property
     def target_boxes(self) -> DataFrame:
@@ -111,6 +116,14 @@ class Traversal:
     def target_or_target_parent_boxes(self) -> DataFrame:
         return self.boxes.where("is_target OR is_split").select(*box_names(self.tree.d))
 
+    def class_levels(self) -> DataFrame:
+        """For each class of boxes and level that has some: n_boxes, and first, how many there are on the levels above."""
+        flags = {"source": "is_source", "source_parent": "is_source_parent", "target": "is_target", "target_or_parent": "is_target OR is_split"}
+        kinds = F.array_compact(F.array(*[F.when(F.expr(flag), F.lit(name)) for name, flag in flags.items()]))
+        counts = self.boxes.select("level", F.explode(kinds).alias("box_class")).groupBy("box_class", "level").agg(F.count(F.lit(1)).alias("n_boxes"))
+        above = W.partitionBy("box_class").orderBy("level").rowsBetween(W.unboundedPreceding, -1)  # of a few levels
+        return counts.withColumn("first", F.coalesce(F.sum("n_boxes").over(above), F.lit(0)))
+
     def _edges(self, df: DataFrame) -> DataFrame:
         return df.select(*side("t", self.tree.d), *side("s", self.tree.d))
 
@@ -132,9 +145,9 @@ class Traversal:
         def make():
             d = self.tree.d
             t, s = prefixed(self.target_boxes, "t", d), prefixed(self.source_boxes, "s", d)
-            # Boxes with points of their own that hold other boxes; they take extents, and have at most TOP + 1 levels.
+            # Boxes with points of their own that hold other boxes: they take extents, or boxes alone. TOP + 1 levels at most.
             holding = self.boxes.where("is_split AND (is_source OR is_target)").select("level").distinct()
-            own = tuple(r["level"] for r in holding.collect()) if self.tree.has_extent else ()
+            own = tuple(r["level"] for r in holding.collect()) if self.tree.has_extent or self.tree.particles is None else ()
             up = touching(t, "t", s, "s", d, own)
             down = touching(s, "s", t, "t", d, own).where("s_level > t_level")
             return self._edges(up).unionByName(self._edges(down))
@@ -193,7 +206,8 @@ class Traversal:
             bounds = prefixed(box_extents(self.tree, ("t", "b")), "t", d, *[f"{m}_{a}" for a in axes(d) for m in ("min", "max")])
             start = start.join(bounds, side("t", d))
             extra = bounds.columns[1 + d :]
-        source = prefixed(self.boxes.where("is_source OR is_split"), "s", d, "is_source", "is_split", "n_src_cumul")
+        counted = ("n_src_cumul",) if self.tree.has_extent else ()
+        source = prefixed(self.boxes.where("is_source OR is_source_parent"), "s", d, "is_source", "is_source_parent", *counted)
         enough = F.col("s_n_src_cumul") >= self.min_sources if self.tree.has_extent else F.lit(True)
         far, close, now = [], [], cut(start)
         while now.take(1):
@@ -202,7 +216,7 @@ class Traversal:
             found = cut(below.join(source, side("s", d)).withColumn("_touch", near("t", d, 1)).withColumn("_ok", ~F.col("_touch") & self._separated() & enough))
             far.append(self._edges(found.where("_ok")))
             close.append(self._edges(found.where("NOT _ok AND NOT _touch AND s_is_source")))
-            now = found.where("NOT _ok AND s_is_split").select(*side("t", d), *extra, *side("s", d))
+            now = found.where("NOT _ok AND s_is_source_parent").select(*side("t", d), *extra, *side("s", d))
         none = self._edges(now)
         for f in far:
             none = none.unionByName(f)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from quadrille.functions.keys import TOP, axes, box_names, children, grid_key, inside, key_names, levels, moved, path, power2, shift
 from quadrille.functions.ordering import numbered, running
@@ -23,10 +24,25 @@ NORMS = ("linf", "l2")
 ROOT_EXTENT_STRETCH = 1e-4
 
 
+#: A coordinate's significant bits, by type: a tree has less than twice as many levels, and not more than keys have bits.
+SIGNIFICANT = {"float": 24, "double": 53}
+
+
 class MaxLevelsExceeded(RuntimeError):
     """A box at the deepest level still holds more than the limit."""
 
 
+def deepest_level(particles: DataFrame, d: int) -> int:
+    """The deepest level that a tree over these points may have, by the type of their coordinates: all axes have
+    the same, float or double; whole numbers count as double."""
+    kinds = {particles.schema[a].dataType for a in axes(d)}
+    if not all(isinstance(k, NumericType) for k in kinds):
+        raise TypeError("coordinates must be numbers")
+    if len(kinds) > 1:
+        raise TypeError("coordinates must have the same type on all axes")
+    return min(2 * SIGNIFICANT.get(kinds.pop().typeName(), SIGNIFICANT["double"]) - 2, TOP)
+
+
 @dataclass(frozen=True)
 class Tree:
     """boxes: level, keys, n_own, n_src_own, n_tgt_own, n_cumul, n_src_cumul, n_tgt_cumul, is_split.
@@ -66,6 +82,14 @@ def bounding_box(particles: DataFrame, d: int) -> tuple[list[float], list[float]
     return list(row[0::2]), list(row[1::2])
 
 
+def root_box_row(particles: DataFrame, d: int) -> DataFrame:
+    """The root box as a table of one row: lo_x, .., hi_x, .. All null if there are no points."""
+    r = F.col("radius") if "radius" in particles.columns else F.lit(0.0)
+    found = particles.agg(*[f(F.col(a) - s * r).alias(f"{n}_{a}") for a in axes(d) for n, f, s in (("lo", F.min, 1), ("_hi", F.max, -1))])
+    extent = F.greatest(*[F.col(f"_hi_{a}") - F.col(f"lo_{a}") for a in axes(d)], F.lit(0.0)) * (1 + ROOT_EXTENT_STRETCH)
+    return found.select(*[f"lo_{a}" for a in axes(d)], *[(F.col(f"lo_{a}") + extent).alias(f"hi_{a}") for a in axes(d)])
+
+
 def root_box(low: list[float], high: list[float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """A cube from the low corner on, a little larger than the largest range."""
     extent = max(h - l for l, h in zip(low, high)) * (1 + ROOT_EXTENT_STRETCH)
@@ -98,7 +122,9 @@ def _descends(d: int, lo, hi, stick_out: float, norm: str) -> Column:
             out &= (F.col(a) + r < c + room) & (F.col(a) - r >= c - room)
         return out
 
-    return F.when(r == 0, TOP + 1).otherwise(F.size(F.filter(levels(1, F.lit(TOP)), fits)))
+    # Where a box's room is less than the radius, no point with it fits.
+    last = F.least(F.floor(F.log2(F.lit((1 + stick_out) * width) / r)), F.lit(TOP))
+    return F.when(r == 0, TOP + 1).otherwise(F.size(F.filter(levels(1, last), fits)))
 
 
 def _raised_cells(groups: DataFrame, d: int, first: int, amount: Column) -> DataFrame:
@@ -108,12 +134,12 @@ def _raised_cells(groups: DataFrame, d: int, first: int, amount: Column) -> Data
     return at.groupBy("level", *[shift(F.col(k), up).alias(k) for k in key_names(d)]).agg(F.sum(amount).alias("w"))
 
 
-def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, reached: bool = False) -> tuple[DataFrame, int]:
+def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, deepest_allowed: int, reached: bool = False) -> tuple[DataFrame, int]:
     """The cells (level, keys) over the limit, and the deepest level with one (-1 if there is none): by the
     weight of points that may descend, or, if reached is set, of all that reach them."""
     names, first, active, found, lowest = key_names(d), 0, points, [], -1
     while True:
-        last = min(first + levels_at_once - 1, TOP)
+        last = min(first + levels_at_once - 1, deepest_allowed)
         m = F.least(F.col("_desc"), F.lit(last)).cast("int")
         keyed = active.select(m.alias("_m"), *[shift(F.col(f"_k{a}"), TOP - m).alias(k) for a, k in zip(axes(d), names)], "weight", "_desc")
         groups = cut(keyed.groupBy("_m", *names).agg(F.sum("weight").alias("_w"), F.sum(F.when(F.col("_desc") > last, F.col("weight")).otherwise(0)).alias("_on")))
@@ -124,8 +150,8 @@ def _split_cells(points: DataFrame, d: int, limit: int, levels_at_once: int, rea
         lowest = lowest if deepest is None else deepest
         if deepest is None or deepest < last:
             break
-        if last == TOP:
-            raise MaxLevelsExceeded(f"a box at level {TOP} holds more than {limit}")
+        if last == deepest_allowed:
+            raise MaxLevelsExceeded(f"a box at level {last} holds more than {limit}: the points in it cannot be told apart by their coordinates")
         here = over.where(F.col("level") == last)
         on = [shift(F.col(f"_k{a}"), TOP - last) == F.col(k) for a, k in zip(axes(d), names)]
         active, first = active.where(F.col("_desc") > last).join(here, on, "left_semi"), last + 1
@@ -183,7 +209,8 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
 
     Either max_particles or max_weight (with a weight column) is the limit of a box.
     Points with a radius need stick_out; they stay at the last box that, enlarged by
-    that factor, holds them. Points with a null coordinate are an error.
+    that factor, holds them; such points need a role. Points with a null coordinate are an error. bbox, (low, high) for
+    each axis, is the root box; it must be a cube and hold all points.
     """
     names = key_names(d)
     if d not in (1, 2, 3):
@@ -195,6 +222,11 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     if (max_particles is None) == (max_weight is None):
         raise ValueError("give one of max_particles and max_weight")
     extent = "radius" in particles.columns
+    if extent and "role" not in particles.columns:
+        raise ValueError("points with a radius need a role")
+    allowed = deepest_level(particles, d)
+    if (max_particles if max_particles is not None else max_weight) <= 0:
+        raise ValueError("the limit of a box must be positive")
     if extent and stick_out is None:
         raise ValueError("points with a radius need a stick_out factor")
     if max_weight is not None and "weight" not in particles.columns:
@@ -223,12 +255,12 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     keyed = cut(keyed.withColumn("_desc", desc.cast("int")))
 
     if kind == "non-adaptive":
-        depth = _split_cells(keyed, d, limit, levels_at_once, reached=True)[1] + 1
+        depth = _split_cells(keyed, d, limit, levels_at_once, allowed, reached=True)[1] + 1
         final = F.least(F.col("_desc"), F.lit(depth)).cast("int")
         placed = keyed.withColumn("level", final)
         split = None
     else:
-        split, deepest = _split_cells(keyed, d, limit, levels_at_once)
+        split, deepest = _split_cells(keyed, d, limit, levels_at_once, allowed)
         if kind == "adaptive-level-restricted":
             split = restricted(split, d, deepest)
         depth = deepest + 1

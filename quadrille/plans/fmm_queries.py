@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from quadrille.operators import tree as T
@@ -83,7 +81,7 @@ def direct_laplace_2d(spark, sf_dir):
     t = Traversal(orders_tree(spark, sf_dir))
     points = t.tree.particles
     sources = points.where("role = 's'").withColumn("weight", F.lit(1.0))
-    value = -F.log(fmm.squared_distance(2)) / (4 * math.pi)
+    value = F.log(fmm.squared_distance(2)) / 2 * fmm.SCALES["laplace", 2]
     return fmm.direct(t.list1, sources, points.where("role = 't'"), 2, value).select("pid", F.round("potential", 6).alias("potential"))
 
 

@@ -10,9 +10,9 @@ from quadrille.operators import tree as T
 from quadrille.operators.traversal import Traversal, csr
 from quadrille.plans import sql
 from quadrille.plans.tree_queries import MAX, extent_tree, orders_tree
-from quadrille.sources.points import event_points, order_points
+from quadrille.sources.points import event_points, event_targets, order_points
 
-ALPHA = 0.25
+ALPHA, SMALL_ALPHA = 0.25, 0.1
 
 
 def _plain(spark, sf_dir, name, n=1):
@@ -30,6 +30,34 @@ def _extent(spark, sf_dir, name, criterion, min_sources=0):
     return getattr(Traversal(tree, 1, criterion, min_sources), name)
 
 
+def _event_targets(spark, sf_dir, name):
+    """On the events with small radii, whose tree is uneven: lists 3 and 4 and both close lists have edges."""
+    tree = T.build_tree(event_targets(spark, sf_dir), max_particles=12, stick_out=SMALL_ALPHA)
+    return getattr(Traversal(tree, 1, "static_linf"), name)
+
+
+def _masked(spark, sf_dir):
+    """Sources from boxes with even keys, parents from those where the keys' sum is not a multiple of five."""
+    tree = T.build_tree(event_points(spark, sf_dir), max_particles=MAX)
+    return Traversal(tree, source_mask=tree.boxes.where("ix % 2 = 0"), source_parent_mask=tree.boxes.where("(ix + iy) % 5 <> 0"))
+
+
+def list3_masked_parents(spark, sf_dir):
+    return _masked(spark, sf_dir).list3
+
+
+def box_classes_masked(spark, sf_dir):
+    t = _masked(spark, sf_dir)
+    return t.source_boxes.withColumn("box_class", F.lit("source")).unionByName(t.source_parent_boxes.withColumn("box_class", F.lit("source_parent")))
+
+
+def box_list(spark, sf_dir):
+    """The part of list 1 of the box that holds the first order that is a target."""
+    t = Traversal(orders_tree(spark, sf_dir))
+    at = t.tree.particles.where("role = 't'").orderBy("pid").select("level", "ix", "iy").first()
+    return t.box_list("list1", *at)
+
+
 def box_classes(spark, sf_dir):
     t = Traversal(orders_tree(spark, sf_dir))
     kinds = {"source": t.source_boxes, "source_parent": t.source_parent_boxes, "target": t.target_boxes, "target_or_parent": t.target_or_target_parent_boxes}
@@ -51,9 +79,15 @@ PLAIN = [("colleagues_1", "colleagues", 1), ("colleagues_2", "colleagues", 2), (
 EVENTS = [("list1_events", "list1", 1), ("list2_events", "list2", 1), ("list3", "list3", 1), ("list3_n2", "list3", 2), ("list4", "list4", 1), ("list4_events_n2", "list4", 2)]
 EXTENT = [(f"{name}_{c}", name, c, 0) for c in ("static_linf", "precise_linf", "static_l2") for name in ("list3", "list3_close")] + [("list3_close_threshold", "list3_close", "static_linf", 20), ("list4_extent", "list4", "static_linf", 0), ("list4_close", "list4_close", "static_linf", 0), ("list1_merged", "list1_merged", "static_linf", 0)]
 
+TARGETS = [("list3_targets", "list3"), ("list3_close_targets", "list3_close"), ("list4_targets", "list4"), ("list4_close_targets", "list4_close")]
+
 QUERIES = {
     "box_classes": box_classes,
     "list2_arrays": list2_arrays,
+    "list3_masked_parents": list3_masked_parents,
+    "box_classes_masked": box_classes_masked,
+    "box_list": box_list,
+    **{q: partial(_event_targets, name=name) for q, name in TARGETS},
     **{q: partial(_plain, name=name, n=n) for q, name, n in PLAIN},
     **{q: partial(_events, name=name, n=n) for q, name, n in EVENTS},
     **{q: partial(_extent, name=name, criterion=c, min_sources=k) for q, name, c, k in EXTENT},
@@ -100,10 +134,10 @@ _BOUNDS = """be AS (SELECT b.level, b.ix, b.iy, min(v.x0) AS min_x, max(v.x1) AS
 tb AS (SELECT b.*, min_x, max_x, min_y, max_y FROM b JOIN be ON b.level = be.level AND b.ix = be.ix AND b.iy = be.iy)"""
 
 
-def _u(n: int, criterion: str | None, least: int) -> str:
+def _u(n: int, criterion: str | None, least: int, alpha: float = ALPHA) -> str:
     """u: target boxes with every box below a colleague, and whether it is separated."""
     return f"""{_BOUNDS},
-u AS (SELECT {_EDGE}, s.src, {touch('t', 's')} AS touch, NOT ({touch('t', 's')}) AND {_CRITERION[criterion]} AND s.n_src_cumul >= {least} AS ok
+u AS (SELECT {_EDGE}, s.src, {touch('t', 's')} AS touch, NOT ({touch('t', 's')}) AND {_CRITERION[criterion].replace(f"{1 + ALPHA}e0", f"{1 + alpha}e0")} AND s.n_src_cumul >= {least} AS ok
  FROM tb t JOIN b s ON t.tgt AND (s.src OR s.is_split) AND s.level > t.level AND t.level > 0 AND greatest(abs((s.ix >> greatest(s.level - t.level, 0)) - t.ix), abs((s.iy >> greatest(s.level - t.level, 0)) - t.iy)) BETWEEN 1 AND {n})"""
 
 
@@ -114,8 +148,8 @@ _CLOSE3 = f"SELECT {_COLUMNS} FROM u LEFT JOIN (SELECT DISTINCT {_COLUMNS} FROM
 _FAR = "greatest(abs({p}.cx - s.cx), abs({p}.cy - s.cy)) >= (3 * {a}e0 * {p}.r + s.r) * (1 - {eps})"
 
 
-def _four(n: int, extent: bool, close: bool) -> str:
-    far = lambda p: _FAR.format(p=p, a=1 + ALPHA, eps=EPS)
+def _four(n: int, extent: bool, close: bool, alpha: float = ALPHA) -> str:
+    far = lambda p: _FAR.format(p=p, a=1 + alpha, eps=EPS)
     upper = f"(NOT ({touch('p', 's')}) AND ({'true' if n == 1 else 's.level < t.level'}))"
     which = f"NOT {upper}" if not extent else f"NOT ({far('t')}) AND t.tgt" if close else f"({far('t')}) AND (NOT {upper} OR NOT ({far('p')}))"
     return f"SELECT {_EDGE} FROM b t JOIN b p ON p.level = t.level - 1 AND p.ix = t.ix >> 1 AND p.iy = t.iy >> 1 JOIN b s ON s.src AND s.level <= t.level - {1 if n == 1 else 0} AND s.level > 0 AND greatest(abs((t.ix >> greatest(t.level - s.level, 0)) - s.ix), abs((t.iy >> greatest(t.level - s.level, 0)) - s.iy)) BETWEEN 1 AND {n} WHERE (t.tgt OR t.is_split) AND NOT ({touch('t', 's')}) AND {which}"
@@ -134,10 +168,18 @@ def _extent_sql(name: str, criterion: str, least: int) -> str:
     return sql.query(u, _LIST3 if name == "list3" else _CLOSE3)
 
 
+_T2 = f"{extent_tree('linf', 'events_extent', 12).replace('0.25e0', f'{SMALL_ALPHA}e0')},\n{_B}"
+_MASKS = f"{_V.replace('n_src_own > 0 AS src', 'n_src_own > 0 AND ix % 2 = 0 AS src')},\nnp AS (SELECT level, ix, iy FROM b WHERE (ix + iy) % 5 = 0)"
+_TARGETS_SQL = {"list3": _LIST3, "list3_close": _CLOSE3, "list4": _four(1, True, False, SMALL_ALPHA), "list4_close": _four(1, True, True, SMALL_ALPHA)}
 _PLAIN_SQL = {"colleagues": _colleagues, "list1": lambda n: _LIST1, "list2": _list2, "list4": lambda n: _four(n, False, False)}
 SQL = {
     "box_classes": sql.query(_P, "SELECT level, ix, iy, 'source' AS box_class FROM b WHERE src UNION ALL SELECT level, ix, iy, 'source_parent' FROM b WHERE is_split UNION ALL SELECT level, ix, iy, 'target' FROM b WHERE tgt UNION ALL SELECT level, ix, iy, 'target_or_parent' FROM b WHERE tgt OR is_split"),
     "list2_arrays": sql.query(_P, f"SELECT t_level, t_ix, t_iy, CAST(count(*) AS INTEGER) AS n, string_agg(s, ',' ORDER BY s) AS sources FROM ({_list2(1, 't.level AS t_level, t.ix AS t_ix, t.iy AS t_iy, concat_ws(chr(58), s.level, s.ix, s.iy) AS s')}) GROUP BY t_level, t_ix, t_iy"),
+    **{q: sql.query(f"{_T2},\n{_u(1, 'static_linf', 0, SMALL_ALPHA)}" if name.startswith("list3") else _T2, _TARGETS_SQL[name]) for q, name in TARGETS},
+    "box_classes_masked": sql.query(_MASKS, "SELECT level, ix, iy, 'source' AS box_class FROM b WHERE src UNION ALL SELECT level, ix, iy, 'source_parent' FROM b WHERE is_split AND (ix + iy) % 5 <> 0"),
+    # A box counts if it is a source or a parent itself, and if all boxes from the colleague to its own parent are parents.
+    "list3_masked_parents": sql.query(f"{_MASKS},\n{_u(1, None, 0).replace('(s.src OR s.is_split)', '(s.src OR s.is_split AND (s.ix + s.iy) % 5 <> 0)')}", f"SELECT e.* FROM ({_LIST3}) e WHERE NOT EXISTS (SELECT 1 FROM np a WHERE a.level >= e.t_level AND a.level < e.s_level AND a.ix = e.s_ix >> greatest(e.s_level - a.level, 0) AND a.iy = e.s_iy >> greatest(e.s_level - a.level, 0))"),
+    "box_list": sql.query(_P, f"SELECT s_level AS level, s_ix AS ix, s_iy AS iy FROM ({_LIST1}) e WHERE (t_level, t_ix, t_iy) = (SELECT (level, ix, iy) FROM f WHERE role = 't' ORDER BY pid LIMIT 1)"),
     **{q: sql.query(_P, _PLAIN_SQL[name](n)) for q, name, n in PLAIN},
     **{q: sql.query(f"{_V},\n{_u(n, None, 0)}", _LIST3) if name == "list3" else sql.query(_V, _PLAIN_SQL[name](n)) for q, name, n in EVENTS},
     **{q: _extent_sql(name, c, k) for q, name, c, k in EXTENT},

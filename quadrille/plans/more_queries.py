@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+from functools import partial
 import math
 
 from pyspark.sql import functions as F
 
-from quadrille.functions import arrays
+from quadrille.functions import arrays, drawing
 from quadrille.functions.keys import box_names
 from quadrille.functions.ordering import running
-from quadrille.operators import cost, fmm, partition
+from quadrille.operators import boxes as B
+from quadrille.operators import classes, cost, fmm, partition
 from quadrille.operators import tree as T
 from quadrille.operators.traversal import Traversal
 from quadrille.plans import sql
-from quadrille.plans.list_queries import _B, _LIST1
+from quadrille.plans.list_queries import SMALL_ALPHA, _B, _LIST1, _LIST3, _colleagues, _four, _list2, _u
 from quadrille.plans.tree_queries import MAX, orders_tree
-from quadrille.plans.work_queries import _MASKS, _counted, _costs, _events, _ranks
-from quadrille.sources.points import embedding_points, order_points, table
+from quadrille.plans.work_queries import _KIDS, _MASKS, _counted, _costs, _events, _ranks
+from quadrille.sources.points import embedding_points, event_targets, order_points, table
 
 BOX = ["level", "ix", "iy"]
 WAVE = 3.0
@@ -37,13 +39,7 @@ def source_starts(spark, sf_dir):
 
 def class_level_boxes(spark, sf_dir):
     """How many boxes of each class there are on a level, and before it."""
-    t, out = Traversal(orders_tree(spark, sf_dir)), None
-    for name, boxes in (("source", t.source_boxes), ("target", t.target_boxes), ("target_or_parent", t.target_or_target_parent_boxes)):
-        n = boxes.groupBy("level").agg(F.count(F.lit(1)).alias("n_boxes")).withColumn("box_class", F.lit(name))
-        out = n if out is None else out.unionByName(n)
-    earlier = out.select(F.col("level").alias("_level"), F.col("n_boxes").alias("_n"), F.col("box_class").alias("_class"))
-    joined = out.join(earlier, (F.col("_class") == F.col("box_class")) & (F.col("_level") < F.col("level")), "left")  # a few levels
-    return joined.groupBy("box_class", "level", "n_boxes").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("first"))
+    return Traversal(orders_tree(spark, sf_dir)).class_levels().where("box_class <> 'source_parent'")
 
 
 def reverse_index(spark, sf_dir):
@@ -119,14 +115,14 @@ def _near(spark, sf_dir):
 def direct_gradient_2d(spark, sf_dir):
     """The gradient of the near field."""
     edges, sources, targets = _near(spark, sf_dir)
-    parts = [fmm.direct(edges, sources, targets, 2, -(F.col(f"t_{a}") - F.col(f"s_{a}")) / fmm.squared_distance(2) / (2 * math.pi)).select("pid", F.round("potential", 6).alias(f"gradient_{a}")) for a in "xy"]
+    parts = [fmm.direct(edges, sources, targets, 2, (F.col(f"t_{a}") - F.col(f"s_{a}")) / fmm.squared_distance(2) * fmm.SCALES["laplace", 2]).select("pid", F.round("potential", 6).alias(f"gradient_{a}")) for a in "xy"]
     return parts[0].join(parts[1], "pid")
 
 
 def direct_dipole_2d(spark, sf_dir):
     """The near field of dipoles along the first axis."""
     edges, sources, targets = _near(spark, sf_dir)
-    return fmm.direct(edges, sources, targets, 2, (F.col("t_x") - F.col("s_x")) / fmm.squared_distance(2) / (2 * math.pi)).select("pid", F.round("potential", 6).alias("potential"))
+    return fmm.direct(edges, sources, targets, 2, (F.col("s_x") - F.col("t_x")) / fmm.squared_distance(2) * fmm.SCALES["laplace", 2]).select("pid", F.round("potential", 6).alias("potential"))
 
 
 def _near_3d(spark, sf_dir):
@@ -136,19 +132,70 @@ def _near_3d(spark, sf_dir):
 
 def direct_laplace_3d(spark, sf_dir):
     edges, sources, targets = _near_3d(spark, sf_dir)
-    return fmm.direct(edges, sources, targets, 3, 1 / F.sqrt(fmm.squared_distance(3)) / (4 * math.pi)).select("pid", F.round("potential", 6).alias("potential"))
+    return fmm.direct(edges, sources, targets, 3, fmm.SCALES["laplace", 3] / F.sqrt(fmm.squared_distance(3))).select("pid", F.round("potential", 6).alias("potential"))
 
 
 def direct_helmholtz_3d(spark, sf_dir):
     edges, sources, targets = _near_3d(spark, sf_dir)
     r = F.sqrt(fmm.squared_distance(3))
-    parts = [fmm.direct(edges, sources, targets, 3, f(WAVE * r) / r / (4 * math.pi)).select("pid", F.round("potential", 6).alias(name)) for f, name in ((F.cos, "real"), (F.sin, "imaginary"))]
+    parts = [fmm.direct(edges, sources, targets, 3, f(WAVE * r) / r * fmm.SCALES["helmholtz", 3]).select("pid", F.round("potential", 6).alias(name)) for f, name in ((F.cos, "real"), (F.sin, "imaginary"))]
     return parts[0].join(parts[1], "pid")
 
 
-QUERIES = {
+def _space(spark, sf_dir):
+    return Traversal(T.build_tree(embedding_points(spark, sf_dir), d=3, max_particles=20))
+
+
+def rotation_classes_3d(spark, sf_dir):
+    rows = classes.rotation_classes(_space(spark, sf_dir))
+    return rows.select("class_number", "class_id", "rotation_class", F.round("angle", 9).alias("angle"))
+
+
+def cost_m2l_3d(spark, sf_dir):
+    """List 2 in space, where expansions are turned to an axis, moved and turned back."""
+    model = cost.CostModel(_space(spark, sf_dir), cost.pde_aware(3, lambda level: 2 + level))
+    return model.multipole_to_local().select(*box_names(3), F.round("cost", 6).alias("cost"))
+
+
+def box_list_lines(spark, sf_dir):
+    """TikZ for the part of list 2 of the box that is above the first order, three levels down from the root."""
+    t = Traversal(orders_tree(spark, sf_dir))
+    at = t.tree.particles.orderBy("pid").select(F.lit(3), *[F.call_function("shiftright", F.col(k), F.col("level") - 3) for k in ("ix", "iy")]).first()
+    return drawing.filled_lines(t.tree, t.box_list("list2", *at), "blue!20")
+
+
+def fmm_weighted_sum_events(spark, sf_dir):
+    """With lists 3 and 4 and both close lists."""
+    points = event_targets(spark, sf_dir)
+    t = Traversal(T.build_tree(points, max_particles=12, stick_out=SMALL_ALPHA), 1, "static_linf")
+    seen = fmm.drive(t, fmm.ConstantOne(2), points.select("pid", (F.col("pid") % 7 + 1).alias("weight")))
+    return seen.select("pid", F.col("potential").cast("long").alias("weight_seen"))
+
+
+#: The root box of the boxes alone; lists do not depend on it.
+UNIT = [(0.0, 1.0), (0.0, 1.0)]
+
+
+def _refined_boxes(spark, sf_dir):
+    """A tree of boxes alone: that of the orders, where the fuller leaves are refined and the emptier ones removed."""
+    tree = T.build_tree(order_points(spark, sf_dir).drop("radius"), max_particles=256, prune=False)
+    boxes = B.with_leaves(tree.boxes, 2)
+    leaves = boxes.where("is_leaf").join(tree.boxes.select(*BOX, "n_cumul"), BOX)
+    return B.refine_and_coarsen(boxes, leaves.where("n_cumul >= 150"), leaves.where("n_cumul < 40"), 2, error_on_ignored=False)
+
+
+def boxes_level_ids(spark, sf_dir):
+    return B.with_ids(_refined_boxes(spark, sf_dir), 2)
+
+
+def _boxes_list(spark, sf_dir, name):
+    return getattr(Traversal(B.as_tree(_refined_boxes(spark, sf_dir), 2, UNIT)), name)
+
+
+BOXES_LISTS = [(f"boxes_{name}", name) for name in ("colleagues", "list1", "list2", "list3", "list4")]
+QUERIES = {q: partial(_boxes_list, name=name) for q, name in BOXES_LISTS} | {
     f.__name__: f
-    for f in (source_counter, source_starts, class_level_boxes, reverse_index, gappy_copy, compacted_orders, mask_lists, search_sorted, list1_masked, local_flags, cost_per_stage_taylor, tree_3d, fmm_constant_one_3d, direct_gradient_2d, direct_dipole_2d, direct_laplace_3d, direct_helmholtz_3d)
+    for f in (rotation_classes_3d, cost_m2l_3d, box_list_lines, fmm_weighted_sum_events, boxes_level_ids, source_counter, source_starts, class_level_boxes, reverse_index, gappy_copy, compacted_orders, mask_lists, search_sorted, list1_masked, local_flags, cost_per_stage_taylor, tree_3d, fmm_constant_one_3d, direct_gradient_2d, direct_dipole_2d, direct_laplace_3d, direct_helmholtz_3d)
 }
 
 _T = sql.tree()
@@ -164,7 +211,26 @@ kb AS (SELECT k.* FROM k WHERE k.level = 0 OR EXISTS (SELECT 1 FROM s WHERE s.le
 f AS (SELECT pid, max(level) AS level, arg_max(ix, level) AS ix, arg_max(iy, level) AS iy, arg_max(iz, level) AS iz, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM kb GROUP BY pid)""".format(c="embedding")
 _TOUCH3 = " AND ".join(f"greatest(a.i{x} << (12 - a.level), b.i{x} << (12 - b.level)) <= least((a.i{x} + 1) << (12 - a.level), (b.i{x} + 1) << (12 - b.level))" for x in "xyz")
 _R3 = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
+_BOX3 = f"{_SPACE},\nbx AS (SELECT DISTINCT level, ix, iy, iz FROM kb),\nl2 AS (SELECT t.level, t.ix, t.iy, t.iz, t.ix - s.ix AS vx, t.iy - s.iy AS vy, t.iz - s.iz AS vz FROM bx t JOIN bx s ON t.level = s.level AND t.level > 0 AND greatest(abs((t.ix >> 1) - (s.ix >> 1)), abs((t.iy >> 1) - (s.iy >> 1)), abs((t.iz >> 1) - (s.iz >> 1))) = 1 AND greatest(abs(t.ix - s.ix), abs(t.iy - s.iy), abs(t.iz - s.iz)) > 1)"
+_BOXES = f"""{sql.tree(limit=256)},
+full0 AS (SELECT 0 AS level, 0 AS ix, 0 AS iy UNION ALL SELECT level + 1, ix * 2 + dx, iy * 2 + dy FROM s, {_KIDS}),
+full1 AS (SELECT a.level, a.ix, a.iy, coalesce(c.n_cumul, 0) AS n, s.level IS NULL AS is_leaf FROM full0 a LEFT JOIN cum c ON a.level = c.level AND a.ix = c.ix AND a.iy = c.iy LEFT JOIN s ON a.level = s.level AND a.ix = s.ix AND a.iy = s.iy),
+full2 AS (SELECT level, ix, iy, is_leaf AND n < 150 AS is_leaf, n FROM full1 UNION ALL SELECT level + 1, ix * 2 + dx, iy * 2 + dy, true, -1 FROM full1, {_KIDS} WHERE is_leaf AND n >= 150),
+fam AS (SELECT level - 1 AS level, ix >> 1 AS ix, iy >> 1 AS iy FROM full2 WHERE level > 0 GROUP BY level - 1, ix >> 1, iy >> 1 HAVING bool_and(is_leaf) AND bool_or(is_leaf AND n BETWEEN 0 AND 39)),
+full3 AS (SELECT a.level, a.ix, a.iy, a.is_leaf OR EXISTS (SELECT 1 FROM fam z WHERE z.level = a.level AND z.ix = a.ix AND z.iy = a.iy) AS is_leaf FROM full2 a WHERE NOT EXISTS (SELECT 1 FROM fam z WHERE z.level = a.level - 1 AND z.ix = a.ix >> 1 AND z.iy = a.iy >> 1)),
+b AS (SELECT level, ix, iy, NOT is_leaf AS is_split, true AS src, true AS tgt, 1 AS n_src_cumul, ix << (12 - level) AS x0, (ix + 1) << (12 - level) AS x1, iy << (12 - level) AS y0, (iy + 1) << (12 - level) AS y1, 1 << (12 - level) AS w FROM full3),
+f AS (SELECT 's' AS role, 0 AS level, 0 AS ix, 0 AS iy, 0e0 AS x, 0e0 AS y, 0e0 AS radius WHERE false)"""
+_BOXES = _BOXES.replace(",\nf AS (SELECT pid", ",\nf0 AS (SELECT pid").replace("FROM f GROUP BY ALL),\ncum", "FROM f0 GROUP BY ALL),\ncum")
+_U = _u(1, None, 0)
+_BOXES_U = f"{_BOXES},\n" + _U[_U.index("u AS ("):].replace("FROM tb t", "FROM b t")
+_LISTS = {"colleagues": (_BOXES, _colleagues(1)), "list1": (_BOXES, _LIST1), "list2": (_BOXES, _list2(1)), "list3": (_BOXES_U, _LIST3), "list4": (_BOXES, _four(1, False, False))}
 SQL = {
+    **{q: sql.query(*_LISTS[name]) for q, name in BOXES_LISTS},
+    "boxes_level_ids": sql.query(_BOXES, "SELECT level, ix, iy, is_leaf, row_number() OVER (ORDER BY level, path) - 1 AS box_id FROM (SELECT full3.*, (SELECT coalesce(string_agg(CAST(((full3.ix >> (full3.level - t.l)) & 1) * 2 + ((full3.iy >> (full3.level - t.l)) & 1) AS VARCHAR), '' ORDER BY t.l), '') FROM (SELECT unnest(range(1, 13)) AS l) t WHERE t.l <= full3.level) AS path FROM full3) z"),
+    "rotation_classes_3d": sql.query(f"{_BOX3},\nuc AS (SELECT *, row_number() OVER (ORDER BY class_number) - 1 AS class_id, CASE WHEN vz = 0 THEN 0 ELSE sign(vz) * (vz * vz * 1000000 // (vx * vx + vy * vy + vz * vz)) END AS a FROM (SELECT DISTINCT 3 + vx + 7 * (3 + vy) + 49 * (3 + vz) + 343 * level AS class_number, vx, vy, vz FROM l2) z),\nm AS (SELECT *, min(class_id) OVER (PARTITION BY a) AS first FROM uc)", "SELECT class_number, class_id, dense_rank() OVER (ORDER BY first) - 1 AS rotation_class, round(acos(vz / sqrt(vx * vx + vy * vy + vz * vz)), 9) AS angle FROM m"),
+    "cost_m2l_3d": sql.query(_BOX3, "SELECT level, ix, iy, iz, round(count(*) * 3 * pow(3e0 + level, 3), 6) AS cost FROM l2 GROUP BY level, ix, iy, iz"),
+    "box_list_lines": sql.query(f"{_P},\na AS (SELECT ix >> (level - 3) AS ix, iy >> (level - 3) AS iy FROM f ORDER BY pid LIMIT 1)", f"SELECT s_level AS level, s_ix AS ix, s_iy AS iy, printf('\\fill[blue!20] (%.5f,%.5f) rectangle (%.5f,%.5f);', lx + s_ix * st, ly + s_iy * st, lx + (s_ix + 1) * st, ly + (s_iy + 1) * st) AS line FROM ({_list2(1)}) e JOIN a ON t_level = 3 AND t_ix = a.ix AND t_iy = a.iy, (SELECT *, (hx - lx) / 8 AS st FROM b2) z"),
+    "fmm_weighted_sum_events": "SELECT event_id AS pid, CAST((SELECT sum(event_id % 7 + 1) FROM events WHERE event_id % 3 <> 0) AS BIGINT) AS weight_seen FROM events WHERE event_id % 3 = 0",
     "source_counter": sql.query(f"{_T},\no AS ({_ORDER})", "SELECT pid, CAST(coalesce(sum(CASE WHEN role = 's' THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS sources_before FROM o"),
     "source_starts": sql.query(_T, "").rstrip() + ",\n" + _counted("SELECT level, ix, iy, count(*) AS n FROM f WHERE role = 's' GROUP BY ALL", "n_source_own", "n_source_cumul", "source_start"),
     "class_level_boxes": sql.query(f"{_P},\nc AS (SELECT level, 'source' AS box_class FROM b WHERE src UNION ALL SELECT level, 'target' FROM b WHERE tgt UNION ALL SELECT level, 'target_or_parent' FROM b WHERE tgt OR is_split)", "SELECT box_class, level, count(*) AS n_boxes, CAST(sum(count(*)) OVER (PARTITION BY box_class ORDER BY level) - count(*) AS BIGINT) AS first FROM c GROUP BY box_class, level"),

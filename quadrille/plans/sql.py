@@ -4,6 +4,7 @@ from __future__ import annotations
 
 POINTS = {
     "orders": "SELECT o_orderkey AS pid, o_totalprice / 500000e0 AS x, o_custkey / 1500e0 AS y, CASE WHEN o_orderkey % 3 = 0 THEN 't' ELSE 's' END AS role, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey % 17) / 400e0 ELSE 0e0 END AS radius, o_orderkey % 9 + 1 AS weight FROM orders",
+    "events_extent": "SELECT event_id AS pid, value / 500e0 AS x, event_id / 10000e0 AS y, CASE WHEN event_id % 3 = 0 THEN 't' ELSE 's' END AS role, CASE WHEN event_id % 3 = 0 THEN (event_id % 17) / 6000e0 ELSE 0e0 END AS radius, 1 AS weight FROM events",
     "events": "SELECT event_id AS pid, value / 500e0 AS x, event_id / 10000e0 AS y, 'b' AS role, 0e0 AS radius, 1 AS weight FROM events",
 }
 BALLS = "balls AS (SELECT c_custkey AS ball_id, c_acctbal / 11000e0 AS x, c_custkey / 1500e0 AS y, (c_custkey % 13 + 1) / 200e0 AS radius FROM customer)"

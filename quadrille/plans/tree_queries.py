@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quadrille.functions.keys import box_names, children, grid_key, key_names
 from quadrille.operators import tree as T
 from quadrille.plans import sql
-from quadrille.sources.points import event_points, order_points
+from quadrille.sources.points import event_points, event_targets, order_points
 
 MAX = 32
 BOX = [*box_names(2)]
@@ -20,10 +20,7 @@ def orders_tree(spark: SparkSession, sf_dir: str, **more) -> T.Tree:
 
 
 def bbox(spark, sf_dir):
-    points = order_points(spark, sf_dir).drop("radius")
-    low, high = T.bounding_box(points, 2)
-    lo, hi = T.root_box(low, high)
-    return spark.range(1).select(*[F.lit(v).alias(n) for n, v in (("lo_x", lo[0]), ("lo_y", lo[1]), ("hi_x", hi[0]), ("hi_y", hi[1]))])
+    return T.root_box_row(order_points(spark, sf_dir).drop("radius"), 2)
 
 
 def level_keys(spark, sf_dir):
@@ -73,6 +70,17 @@ def tree_extent_l2(spark, sf_dir):
     return _extent(spark, sf_dir, "l2")
 
 
+def tree_restricted_extent(spark, sf_dir):
+    """Level restriction where points with a radius stay above."""
+    tree = T.build_tree(event_targets(spark, sf_dir), max_particles=12, kind="adaptive-level-restricted", stick_out=0.25)
+    return tree.boxes.select(*BOX, "n_own", "n_cumul", (~F.col("is_split")).alias("is_leaf"))
+
+
+def tree_user_bbox(spark, sf_dir):
+    """In a root box that is given."""
+    return orders_tree(spark, sf_dir, bbox=[(-1, 31), (-1, 31)]).boxes.select(*BOX, F.col("n_cumul").alias("n_particles"), (~F.col("is_split")).alias("is_leaf"))
+
+
 def box_ids(spark, sf_dir):
     return T.with_box_ids(orders_tree(spark, sf_dir)).select(*BOX, "path", "box_id")
 
@@ -113,7 +121,7 @@ def box_geometry(spark, sf_dir):
     return tree.boxes.select(*BOX, F.round(2 * tree.radius(level), 9).alias("size"), *[F.round(tree.center(i, level, F.col(k)), 9).alias(f"center_{k[1]}") for i, k in enumerate(key_names(2))])
 
 
-QUERIES = {f.__name__: f for f in (bbox, level_keys, tree_adaptive, tree_adaptive_events, tree_weighted, tree_nonadaptive, tree_unpruned, tree_level_restricted, tree_extent_linf, tree_extent_l2, box_ids, tree_order, box_starts, level_starts, src_tgt_counts, box_flags, box_bbox, find_box_for_particle, box_geometry)}
+QUERIES = {f.__name__: f for f in (bbox, level_keys, tree_adaptive, tree_adaptive_events, tree_weighted, tree_nonadaptive, tree_unpruned, tree_level_restricted, tree_extent_linf, tree_extent_l2, tree_restricted_extent, tree_user_bbox, box_ids, tree_order, box_starts, level_starts, src_tgt_counts, box_flags, box_bbox, find_box_for_particle, box_geometry)}
 
 _BOXES = "SELECT level, ix, iy, n_cumul AS n_particles, NOT is_split AS is_leaf FROM box"
 _FITS = {
@@ -122,27 +130,37 @@ _FITS = {
 }
 
 
-def extent_tree(norm: str) -> str:
+def extent_tree(norm: str, points: str = "orders", limit: int = MAX) -> str:
     """The tree with point radii: d is the deepest level where a point still fits, at every level before as well."""
-    return f"""{sql.root(extent=True)},
+    return f"""{sql.root(points, extent=True)},
 {sql.keys().replace("k AS", "k0 AS", 1)},
 c AS (SELECT k0.*, lx + (ix + 0.5) * ((hx - lx) / pow(2e0, level)) AS cx, ly + (iy + 0.5) * ((hx - lx) / pow(2e0, level)) AS cy, (hx - lx) / pow(2e0, level) / 2 AS h FROM k0, b2),
 fit AS (SELECT *, level = 0 OR radius = 0 OR {_FITS[norm]} AS fits FROM c),
 bad AS (SELECT pid, min(level) AS first_bad FROM fit WHERE NOT fits GROUP BY pid),
 k1 AS (SELECT fit.*, coalesce(first_bad - 1, 99) AS d FROM fit LEFT JOIN bad ON fit.pid = bad.pid),
 k AS (SELECT * FROM k1 WHERE level <= d),
-s AS (SELECT level, ix, iy FROM k WHERE d > level GROUP BY ALL HAVING count(*) > {MAX}),
+s AS (SELECT level, ix, iy FROM k WHERE d > level GROUP BY ALL HAVING count(*) > {limit}),
 {sql.BOXES}"""
 
 
-def _restricted_sql(deepest: int = 12) -> str:
-    steps = [f"{sql.root('events')},\n{sql.keys(deepest)},\ns0 AS (SELECT level, ix, iy FROM k GROUP BY ALL HAVING count(*) > {MAX}),\nr{deepest} AS (SELECT level, ix, iy FROM s0 WHERE level = {deepest})"]
+def _steps(before: str, deepest: int) -> str:
+    """s: the boxes s0 that split, with those that must for their neighbours to exist, a level at a time."""
+    steps = [f"{before},\nr{deepest} AS (SELECT level, ix, iy FROM s0 WHERE level = {deepest})"]
     for level in range(deepest, 0, -1):
         steps.append(f"r{level - 1} AS (SELECT level, ix, iy FROM s0 WHERE level = {level - 1} UNION SELECT {level - 1}, (ix + dx) >> 1, (iy + dy) >> 1 FROM r{level}, (SELECT unnest([-1, 0, 1]) AS dx) a, (SELECT unnest([-1, 0, 1]) AS dy) b WHERE ix + dx BETWEEN 0 AND (1 << {level}) - 1 AND iy + dy BETWEEN 0 AND (1 << {level}) - 1)")
     steps.append("s AS (" + " UNION ALL ".join(f"SELECT level, ix, iy FROM r{n}" for n in range(deepest + 1)) + ")")
     return ",\n".join([*steps, sql.BOXES])
 
 
+def _restricted_sql(deepest: int = 12) -> str:
+    return _steps(f"{sql.root('events')},\n{sql.keys(deepest)},\ns0 AS (SELECT level, ix, iy FROM k GROUP BY ALL HAVING count(*) > {MAX})", deepest)
+
+
+def _restricted_extent_sql(deepest: int = 12) -> str:
+    before, _ = extent_tree("linf", "events_extent", 12).split(",\ns AS (", 1)
+    return _steps(f"{before},\ns0 AS (SELECT level, ix, iy FROM k WHERE d > level GROUP BY ALL HAVING count(*) > 12)", deepest)
+
+
 _T = sql.tree()
 SQL = {
     "bbox": sql.query(sql.root(), "SELECT lx AS lo_x, ly AS lo_y, hx AS hi_x, hy AS hi_y FROM b2"),
@@ -155,6 +173,8 @@ SQL = {
     "tree_level_restricted": sql.query(_restricted_sql(), _BOXES),
     "tree_extent_linf": sql.query(extent_tree("linf"), "SELECT level, ix, iy, n_own, n_cumul, NOT is_split AS is_leaf FROM box"),
     "tree_extent_l2": sql.query(extent_tree("l2"), "SELECT level, ix, iy, n_own, n_cumul, NOT is_split AS is_leaf FROM box"),
+    "tree_restricted_extent": sql.query(_restricted_extent_sql(), "SELECT level, ix, iy, n_own, n_cumul, NOT is_split AS is_leaf FROM box"),
+    "tree_user_bbox": sql.query(f"p AS ({sql.POINTS['orders']}),\nb2 AS (SELECT -1e0 AS lx, -1e0 AS ly, 31e0 AS hx, 31e0 AS hy),\n{sql.keys()},\ns AS (SELECT level, ix, iy FROM k GROUP BY ALL HAVING count(*) > {MAX}),\n{sql.BOXES}", _BOXES),
     "box_ids": sql.query(_T, "SELECT level, ix, iy, path, row_number() OVER (ORDER BY level, path) - 1 AS box_id FROM box"),
     "tree_order": sql.query(_T, "SELECT f.pid, row_number() OVER (ORDER BY path, CASE WHEN role = 't' THEN 1 ELSE 0 END, pid) - 1 AS place FROM f JOIN box b ON f.level = b.level AND f.ix = b.ix AND f.iy = b.iy"),
     "box_starts": sql.query(_T, "SELECT level, ix, iy, CAST(coalesce(sum(n_own) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, n_own, n_cumul FROM box"),

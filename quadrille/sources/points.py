@@ -28,6 +28,12 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("pid"), (F.col("value") / F.lit(500.0)).alias("x"), (F.col("event_id") / F.lit(10000.0)).alias("y"))
 
 
+def event_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with a role, and a small radius for the targets."""
+    target = F.col("pid") % 3 == 0
+    return event_points(spark, sf_dir).select("*", F.when(target, "t").otherwise("s").alias("role"), F.when(target, (F.col("pid") % 17) / F.lit(6000.0)).otherwise(0.0).alias("radius"))
+
+
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three components of the embeddings, points of space."""
     name = next(f.name for f in table(spark, sf_dir, "embeddings").schema if f.dataType.typeName() == "array")

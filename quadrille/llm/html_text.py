@@ -31,6 +31,8 @@ from quadrille.llm.common import beside, row_columns, table, text_or_empty
 # blocks with an empty line around them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title datalist iframe svg annotation annotation-xml audio video canvas select textarea noembed noframes".split())
+#: Fixed values of HTML and SVG: what is looked through for text in a drawing, and what shows text there.
+DRAWN, DRAWN_TEXT = frozenset("svg g a switch".split()), frozenset("text foreignobject".split())
 #: What does not end a head that is not closed.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset menu".split())
@@ -63,9 +65,9 @@ INDENT, COLUMNS = 32, 500
 RAW = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 
 
-def attributes(text: str) -> dict[str, str]:
-    """The attributes in a start tag, the first of each name; none if none of them matters."""
-    if not READ.search(text):
+def attributes(text: str, choice: bool = False) -> dict[str, str]:
+    """The attributes in a start tag, the first of each name; none if none of them matters, as all may in a choice."""
+    if not choice and not READ.search(text):
         return {}
     out: dict[str, str] = {}
     for name, *values in ATTRIBUTE.findall(text):
@@ -215,6 +217,10 @@ class Element:
     holder: Page | None = None
     grid: Grid | None = None
     indent: str | None = None
+    #: A drawing, or a part of one, whose texts are seen.
+    drawn: bool = False
+    #: Of a select that shows one option: the text, whether it is selected and whether it is disabled of each.
+    options: list[list] | None = None
 
 
 def _whole(value: str | None, most: int) -> int:
@@ -247,7 +253,7 @@ class Renderer:
                 if m["end"]:
                     self.end_tag(tag)
                     continue
-                self.start_tag(tag, attributes(m["more"]))
+                self.start_tag(tag, attributes(m["more"], tag in ("select", "option")))
                 if tag in RAW:
                     close = RAW[tag].search(html, at)
                     if tag in ("textarea", "title", "xmp"):
@@ -308,17 +314,26 @@ class Renderer:
     def _start(self, tag: str, attrs: dict) -> None:
         above = self.open[-1]
         style = re.sub(r"\s", "", attrs.get("style") or "").lower()
-        shown = above.shown and tag not in UNSEEN and "hidden" not in attrs and "display:none" not in style and not (tag == "dialog" and "open" not in attrs)
+        away = "hidden" in attrs or "display:none" in style
+        many = tag == "select" and ("multiple" in attrs or _whole(attrs.get("size"), 1000) > 1)
+        shown = (above.shown and (tag not in UNSEEN or many) or above.drawn and tag in DRAWN_TEXT) and not away and not (tag == "dialog" and "open" not in attrs)
         if above.tag == "details" and above.number == 0 and tag != "summary":
             shown = False
         seen = not ("visibility:hidden" in style or "visibility:collapse" in style) and (above.seen or "visibility:visible" in style)
         here = Element(tag, seen, shown, (above.exact or tag in ("pre", "listing", "xmp") or "white-space:pre" in style) and "white-space:normal" not in style)
         if tag == "details":
             here.number = 0 if "open" not in attrs else None
+        here.drawn = not away and (above.shown and tag == "svg" or above.drawn and tag in DRAWN)
+        if tag == "select" and above.shown and not away and not many and seen:
+            here.options = []
+        elif tag == "option" and (choice := self._choice()) is not None:
+            choice.append([attrs.get("label") or "", "selected" in attrs, "disabled" in attrs, bool(attrs.get("label"))])
         self.places[tag].append(len(self.open))
         self.open.append(here)
         if not shown:
             return
+        if tag == "option" or above.drawn:
+            self.page.block(1)
         if tag in BLOCKS and tag not in _CELL:
             self.page.block(2 if tag in SPACED and not (tag in ("ul", "ol") and self._nearest(("li", "td", "th")) == "li") else 1)
         if tag == "br":
@@ -347,6 +362,11 @@ class Renderer:
                 here.holder, self.page = self.page, Page()
                 here.columns, here.rows = _whole(attrs.get("colspan"), 1000), _whole(attrs.get("rowspan"), 65534)
 
+    def _choice(self) -> list[list] | None:
+        """The options of the innermost open select, if it shows one of them."""
+        at = self._innermost(("select",))
+        return self.open[at].options if at else None
+
     def _grid(self) -> Grid | None:
         at = self._innermost(("table",))
         return self.open[at].grid if at else None
@@ -354,8 +374,15 @@ class Renderer:
     def _close(self) -> None:
         here = self.open.pop()
         self.places[here.tag].pop()
+        if here.options:
+            selected, usable = [o for o in here.options if o[1]], [o for o in here.options if not o[2]]
+            chosen = selected[-1] if selected else usable[0] if usable else None
+            if chosen:
+                self.page.flow(f" {chosen[0]} ")
         if not here.shown:
             return
+        if here.tag == "option" or self.open[-1].drawn:
+            self.page.block(1)
         if here.holder is not None:
             lines, self.page = self.page.text().split("\n"), here.holder
             grid = self._grid()
@@ -380,6 +407,9 @@ class Renderer:
         if self.open[-1].tag == "head" and data.strip(" \t\n\f\r"):
             self._close()
         here = self.open[-1]
+        if not here.shown and (choice := self._choice()):
+            if self._innermost(("option",)) > self._innermost(("select",)) and not choice[-1][3]:
+                choice[-1][0] += data
         if here.shown and here.seen and not (here.tag == "details" and here.number == 0):
             (self.page.exact if here.exact else self.page.flow)(data.replace("\r\n", "\n") if here.exact else data)
 

@@ -48,6 +48,15 @@ CASES = [
     ("<head><title>T</title>Hello", "Hello"),
     ("<head> <meta charset=a><br>x<title>T</title>", "x"),
     ("so <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math>.", "so x=2."),
+    ("<svg><title>no</title><text x=1>Chart</text><g><text>Q1<tspan> up</tspan></text></g><path d=z></svg>on", "Chart\nQ1 up\non"),
+    ("<svg><defs><text>no</text></defs><g style='display:none'><text>no</text></g>no<foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<div hidden><svg><text>no</text></svg></div>yes", "yes"),
+    ("<select><option>a<option selected>b</select> c", "b c"),
+    ("Size: <select><option disabled>pick<option>small <b>one</b><option>large</select>.", "Size: small one ."),
+    ("<select><optgroup label=no><option label=L>text</option></optgroup></select>", "L"),
+    ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("<select hidden><option>no</select><select></select>x", "x"),
+    ("<select><option selected>a<option selected>b", "b"),
     ("<object data=a><param name=b>instead</object> on", "instead on"),
 ]
 

@@ -1,14 +1,15 @@
 """Exact dedup: a tree merge of sorted digest runs.
 
 Each document is reduced to a signature. Documents are dealt to ``runs`` runs by
-a hash of their id; a run holds each signature once, with the smallest doc_id
-and a count. In each round ``fan_in`` neighbouring runs meet, are sorted by
-signature and merged, keeping the smallest id, until one run is left (so a
-signature has at most ``fan_in`` rows in any merge, however many copies it has).
-The decisions then go down the same tree, from the last run to the first runs
-and to the documents; at every step a signature's rows are spread over as many
-runs as the tree has there, so a text with a third of all copies is never
-gathered in one task.
+a hash of their id; a run is sorted by signature and holds each one once, with the smallest
+doc_id and a count. Rounds are binomial: in each, a run and its partner, whose number differs in
+one bit, exchange what they have by signature, so that a task merges the sorted blocks that it
+gets from all tasks of the round before, keeps the smallest id of each signature and leaves a
+sorted run again, until one run is left (with another ``fan_in`` as many runs meet). A signature
+has at most ``fan_in`` rows in any merge, however many copies it has. Each round's runs are kept
+by a checkpoint, from which a lost task begins again. The decisions go from the last run to the
+first ones, where a signature has ``runs`` rows at most, and from there to the documents of each
+run: a text with a third of all copies is never gathered in one task.
 
 A signature is the SHA-256 of the normalised text, verified at each level by the
 text's length and a second, unrelated hash, which are part of what is compared.
@@ -42,7 +43,7 @@ def signature(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def _merge(level: DataFrame, fan_in: int) -> DataFrame:
-    """One round: runs that share _run div fan_in meet, sorted by signature and id."""
+    """One round: runs that share _run div fan_in meet, sorted by signature and id, and leave one sorted run."""
     key = W.partitionBy("_up", *KEY)
     return (
         level.withColumn("_up", F.expr(f"_run div {fan_in}"))
@@ -53,7 +54,20 @@ def _merge(level: DataFrame, fan_in: int) -> DataFrame:
     )
 
 
-def decisions(signatures: DataFrame, runs: int = 256, fan_in: int = 16) -> DataFrame:
+def rounds(signatures: DataFrame, runs: int, fan_in: int) -> list[DataFrame]:
+    """The runs of every level of the tree, from the first ones to the last: _run, the signature, _keep and _size.
+
+    The partitions of each are sorted by run and signature.
+    """
+    first = signatures.groupBy("_run", *KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    levels = [cut(first.sortWithinPartitions("_run", *KEY))]
+    while runs > 1:
+        levels.append(cut(_merge(levels[-1], fan_in)))
+        runs = -(-runs // fan_in)
+    return levels
+
+
+def decisions(signatures: DataFrame, runs: int = 64, fan_in: int = 2) -> DataFrame:
     """For each signature row: _id, the signature, keep_id, group_size and kept.
 
     signatures must give the same rows whenever it is read (a table or a checkpoint).
@@ -63,21 +77,14 @@ def decisions(signatures: DataFrame, runs: int = 256, fan_in: int = 16) -> DataF
     if fan_in < 2 or runs < 1:
         raise ValueError("runs must be 1 or more and fan_in 2 or more")
     dealt = signatures.withColumn("_run", F.pmod(F.xxhash64("_id", "_digest"), F.lit(runs)))
-    levels = [dealt.groupBy("_run", *KEY).agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))]
-    left = runs
-    while left > 1:
-        levels.append(_merge(levels[-1], fan_in))
-        left = -(-left // fan_in)
-    decided = levels.pop().select(F.col("_run").alias("_up"), *KEY, "_keep", "_size")
-    for level in reversed(levels):
-        below = level.select("_run", F.expr(f"_run div {fan_in}").alias("_up"), *KEY)
-        decided = below.join(decided, ["_up", *KEY]).select(F.col("_run").alias("_up"), *KEY, "_keep", "_size")
+    levels = rounds(dealt, runs, fan_in)
+    decided = levels[0].select(F.col("_run").alias("_up"), *KEY).join(levels[-1].drop("_run"), KEY)
     rows = dealt.withColumnRenamed("_run", "_up").join(decided, ["_up", *KEY])
     first = F.row_number().over(W.partitionBy("_up", *KEY, "_id").orderBy("_check"))
     return rows.select("_id", *KEY, F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_id").eqNullSafe(F.col("_keep")) & (first == 1)).alias("kept"))
 
 
-def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs: int = 256, fan_in: int = 16) -> DataFrame:
+def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs: int = 64, fan_in: int = 2) -> DataFrame:
     """The decision on every row of df: its id, keep_id, group_size, kept and text_sha256.
 
     Null and empty texts are equal to each other, and differ from a text of white
@@ -87,7 +94,7 @@ def exact_dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     return found.select(F.col("_id").alias(id_column), "keep_id", "group_size", "kept", F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-def drop_exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs: int = 256, fan_in: int = 16) -> DataFrame:
+def drop_exact_copies(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", runs: int = 64, fan_in: int = 2) -> DataFrame:
     """The rows of df that stay, with all columns of df.
 
     Of rows that repeat id and text (other columns may differ) one stays, the

@@ -48,6 +48,23 @@ def test_exact_dedup(spark):
     assert Counter(r["text_sha256"] for r in found if r["kept"]) == Counter(list(by_sha))  # one of each
 
 
+def test_rounds_are_binomial_and_leave_sorted_runs(spark):
+    """Each round halves the runs and keeps counts; a text with half of all rows has a row for each run at most."""
+    rows = [(i, "hot" if i % 2 else f"text {i % 700}") for i in range(4000)]
+    signed = exact_dedup.signature(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6), "doc_id", "text")
+    dealt = signed.withColumn("_run", F.pmod(F.xxhash64("_id", "_digest"), F.lit(16)))
+    levels = exact_dedup.rounds(dealt, 16, 2)
+    assert [df.select("_run").distinct().count() for df in levels] == [16, 8, 4, 2, 1]
+    for k, df in enumerate(levels):
+        found = df.withColumn("_task", F.spark_partition_id()).collect()
+        tasks = {}
+        for r in found:
+            tasks.setdefault(r["_task"], []).append((r["_run"], bytes(r["_digest"]), r["_length"], r["_check"]))
+        assert all(keys == sorted(set(keys)) for keys in tasks.values())
+        assert sum(r["_size"] for r in found) == len(rows)
+        assert max(Counter(bytes(r["_digest"]) for r in found).values()) <= 16 >> k
+
+
 def test_exact_dedup_keeps_columns_and_one_row_of_each(spark):
     kept = exact_dedup.drop_exact_copies(clashing(spark), runs=5, fan_in=2)
     assert kept.columns == clashing(spark).columns

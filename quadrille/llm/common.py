@@ -45,11 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def in_tasks_of(df: DataFrame, rows: int, each: int) -> DataFrame:
-    """df, which has so many rows at most, in tasks of each rows, but in no more tasks than it has now."""
-    return df.coalesce(max(1, -(-rows // each)))
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path, read again."""
     df.write.mode("errorifexists").parquet(path)
@@ -63,15 +58,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, runs: int = 64) -> DataFrame:
-    """rows joined with values, which has one row a key.
+def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, runs: int = 64, how: str = "inner") -> DataFrame:
+    """rows joined with values, which has one row a key; with how as left, rows without a value stay.
 
     Rows of a key that many share are dealt to runs by the column by, and each run gets
     the key's values once, so that such rows meet their value in many tasks.
     """
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(runs)))
     copies = dealt.select(key, "_part").distinct().join(values, key)
-    return dealt.join(copies, [key, "_part"]).drop("_part")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from quadrille.llm.common import beside, cut, fresh_path, table, text_or_empty
+from quadrille.llm.common import looked_up, beside, cut, fresh_path, table, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -143,7 +143,7 @@ def findings_by_path(df: DataFrame, ledger: str, id_column: str = "doc_id", text
     """A row for each row of df: its id and the findings in its text."""
     seen = scan(df, ledger, id_column, text_column, rules, version)
     paths = df.select(F.col(id_column).alias("_path"), _blob(text_column).alias("_blob"))
-    return paths.join(seen.where(F.size("findings") > 0), "_blob", "left").select(F.col("_path").alias(id_column), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
+    return looked_up(paths, seen.where(F.size("findings") > 0), "_blob", "_path", how="left").select(F.col("_path").alias(id_column), F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
 def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: str = "text", mark: str = "[REDACTED]", rules: tuple[Rule, ...] = WHOLE, version: str = VERSION) -> DataFrame:
@@ -152,8 +152,8 @@ def redact(df: DataFrame, ledger: str, id_column: str = "doc_id", text_column: s
     Texts without findings, null ones included, stay as they are. Other columns are
     not changed.
     """
-    seen = scan(df, ledger, id_column, text_column, rules, version).where(F.size("findings") > 0).select(F.col("_blob").alias("_seen"), F.col("findings").alias("_findings"))
-    joined = beside(df, _key=_blob(text_column)).join(seen, F.col("_key") == F.col("_seen"), "left")
+    seen = scan(df, ledger, id_column, text_column, rules, version).where(F.size("findings") > 0).select(F.col("_blob").alias("_key"), F.col("findings").alias("_findings"))
+    joined = looked_up(beside(df, _key=_blob(text_column), _id=F.col(id_column)), seen, "_key", "_id", how="left")
     text = F.col("_row").getField(text_column)
     clear = lambda x: F.when(x["start"] >= x["clear_from"], F.concat(F.substring(text, x["clear_from"].cast("int") + 1, (x["start"] - x["clear_from"]).cast("int")), F.lit(mark))).otherwise("")
     tail = F.substring(text, F.array_max(F.transform("_findings", lambda x: x["end"])).cast("int") + 1, F.lit(2147483647))

@@ -15,7 +15,7 @@ that of a normal distribution. A step is one aggregation by group and distance b
 with sums of whole numbers (so it gives the same result in any order), and a running
 sum over a group's bins: no group is gathered in one task.
 
-Steps end when no group's determinant changes any more. A covariance is drawn to a
+Steps end when no group's determinant changes any more, or after ``steps`` of them, with a warning. A covariance is drawn to a
 fixed, wide one as if ``prior`` more texts had it: one rule for groups of every size,
 by which a group of few texts rejects next to nothing and a large one goes by its own
 texts. A floor is added to the variances, so that a statistic that is zero for most
@@ -24,6 +24,7 @@ texts of a group does not reject every other text.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -36,7 +37,8 @@ STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 @dataclass(frozen=True)
 class Settings:
     share: float = 0.75
-    #: Steps at most; each makes the determinants smaller or leaves them.
+    #: Steps at most. Bins of distances and the drawing to a fixed covariance void the proof that determinants fall at each
+    #: step, so steps might not end by themselves; where they did not, a warning says so.
     steps: int = 12
     prior: float = 50.0
     #: Standard deviations, in thousandths, of the fixed covariance.
@@ -174,6 +176,8 @@ def estimates(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
         before, now = now.select("_g", "_start", F.col("_det").alias("_was")), keep(_concentrate(rows, now, s))
         if not now.join(before, ["_g", "_start"]).where(F.abs(F.col("_det") - F.col("_was")) > 1e-9).take(1):
             break
+    else:
+        warnings.warn(f"some groups' determinants still changed after {s.steps} steps; their estimates are those of the last one", stacklevel=2)
     best = F.row_number().over(W.partitionBy("_g").orderBy("_det", "_start"))
     chosen = keep(now.withColumn("_best", best).where("_best = 1").drop("_best"))
     counts = _with_distance(rows.join(chosen, "_g")).groupBy("_g", "_total", _bin().alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))

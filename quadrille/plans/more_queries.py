@@ -157,6 +157,20 @@ def cost_m2l_3d(spark, sf_dir):
     return model.multipole_to_local().select(*box_names(3), F.round("cost", 6).alias("cost"))
 
 
+def fmm_laplace_3d(spark, sf_dir):
+    """The potential of all on all in space."""
+    t = _space(spark, sf_dir)
+    return fmm.drive(t, fmm.Laplace3D(t, 16)).select("pid", F.round("potential", 2).alias("potential"))
+
+
+def fmm_dipole_3d(spark, sf_dir):
+    """The potential of directed sources in space."""
+    t, pid = _space(spark, sf_dir), F.col("pid")
+    along = {"weight": (pid % 3 + 1) / F.lit(2.0), "dx": (pid % 7 - 3) / F.lit(10.0), "dy": (pid % 5 - 2) / F.lit(10.0), "dz": (pid % 3 - 1) / F.lit(10.0)}
+    found = fmm.drive(t, fmm.Laplace3D(t, 16, dipoles=True), t.tree.particles.select("pid", *[c.alias(n) for n, c in along.items()]))
+    return found.select("pid", F.round("potential", 1).alias("potential"))
+
+
 def box_list_lines(spark, sf_dir):
     """TikZ for the part of list 2 of the box that is above the first order, three levels down from the root."""
     t = Traversal(orders_tree(spark, sf_dir))
@@ -195,7 +209,7 @@ def _boxes_list(spark, sf_dir, name):
 BOXES_LISTS = [(f"boxes_{name}", name) for name in ("colleagues", "list1", "list2", "list3", "list4")]
 QUERIES = {q: partial(_boxes_list, name=name) for q, name in BOXES_LISTS} | {
     f.__name__: f
-    for f in (rotation_classes_3d, cost_m2l_3d, box_list_lines, fmm_weighted_sum_events, boxes_level_ids, source_counter, source_starts, class_level_boxes, reverse_index, gappy_copy, compacted_orders, mask_lists, search_sorted, list1_masked, local_flags, cost_per_stage_taylor, tree_3d, fmm_constant_one_3d, direct_gradient_2d, direct_dipole_2d, direct_laplace_3d, direct_helmholtz_3d)
+    for f in (fmm_laplace_3d, fmm_dipole_3d, rotation_classes_3d, cost_m2l_3d, box_list_lines, fmm_weighted_sum_events, boxes_level_ids, source_counter, source_starts, class_level_boxes, reverse_index, gappy_copy, compacted_orders, mask_lists, search_sorted, list1_masked, local_flags, cost_per_stage_taylor, tree_3d, fmm_constant_one_3d, direct_gradient_2d, direct_dipole_2d, direct_laplace_3d, direct_helmholtz_3d)
 }
 
 _T = sql.tree()
@@ -211,6 +225,7 @@ kb AS (SELECT k.* FROM k WHERE k.level = 0 OR EXISTS (SELECT 1 FROM s WHERE s.le
 f AS (SELECT pid, max(level) AS level, arg_max(ix, level) AS ix, arg_max(iy, level) AS iy, arg_max(iz, level) AS iz, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM kb GROUP BY pid)""".format(c="embedding")
 _TOUCH3 = " AND ".join(f"greatest(a.i{x} << (12 - a.level), b.i{x} << (12 - b.level)) <= least((a.i{x} + 1) << (12 - a.level), (b.i{x} + 1) << (12 - b.level))" for x in "xyz")
 _R3 = "sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))"
+_POINTS3 = "SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings"
 _BOX3 = f"{_SPACE},\nbx AS (SELECT DISTINCT level, ix, iy, iz FROM kb),\nl2 AS (SELECT t.level, t.ix, t.iy, t.iz, t.ix - s.ix AS vx, t.iy - s.iy AS vy, t.iz - s.iz AS vz FROM bx t JOIN bx s ON t.level = s.level AND t.level > 0 AND greatest(abs((t.ix >> 1) - (s.ix >> 1)), abs((t.iy >> 1) - (s.iy >> 1)), abs((t.iz >> 1) - (s.iz >> 1))) = 1 AND greatest(abs(t.ix - s.ix), abs(t.iy - s.iy), abs(t.iz - s.iz)) > 1)"
 _BOXES = f"""{sql.tree(limit=256)},
 full0 AS (SELECT 0 AS level, 0 AS ix, 0 AS iy UNION ALL SELECT level + 1, ix * 2 + dx, iy * 2 + dy FROM s, {_KIDS}),
@@ -227,6 +242,8 @@ _LISTS = {"colleagues": (_BOXES, _colleagues(1)), "list1": (_BOXES, _LIST1), "li
 SQL = {
     **{q: sql.query(*_LISTS[name]) for q, name in BOXES_LISTS},
     "boxes_level_ids": sql.query(_BOXES, "SELECT level, ix, iy, is_leaf, row_number() OVER (ORDER BY level, path) - 1 AS box_id FROM (SELECT full3.*, (SELECT coalesce(string_agg(CAST(((full3.ix >> (full3.level - t.l)) & 1) * 2 + ((full3.iy >> (full3.level - t.l)) & 1) AS VARCHAR), '' ORDER BY t.l), '') FROM (SELECT unnest(range(1, 13)) AS l) t WHERE t.l <= full3.level) AS path FROM full3) z"),
+    "fmm_laplace_3d": f"WITH p AS ({_POINTS3}) SELECT a.pid, round(sum(1 / {_R3}) / (4 * pi()), 2) AS potential FROM p a JOIN p b ON a.pid <> b.pid GROUP BY a.pid",
+    "fmm_dipole_3d": f"WITH p AS (SELECT *, (pid % 3 + 1) / 2e0 AS w, (pid % 7 - 3) / 10e0 AS dx, (pid % 5 - 2) / 10e0 AS dy, (pid % 3 - 1) / 10e0 AS dz FROM ({_POINTS3}) q),\ne AS (SELECT a.pid, w, dx, dy, dz, a.x - b.x AS x, a.y - b.y AS y, a.z - b.z AS z, {_R3} AS r FROM (SELECT pid, x, y, z FROM p) a JOIN p b ON a.pid <> b.pid),\nd AS (SELECT *, dx * x + dy * y + dz * z AS dot FROM e)\nSELECT pid, round(sum(w * dot / pow(r, 3)) / (4 * pi()), 1) AS potential FROM d GROUP BY pid",
     "rotation_classes_3d": sql.query(f"{_BOX3},\nuc AS (SELECT *, row_number() OVER (ORDER BY class_number) - 1 AS class_id, CASE WHEN vz = 0 THEN 0 ELSE sign(vz) * (vz * vz * 1000000 // (vx * vx + vy * vy + vz * vz)) END AS a FROM (SELECT DISTINCT 3 + vx + 7 * (3 + vy) + 49 * (3 + vz) + 343 * level AS class_number, vx, vy, vz FROM l2) z),\nm AS (SELECT *, min(class_id) OVER (PARTITION BY a) AS first FROM uc)", "SELECT class_number, class_id, dense_rank() OVER (ORDER BY first) - 1 AS rotation_class, round(acos(vz / sqrt(vx * vx + vy * vy + vz * vz)), 9) AS angle FROM m"),
     "cost_m2l_3d": sql.query(_BOX3, "SELECT level, ix, iy, iz, round(count(*) * 3 * pow(3e0 + level, 3), 6) AS cost FROM l2 GROUP BY level, ix, iy, iz"),
     "box_list_lines": sql.query(f"{_P},\na AS (SELECT ix >> (level - 3) AS ix, iy >> (level - 3) AS iy FROM f ORDER BY pid LIMIT 1)", f"SELECT s_level AS level, s_ix AS ix, s_iy AS iy, printf('\\fill[blue!20] (%.5f,%.5f) rectangle (%.5f,%.5f);', lx + s_ix * st, ly + s_iy * st, lx + (s_ix + 1) * st, ly + (s_iy + 1) * st) AS line FROM ({_list2(1)}) e JOIN a ON t_level = 3 AND t_ix = a.ix AND t_iy = a.iy, (SELECT *, (hx - lx) / 8 AS st FROM b2) z"),

@@ -120,3 +120,38 @@ def test_sources_need_their_columns(spark):
         fmm.drive(traversal, fmm.Laplace2D(traversal, 5, dipoles=True))
     with pytest.raises(ValueError):
         fmm.Laplace2D(traversal, lambda level: level)
+
+
+def direct_3d(points, sources, dipoles):
+    at = np.stack(arrays(points, "x", "y", "z"), 1)
+    pid, (sid, w, *along) = arrays(points, "pid")[0], arrays(sources, "pid", "weight", "dx", "dy", "dz")
+    apart = at[:, None] - at[np.searchsorted(pid, sid)]
+    r = np.sqrt((apart**2).sum(2))
+    r[pid[:, None] == sid] = np.nan
+    along = np.stack(along, 1)
+    dot = (along * apart).sum(2)
+    if dipoles:
+        value, slope = w * dot / r**3, (w[:, None] * (along - 3 * (dot / r**2)[:, :, None] * apart)) / (r**3)[:, :, None]
+    else:
+        value, slope = w / r, -w[:, None] * apart / (r**3)[:, :, None]
+    return np.nansum(value, 1) / (4 * math.pi), np.nansum(slope, 1) / (4 * math.pi)
+
+
+@pytest.mark.parametrize("dipoles", [False, True])
+def test_space(spark, dipoles):
+    points = normal_points(spark, 500, 3)
+    traversal = Traversal(build_tree(points, d=3, max_particles=12))
+    sources = strengths(points).withColumn("dz", (F.col("pid") % 3 - 1) / F.lit(2.0))
+    found = fmm.drive(traversal, fmm.Laplace3D(traversal, lambda level: 15 if level < 3 else 14, dipoles, True), sources)
+    value, slope = direct_3d(points, sources, dipoles)
+    assert traversal.list2.take(1) and traversal.list3.take(1) and traversal.list4.take(1)
+    for got, want in zip(arrays(found, "potential", *[f"gradient_{a}" for a in "xyz"]), (value, *slope.T)):
+        assert np.abs(got - want).max() < 1e-5 * np.abs(want).max()
+
+
+def test_harmonics_of_far_places():
+    rng = np.random.default_rng(4)
+    far, near_ = rng.normal(size=(20, 3)), rng.normal(size=(20, 3)) * 0.1
+    far *= 2 / np.linalg.norm(far, axis=1)[:, None]
+    found = (np.conj(fmm.solid_harmonics(near_, 30)) * fmm.singular_harmonics(far, 30)).sum(1)
+    assert np.abs(found - 1 / np.linalg.norm(far - near_, axis=1)).max() < 1e-14

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import partial
-import math
 
 from pyspark.sql import functions as F
 
@@ -16,7 +15,7 @@ from quadrille.operators import tree as T
 from quadrille.operators.traversal import Traversal
 from quadrille.plans import sql
 from quadrille.plans.list_queries import SMALL_ALPHA, _B, _LIST1, _LIST3, _colleagues, _four, _list2, _u
-from quadrille.plans.tree_queries import MAX, orders_tree
+from quadrille.plans.tree_queries import orders_tree
 from quadrille.plans.work_queries import _KIDS, _MASKS, _counted, _costs, _events, _ranks
 from quadrille.sources.points import embedding_points, event_targets, order_points, table
 

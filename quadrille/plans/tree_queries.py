@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 
-from quadrille.functions.keys import box_names, children, grid_key, key_names
+from quadrille.functions.keys import box_names, grid_key, key_names
 from quadrille.operators import tree as T
 from quadrille.plans import sql
 from quadrille.sources.points import event_points, event_targets, order_points

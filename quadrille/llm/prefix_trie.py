@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.functions.ordering import running_within
 from quadrille.llm.common import cut, looked_up, table
@@ -80,8 +80,8 @@ def _blocks(convs: DataFrame, turns: DataFrame, block: int) -> DataFrame:
 def _boundaries(distinct: DataFrame) -> DataFrame:
     """The rows of distinct blocks, one for each turn: its node's key and that of its parent, with size and digest."""
     wide = lambda c: c.cast("decimal(38,0)")
-    after = lambda i, t, w: F.col(f"p{w}") - F.aggregate(F.slice("turns", i + 2, F.size("turns")), wide(F.lit(0)), lambda sofar, t: wide(sofar + t[f"w{w}"]))
-    each = F.transform("turns", lambda t, i: F.struct((i + 1).alias("at"), (t["place"] + 1).alias("depth"), wide(after(i, t, 1)).alias("s1"), wide(after(i, t, 2)).alias("s2"), t["w1"].alias("w1"), t["w2"].alias("w2"), t["size"].alias("_size"), t["digest"].alias("digest")))
+    after = lambda i, w: F.col(f"p{w}") - F.aggregate(F.slice("turns", i + 2, F.size("turns")), wide(F.lit(0)), lambda sofar, t: wide(sofar + t[f"w{w}"]))
+    each = F.transform("turns", lambda t, i: F.struct((i + 1).alias("at"), (t["place"] + 1).alias("depth"), wide(after(i, 1)).alias("s1"), wide(after(i, 2)).alias("s2"), t["w1"].alias("w1"), t["w2"].alias("w2"), t["size"].alias("_size"), t["digest"].alias("digest")))
     return distinct.withColumn("_e", F.explode(each)).select(*distinct.columns, "_e.*")
 
 

@@ -234,7 +234,7 @@ def test_outliers_are_rejected_and_the_bulk_is_kept(spark):
 
 def plain_distances(stats: list[tuple], s: quality.Settings) -> list[float]:
     """The scaled squared distance of each vector of a group that passed the base rules."""
-    x = np.array([[math.floor(1000 * v + 0.5) for v in (math.log1p(n), math.log(max(c / max(n, 1), 1)), math.sqrt(y / max(c, 1)), math.sqrt(d / max(lines, 1)), math.sqrt(r / max(n, 1)))] for n, c, y, d, r, lines in stats], float)
+    x = np.array([[math.floor(1000 * v / step + 0.5) * step for v, step in zip((math.log1p(n), math.log(max(c / max(n, 1), 1)), math.sqrt(y / max(c, 1)), math.sqrt(d / max(lines, 1)), math.sqrt(r / max(n, 1))), s.grid)] for n, c, y, d, r, lines in stats], float)
     floors, wide = np.diag(np.square(s.floors)), np.diag(np.square(s.wide))
 
     def estimate(rows):
@@ -245,14 +245,17 @@ def plain_distances(stats: list[tuple], s: quality.Settings) -> list[float]:
         return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
 
     bins = lambda d: np.floor(np.log1p(d) * 48)
-    quarter = lambda q: np.sort(x, 0)[max(0, math.ceil(q * len(x)) - 1)]
+    quarter = lambda q: np.quantile(x, q, axis=0)
     found = []
     for m, cov in (estimate(x), (quarter(0.5), np.diag(np.maximum((quarter(0.75) - quarter(0.25)) / 1.349, s.floors) ** 2))):
-        for _ in range(s.steps):
+        was, now = math.inf, None
+        while now is None or now <= was - s.change:
+            was = was if now is None else now
             b = bins(distances(m, cov))
             last = np.sort(b)[math.ceil(s.share * len(x)) - 1]
             m, cov = estimate(x[b <= last])
-        found.append((np.linalg.slogdet(cov)[1], m, cov))
+            now = np.linalg.slogdet(cov)[1] / 2
+            found.append((now, m, cov))
     _, m, cov = min(found, key=lambda f: round(f[0], 9))
     d = distances(m, cov)
     middle = np.sort(bins(d))[math.ceil(len(x) / 2) - 1]
@@ -280,6 +283,30 @@ def test_verdicts_against_plain_estimates(spark):
     assert not all(r["kept"] for r in got.values()) and all(got[i]["kept"] for i, *_, at in rows if at in ("c", "d"))
 
 
+def test_each_further_step_lowers_the_determinant(spark, monkeypatch):
+    """Heavy tails and two clusters: a group's start goes on only where its last step lowered the determinant, and all come to rest."""
+    rng, steps, write = np.random.default_rng(4), [], quality.written
+
+    def recorded(df, path):
+        out = write(df, path)
+        if "_step" in out.columns:
+            steps.append({(r["_g"], r["_start"]): r for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(quality, "written", recorded)
+    rows = [(g, *(int(v) for v in 1000 * rng.standard_t(1.5, 5) + 4000 * (k % 3 == 0))) for g, n in (("a", 700), ("b", 90), ("c", 5)) for k in range(n)]
+    s = quality.Settings()
+    found = quality.estimates(spark.createDataFrame(rows, ["_g", *quality.X]), s).collect()
+    assert {r["_g"] for r in found} == set("abc") and len(steps) > 2
+    lowered = lambda r: r["_det"] <= r["_was"] - s.change
+    assert len(steps[0]) == 6
+    for step, after in zip(steps, [*steps[1:], {}]):
+        assert set(after) == {k for k, r in step.items() if lowered(r)}
+        assert all(after[k]["_was"] == step[k]["_det"] for k in after)
+    for r in found:
+        assert r["_det"] == min(x["_det"] for step in steps for k, x in step.items() if k[0] == r["_g"])
+
+
 # SimHash
 
 

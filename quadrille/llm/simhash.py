@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quadrille.llm.common import beside, cut, fresh_path, looked_up, row_columns, table, text_or_empty, written
 from quadrille.llm.components import components, joined
@@ -630,6 +630,22 @@ def similarity_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8,
     return joined(roots, compare(left)) if left.take(1) else roots
 
 
+def told_apart(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+    """rows with a number _n made of two 64-bit hashes: rows have the same number if both hashes are the same.
+
+    It is the first hash, but for rows that share it with one of a smaller second hash: they get a hash of both. Such
+    clashes are few, if there are any, and are looked for before: one aggregation of the hashes alone.
+    """
+    seen = rows.select(first.alias("_first"), second.alias("_second"))
+    of_first = seen.groupBy("_first").agg(F.min("_second").alias("_least"), F.max("_second").alias("_most"))
+    clashes = written(of_first.where("_least < _most").select("_first", "_least"), fresh_path(rows.sparkSession, "clashes"))
+    if not clashes.take(1):
+        return rows.withColumn("_n", first)
+    found = rows.withColumns({"_first": first, "_second": second}).join(clashes, "_first", "left")
+    number = F.when(F.col("_second") > F.col("_least"), F.xxhash64("_first", "_second")).otherwise(F.col("_first"))
+    return found.withColumn("_n", number).drop("_first", "_second", "_least")
+
+
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of df that stay: of each group of similar texts the row with the smallest id, a null id
     counting as larger than any other.
@@ -638,17 +654,17 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     more; all such pairs are found. Null, empty and blank texts are similar to each other. Rows that repeat
     id and text all stay if one does: texts are told apart here, not rows. An empty table stays empty.
     """
-    spark, none = df.sparkSession, F.col(id_column).isNull()
-    number = F.xxhash64(none, F.col(id_column), text_or_empty(text_column))
-    key = F.struct(none.alias("none"), F.col(id_column).alias("id"), F.xxhash64(text_or_empty(text_column)).alias("hash"))
-    texts = df.select(number.alias("_n"), text_or_empty(text_column).cast("binary").alias("_text"))
-    roots = similarity_groups(texts, words, similarity)
-    keys = df.select(number.alias("node"), key.alias("_key"))
+    spark, none = df.sparkSession, F.col("_id").isNull()
+    rows = beside(df, _id=F.col(id_column), _text=text_or_empty(text_column))
+    rows = told_apart(rows, F.xxhash64(none, "_id", "_text"), F.xxhash64("_text", none, "_id"))
+    key = F.struct(none.alias("none"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"))
+    roots = similarity_groups(rows.select("_n", F.col("_text").cast("binary").alias("_text")), words, similarity)
+    keys = rows.select(F.col("_n").alias("node"), key.alias("_key"))
     grouped = cut(keys.join(roots, "node").groupBy("node", "root").agg(F.first("_key").alias("_key")))
     stay = grouped.groupBy("root").agg(F.min_by("node", "_key").alias("node"))
     # A table, so that its size is known: if it is small, texts need not be shuffled to be looked up in it.
     gone = written(grouped.select("node").join(stay, "node", "left_anti"), fresh_path(spark, "gone"))
-    return beside(df, _node=number).join(gone, F.col("_node") == gone["node"], "left_anti").select(*row_columns(df))
+    return rows.join(gone, F.col("_n") == gone["node"], "left_anti").select(*row_columns(df))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -731,6 +731,14 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_texts_whose_hashes_clash_are_told_apart(spark):
+    rows = spark.createDataFrame([(i % 40, f"t{i % 40}") for i in range(120)], "a bigint, b string")
+    for first in (F.col("a") % 7, F.col("a") * 1000, F.lit(5).cast("long")):
+        got = simhash.told_apart(rows, first, F.xxhash64("b")).select("a", "b", "_n").collect()
+        assert len(got) == 120 and len({r["_n"] for r in got}) == 40 == len({(r["a"], r["_n"]) for r in got})
+    assert simhash.told_apart(rows.limit(0), F.col("a"), F.xxhash64("b")).count() == 0
+
+
 def test_stages_on_all_cases(spark, tmp_path):
     """Nulls, empty and long texts, ties, repeated rows, clashing names and empty tables, in every stage."""
     labels = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (8, 1, 0), (10, 1, 1)], "doc_id bigint, quality int, toxic int")

@@ -604,18 +604,26 @@ def still_open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_root_u", "u") != F.coalesce("_root_v", "v")).select(*pairs.columns)
 
 
-def similarity_groups(texts: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(u, v) for rows (_n, _text): each text v that fingerprints join with others, and u, the first text of its group."""
+    found = near_duplicates(rows, "_n", "_text")
+    return cut(found.where("component_id < _n").select(F.col("component_id").alias("u"), F.col("_n").alias("v")).distinct())
+
+
+def similarity_groups(texts: DataFrame, near: DataFrame, words: int = 5, similarity: float = 0.8, most: int = 32) -> DataFrame:
     """(node, root) for the texts (_n, _text) that chains of similar pairs join with others; root is the smallest _n.
 
-    The search is exact. Likely pairs are looked at first, and each text's closest neighbour in crowded keys,
+    The pairs (u, v) of near, a table or checkpoint, are those that SimHash finds; they are looked at first. The search
+    for similar ones among all others is exact: likely pairs, and each text's closest neighbour in crowded keys,
     in ROUNDS rounds; then all pairs that prefixes and marks allow and that these do not join yet, of each
     text the closest one before the others. Every link is checked by its shingle sets.
     """
+    compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
+    roots = cut(components(compare(near)))
     entries, marks = prefix_entries(texts, words, similarity, max(16, texts.rdd.getNumPartitions()), most)
     marks = marks.dropDuplicates(["_n"])
-    compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
     possible = lambda pairs: possible_pairs(pairs, marks, similarity)
-    roots = cut(components(compare(possible(likely_links(neighbour_pairs(entries, None, similarity))))))
+    roots = joined(roots, compare(possible(likely_links(neighbour_pairs(entries, roots, similarity)))))
     # Crowded keys are where pairs grow with the square of a group: each text's nearest one of another root goes first.
     crowded = cut(entries.where("_crowded"))
     for _ in range(ROUNDS if crowded.take(1) else 0):
@@ -650,7 +658,8 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """The rows of df that stay: of each group of similar texts the row with the smallest id, a null id
     counting as larger than any other.
 
-    Texts are similar if the Jaccard similarity of their sets of shingles of words words is similarity or
+    Groups of near_duplicates come first, by fingerprints and pivot tables; their texts are checked against the first one of
+    their group. Pairs beyond the radius of fingerprints are found by an exact search. Texts are similar if the Jaccard similarity of their sets of shingles of words words is similarity or
     more; all such pairs are found. Null, empty and blank texts are similar to each other. Rows that repeat
     id and text all stay if one does: texts are told apart here, not rows. An empty table stays empty.
     """
@@ -658,7 +667,8 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = beside(df, _id=F.col(id_column), _text=text_or_empty(text_column))
     rows = told_apart(rows, F.xxhash64(none, "_id", "_text"), F.xxhash64("_text", none, "_id"))
     key = F.struct(none.alias("none"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"))
-    roots = similarity_groups(rows.select("_n", F.col("_text").cast("binary").alias("_text")), words, similarity)
+    near = simhash_pairs(rows.select("_n", "_text"))
+    roots = similarity_groups(rows.select("_n", F.col("_text").cast("binary").alias("_text")), near, words, similarity)
     keys = rows.select(F.col("_n").alias("node"), key.alias("_key"))
     grouped = cut(keys.join(roots, "node").groupBy("node", "root").agg(F.first("_key").alias("_key")))
     stay = grouped.groupBy("root").agg(F.min_by("node", "_key").alias("node"))

@@ -783,3 +783,29 @@ def test_near_dedup_finds_all_that_exact_similarity_does(spark):
     want = {i for i in texts if find(i) == i}
     assert len(want) < len(texts)
     assert {r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect()} == want
+
+
+def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
+    """The pipeline's stage looks at the links of the pivot tables: all of them, each checked by shingle sets, and at what they miss."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, line = [word() for _ in range(1500)], [word() for _ in range(11)]
+    texts = [" ".join(base + [word()]) for _ in range(12)]  # differ in a word: two bits at most, mostly
+    texts += [" ".join([word() for _ in range(20)] + line * 200) for _ in range(6)]  # fingerprints of the line, sets of their own
+    for _ in range(6):
+        words = [word() for _ in range(100)]
+        texts += [" ".join(words), " ".join(words[:50] + [word()] + words[51:])]  # similar, more than two bits apart
+    fps = [plain_fingerprint(t) for t in texts]
+    root = plain_groups(sorted(set(fps)))
+    first = {}
+    for i, f in enumerate(fps):
+        first.setdefault(root[f], i)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    pairs = {(first[root[f]], i) for i, f in enumerate(fps) if first[root[f]] != i}
+    assert {(r["u"], r["v"]) for r in simhash.simhash_pairs(rows.select(F.col("doc_id").alias("_n"), F.col("text").alias("_text"))).collect()} == pairs
+    assert any(v < 12 for _, v in pairs) and any(12 <= v < 18 for _, v in pairs) and not any(v >= 18 for _, v in pairs)
+    looked_at, compare = [], simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda some, *more: looked_at.append(some.count()) or compare(some, *more))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near(spark, rows, "").collect()}
+    assert looked_at[0] == len(pairs)
+    assert kept == plain_keep_one(texts) == {0, *range(12, 18), *range(18, 30, 2)}

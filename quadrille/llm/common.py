@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -58,6 +59,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more: it does so after a garbage
+    collection of the driver, which may else come late. It bears on disk alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def looked_up(rows: DataFrame, values: DataFrame, key: str, by: str, runs: int = 64, how: str = "inner") -> DataFrame:
     """rows joined with values, which has one row a key; with how as left, rows without a value stay.
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quadrille.llm.common import beside, cut, fresh_path, looked_up, row_columns, table, text_or_empty, written
+from quadrille.llm.common import beside, cut, fresh_path, looked_up, release, row_columns, table, text_or_empty, written
 from quadrille.llm.components import components, joined
 
 BITS = 64
@@ -618,9 +618,16 @@ def similarity_groups(texts: DataFrame, near: DataFrame, words: int = 5, similar
     in ROUNDS rounds; then all pairs that prefixes and marks allow and that these do not join yet, of each
     text the closest one before the others. Every link is checked by its shingle sets.
     """
-    compare = lambda pairs: similar_pairs(pairs, texts, words, similarity)
+    spark = texts.sparkSession
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        found = similar_pairs(pairs, texts, words, similarity)
+        release(spark)
+        return found
+
     roots = cut(components(compare(near)))
     entries, marks = prefix_entries(texts, words, similarity, max(16, texts.rdd.getNumPartitions()), most)
+    release(spark)
     marks = marks.dropDuplicates(["_n"])
     possible = lambda pairs: possible_pairs(pairs, marks, similarity)
     roots = joined(roots, compare(possible(likely_links(neighbour_pairs(entries, roots, similarity)))))
@@ -667,7 +674,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = beside(df, _id=F.col(id_column), _text=text_or_empty(text_column))
     rows = told_apart(rows, F.xxhash64(none, "_id", "_text"), F.xxhash64("_text", none, "_id"))
     key = F.struct(none.alias("none"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"))
+    release(spark)
     near = simhash_pairs(rows.select("_n", "_text"))
+    release(spark)
     roots = similarity_groups(rows.select("_n", F.col("_text").cast("binary").alias("_text")), near, words, similarity)
     keys = rows.select(F.col("_n").alias("node"), key.alias("_key"))
     grouped = cut(keys.join(roots, "node").groupBy("node", "root").agg(F.first("_key").alias("_key")))

@@ -809,3 +809,13 @@ def test_near_dedup_goes_by_fingerprints_first(spark, monkeypatch):
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near(spark, rows, "").collect()}
     assert looked_at[0] == len(pairs)
     assert kept == plain_keep_one(texts) == {0, *range(12, 18), *range(18, 30, 2)}
+
+
+def test_near_dedup_frees_its_steps_while_it_runs(spark, monkeypatch):
+    """The cleaner is asked before and after fingerprints, and after each comparison of sets."""
+    asked, free = [], simhash.release
+    monkeypatch.setattr(simhash, "release", lambda session: asked.append(free(session)))
+    text = [f"w{i}" for i in range(200)]
+    rows = spark.createDataFrame([(0, " ".join(text)), (1, " ".join([*text, "x"])), (2, "other words")], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == {0, 2}
+    assert len(asked) >= 5

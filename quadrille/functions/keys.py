@@ -31,9 +31,14 @@ def power2(level: Column | int) -> Column:
     return F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)
 
 
+def cell_number(x: Column, lo: float, hi: float, level: int) -> Column:
+    """The cell of x at a level of the box from lo to hi, where cells go on beyond the box."""
+    return F.floor((x - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * F.lit(float(1 << level))).cast("long")
+
+
 def grid_key(x: Column, lo: float, hi: float, level: int) -> Column:
     """The cell of x at a level of the root box from lo to hi; a point on the upper face is in the last cell."""
-    cell = F.floor((x - F.lit(lo)) / (F.lit(hi) - F.lit(lo)) * F.lit(float(1 << level))).cast("long")
+    cell = cell_number(x, lo, hi, level)
     return F.greatest(F.least(cell, F.lit((1 << level) - 1)), F.lit(0)).cast("long")
 
 

@@ -9,12 +9,13 @@ of these levels, and the counts of the levels above come from those groups.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from quadrille.functions.keys import TOP, axes, box_names, children, grid_key, inside, key_names, levels, moved, path, power2, shift
+from quadrille.functions.keys import TOP, axes, box_names, cell_number, children, grid_key, inside, key_names, levels, moved, path, power2, raised, shift
 from quadrille.functions.ordering import numbered, running
 from quadrille.plans.shared import cut
 
@@ -96,16 +97,27 @@ def root_box(low: list[float], high: list[float]) -> tuple[tuple[float, ...], tu
     return tuple(low), tuple(l + extent for l in low)
 
 
-def checked_box(bbox, low: list[float], high: list[float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
-    """A bounding box that the user gives, as (low, high) pairs: it must be a cube and hold all points."""
+def checked_box(bbox, low: list[float], high: list[float], beyond: bool = False) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """A bounding box that the user gives, as (low, high) pairs: it must be a cube and, but for beyond, hold all points."""
     lo, hi = tuple(float(b[0]) for b in bbox), tuple(float(b[1]) for b in bbox)
     if max(h - l for l, h in zip(lo, hi)) - min(h - l for l, h in zip(lo, hi)) > 1e-15:
         raise ValueError("the bounding box must have the same width on all axes")
-    if any(a < l or b > h for a, b, l, h in zip(low, high, lo, hi)):
+    if not beyond and any(a < l or b > h for a, b, l, h in zip(low, high, lo, hi)):
         raise ValueError("the bounding box must hold all points")
     return lo, hi
 
 
+def _tiles(lo, hi, low: list[float], high: list[float]) -> tuple[int, list[int]]:
+    """How many levels above the box from lo to hi a cube of such boxes holds all points, and the box's keys in that cube."""
+    cells = [(math.floor((a - l) / (h - l)), math.floor((b - l) / (h - l))) for a, b, l, h in zip(low, high, lo, hi)]
+    first = [min(a, 0) for a, _ in cells]
+    across = max(max(b, 0) - f + 1 for f, (_, b) in zip(first, cells))
+    above = (across - 1).bit_length()
+    if above >= TOP:
+        raise ValueError("points are too far from the bounding box")
+    return above, [-f for f in first]
+
+
 def _descends(d: int, lo, hi, stick_out: float, norm: str) -> Column:
     """The deepest level whose box, enlarged by the stick-out factor, holds the point with its radius."""
     width, r = hi[0] - lo[0], F.col("radius")
@@ -203,14 +215,15 @@ def restricted(split: DataFrame, d: int, deepest: int) -> DataFrame:
     return out.unionByName(now)
 
 
-def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = None, kind: str = "adaptive", max_weight: int | None = None, bbox=None, stick_out: float | None = None, norm: str = "linf", prune: bool = True, levels_at_once: int = 8) -> Tree:
+def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = None, kind: str = "adaptive", max_weight: int | None = None, bbox=None, stick_out: float | None = None, norm: str = "linf", prune: bool = True, levels_at_once: int = 8, beyond: bool = False) -> Tree:
     """The tree over particles: pid, coordinates x[, y[, z]] and, optional, role ('s', 't'
     or 'b' for both), radius and weight.
 
     Either max_particles or max_weight (with a weight column) is the limit of a box.
     Points with a radius need stick_out; they stay at the last box that, enlarged by
     that factor, holds them; such points need a role. Points with a null coordinate are an error. bbox, (low, high) for
-    each axis, is the root box; it must be a cube and hold all points.
+    each axis, is the root box; it must be a cube and hold all points. With beyond, it need not hold them: there are as
+    many boxes of its size at level 0, beside it, as have points; their keys go on from those inside, and may be negative.
     """
     names = key_names(d)
     if d not in (1, 2, 3):
@@ -224,6 +237,8 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     extent = "radius" in particles.columns
     if extent and "role" not in particles.columns:
         raise ValueError("points with a radius need a role")
+    if beyond and (bbox is None or kind != "adaptive" or extent or not prune):
+        raise ValueError("beyond goes with a bbox, and with adaptive, pruned trees of points without a radius")
     allowed = deepest_level(particles, d)
     if (max_particles if max_particles is not None else max_weight) <= 0:
         raise ValueError("the limit of a box must be positive")
@@ -248,9 +263,17 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
     if limits[0] is None:
         raise ValueError("there are no points")
     low, high = list(limits[3 + d :: 2]), list(limits[4 + d :: 2])
-    lo, hi = checked_box(bbox, low, high) if bbox is not None else root_box(low, high)
+    lo, hi = checked_box(bbox, low, high, beyond) if bbox is not None else root_box(low, high)
 
-    keyed = points.select("*", *[grid_key(F.col(a), lo[i], hi[i], TOP).alias(f"_k{a}") for i, a in enumerate(axes(d))])
+    if beyond:
+        # The tree of a cube of such boxes, whose levels above the given box are taken off at the end.
+        above, at = _tiles(lo, hi, low, high)
+        allowed = min(allowed + above, TOP)
+        key = [cell_number(F.col(a), lo[i], hi[i], TOP - above) + (at[i] << (TOP - above)) for i, a in enumerate(axes(d))]
+    else:
+        above, at = 0, [0] * d
+        key = [grid_key(F.col(a), lo[i], hi[i], TOP) for i, a in enumerate(axes(d))]
+    keyed = points.select("*", *[k.alias(f"_k{a}") for k, a in zip(key, axes(d))])
     desc = _descends(d, lo, hi, stick_out, norm) if extent else F.lit(TOP + 1)
     keyed = cut(keyed.withColumn("_desc", desc.cast("int")))
 
@@ -266,7 +289,7 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
         depth = deepest + 1
         celled = keyed.select("*", *[shift(F.col(f"_k{a}"), TOP - depth).alias(k) for a, k in zip(axes(d), names)])
         placed = celled.join(_splits_above(celled.select(*names).distinct(), split, d, depth), names, "left").drop(*names)
-        placed = placed.withColumn("level", F.least(F.col("_desc"), F.coalesce("_deep", F.lit(0))).cast("int"))
+        placed = placed.withColumn("level", F.greatest(F.least(F.col("_desc"), F.coalesce("_deep", F.lit(0))), F.lit(above)).cast("int"))
     placed = cut(placed.select("pid", *axes(d), "role", "radius", "weight", "level", *[shift(F.col(f"_k{a}"), TOP - F.col("level")).alias(k) for a, k in zip(axes(d), names)]))
 
     source, target = F.col("role").isin("s", "b").cast("long"), F.col("role").isin("t", "b").cast("long")
@@ -290,9 +313,18 @@ def build_tree(particles: DataFrame, d: int = 2, max_particles: int | None = Non
             every = every.unionByName(particles.sparkSession.range(1).select(F.explode(root).alias("_r")).select("_r.*"))
             boxes = every.join(boxes, box_names(d), "left").fillna(0, [*counts, *[c.replace("own", "cumul") for c in counts]])
         boxes = boxes.join(split.withColumn("is_split", F.lit(True)), box_names(d), "left").withColumn("is_split", F.coalesce("is_split", F.lit(False))).drop("_below")
+    if beyond:
+        boxes, placed, split = (_from_tile(t, d, above, at) for t in (boxes, placed, split))
     return Tree(d, lo, hi, cut(boxes), placed, split, stick_out or 0.0, norm, extent)
 
 
+def _from_tile(rows: DataFrame, d: int, above: int, at: list[int]) -> DataFrame:
+    """Rows of boxes at level above and below, with the levels and keys that they have in the box of keys at on that level."""
+    own = F.col("level") - above
+    keys = {k: F.col(k) - raised(F.lit(a).cast("long"), own) for k, a in zip(key_names(d), at)}
+    return rows.where(F.col("level") >= above).withColumns({**keys, "level": own.cast("int")})
+
+
 def with_path(boxes: DataFrame, d: int) -> DataFrame:
     return boxes.withColumn("path", path(F.col("level"), [F.col(k) for k in key_names(d)]))
 

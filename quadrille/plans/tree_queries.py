@@ -77,8 +77,8 @@ def tree_restricted_extent(spark, sf_dir):
 
 
 def tree_user_bbox(spark, sf_dir):
-    """In a root box that is given."""
-    return orders_tree(spark, sf_dir, bbox=[(-1, 31), (-1, 31)]).boxes.select(*BOX, F.col("n_cumul").alias("n_particles"), (~F.col("is_split")).alias("is_leaf"))
+    """In a root box that is given; orders beyond it are in boxes of its size beside it."""
+    return orders_tree(spark, sf_dir, bbox=[(-1, 31), (-1, 31)], beyond=True).boxes.select(*BOX, F.col("n_cumul").alias("n_particles"), (~F.col("is_split")).alias("is_leaf"))
 
 
 def box_ids(spark, sf_dir):

@@ -1,5 +1,8 @@
 """Deep trees, clustered lookups, boxes alone, and what is refused."""
 
+import math
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +11,9 @@ from quadrille.functions.keys import box_names
 from quadrille.operators import boxes, classes, fmm, lookup
 from quadrille.operators.traversal import Traversal, side
 from quadrille.operators.tree import MaxLevelsExceeded, build_tree
+from quadrille.plans import registry
 from quadrille.sources.points import normal_points, uniform_points
+from tests.compare import check
 
 
 def line(spark, n, kind="double"):
@@ -68,6 +73,34 @@ def test_user_box(spark):
     assert {(r["ix"], r["iy"]) for r in corner.particles.collect()} == {(0, 0), (1, 1)}
 
 
+def test_points_beyond_a_user_box(spark):
+    points = spark.range(400).select(F.col("id").alias("pid"), (F.rand(1) * 9 - 4).alias("x"), (F.rand(2) * 7 + 0.5).alias("y"))
+    with pytest.raises(ValueError):
+        build_tree(points, max_particles=8, bbox=[(0, 1), (0, 1)])
+    tree = build_tree(points, max_particles=8, bbox=[(0, 1), (0, 1)], beyond=True)
+    boxes = {(r["level"], r["ix"], r["iy"]): r for r in tree.boxes.collect()}
+    assert min(k[0] for k in boxes) == 0 and min(k[1] for k in boxes) < 0 and sum(r["n_own"] for r in boxes.values()) == 400
+    for r in tree.particles.collect():
+        assert (r["ix"], r["iy"]) == tuple(math.floor(r[a] * 2 ** r["level"]) for a in "xy")
+    for (level, ix, iy), r in boxes.items():
+        assert r["is_split"] == (r["n_cumul"] > 8) and (level == 0 or boxes[level - 1, ix >> 1, iy >> 1]["is_split"])
+
+
+def test_few_points_beyond_a_user_box(spark):
+    """No cell of the cube of boxes splits: each box with a point is at level 0."""
+    points = spark.sql("SELECT 1L AS pid, -9.5D AS x, 0.5D AS y UNION ALL SELECT 2L, 6.5D, 0.5D")
+    tree = build_tree(points, max_particles=5, bbox=[(0, 1), (0, 1)], beyond=True)
+    assert {(r["level"], r["ix"], r["iy"], r["n_own"], r["is_split"]) for r in tree.boxes.collect()} == {(0, -10, 0, 1, False), (0, 6, 0, 1, False)}
+
+
+def test_query_with_orders_beyond_its_box(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.unionByName(orders.withColumns({"o_orderkey": F.col("o_orderkey") + 10_000, "o_custkey": F.col("o_custkey") + 120_000})).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    check(registry.queries()["tree_user_bbox"](spark, str(tmp_path)), con, registry.oracle_sql()["tree_user_bbox"])
+
+
 def clustered(spark):
     near = spark.range(3000).select(F.col("id").alias("pid"), *[(F.rand(seed=i) / 1024).alias(a) for i, a in enumerate("xy")])
     return near.unionByName(spark.sql("SELECT 99999L AS pid, 1D AS x, 1D AS y"))

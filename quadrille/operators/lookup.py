@@ -55,7 +55,8 @@ def area_query(tree: Tree, balls: DataFrame) -> DataFrame:
         at = at.withColumn(f"_{k}", F.explode(F.when(first <= end, F.sequence(first, end)).otherwise(F.array().cast("array<bigint>"))))
     leaves, heavy = keyed_leaves(tree, on_balls)
     at = at.join(heavy, ["_same", *_cell(d)], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    found = at.join(leaves, ["_same", "_part", *_cell(d)])
+    # Spark takes the exploded balls to be as small as the table that they come from, and would broadcast them.
+    found = at.join(leaves.hint("merge"), ["_same", "_part", *_cell(d)])
     return found.where(distance(tree) <= F.col("ball_radius") + tree.radius(F.col("level"))).select("ball_id", *[f"ball_{a}" for a in axes(d)], "ball_radius", *box_names(d))
 
 

@@ -106,6 +106,17 @@ def clustered(spark):
     return near.unionByName(spark.sql("SELECT 99999L AS pid, 1D AS x, 1D AS y"))
 
 
+@pytest.mark.parametrize("name", ["area_query"])
+def test_balls_are_not_broadcast(spark, tmp_path, name):
+    """A small file of balls, each of which becomes many rows: neither they nor the leaves go to all executors as a whole."""
+    spark.range(5000).select(F.col("id").alias("ball_id"), F.rand(1).alias("x"), F.rand(2).alias("y"), F.lit(0.01).alias("radius")).write.parquet(str(tmp_path / "balls"))
+    found = getattr(lookup, name)(build_tree(uniform_points(spark, 500, 2), max_particles=5), spark.read.parquet(str(tmp_path / "balls")))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.splitlines() if "Join" in line and "_ix#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_clustered_leaves_share_no_key(spark, monkeypatch):
     """All leaves but a few are below one cell, on ten levels."""
     monkeypatch.setattr(lookup, "PART", 100)

@@ -106,7 +106,7 @@ def clustered(spark):
     return near.unionByName(spark.sql("SELECT 99999L AS pid, 1D AS x, 1D AS y"))
 
 
-@pytest.mark.parametrize("name", ["area_query", "area_query_elementwise", "leaves_to_balls"])
+@pytest.mark.parametrize("name", ["area_query", "area_query_elementwise", "leaves_to_balls", "space_invader"])
 def test_balls_are_not_broadcast(spark, tmp_path, name):
     """A small file of balls, each of which becomes many rows: neither they nor the leaves go to all executors as a whole."""
     spark.range(5000).select(F.col("id").alias("ball_id"), F.rand(1).alias("x"), F.rand(2).alias("y"), F.lit(0.01).alias("radius")).write.parquet(str(tmp_path / "balls"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -21,3 +21,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def rounded(c: Column, digits: int) -> Column:
+    """c rounded as the SQL's round does, by a multiplication; Spark's goes by the shortest decimals of c, which differs near halves."""
+    return F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession, functions as F
 from quadrille.functions.keys import box_names, grid_key, key_names
 from quadrille.operators import tree as T
 from quadrille.plans import sql
+from quadrille.plans.shared import rounded
 from quadrille.sources.points import event_points, event_targets, order_points
 
 MAX = 32
@@ -118,7 +119,7 @@ def find_box_for_particle(spark, sf_dir):
 def box_geometry(spark, sf_dir):
     tree = orders_tree(spark, sf_dir)
     level = F.col("level")
-    return tree.boxes.select(*BOX, F.round(2 * tree.radius(level), 9).alias("size"), *[F.round(tree.center(i, level, F.col(k)), 9).alias(f"center_{k[1]}") for i, k in enumerate(key_names(2))])
+    return tree.boxes.select(*BOX, rounded(2 * tree.radius(level), 9).alias("size"), *[rounded(tree.center(i, level, F.col(k)), 9).alias(f"center_{k[1]}") for i, k in enumerate(key_names(2))])
 
 
 QUERIES = {f.__name__: f for f in (bbox, level_keys, tree_adaptive, tree_adaptive_events, tree_weighted, tree_nonadaptive, tree_unpruned, tree_level_restricted, tree_extent_linf, tree_extent_l2, tree_restricted_extent, tree_user_bbox, box_ids, tree_order, box_starts, level_starts, src_tgt_counts, box_flags, box_bbox, find_box_for_particle, box_geometry)}

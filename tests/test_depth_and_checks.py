@@ -12,6 +12,7 @@ from quadrille.operators import boxes, classes, fmm, lookup
 from quadrille.operators.traversal import Traversal, side
 from quadrille.operators.tree import MaxLevelsExceeded, build_tree
 from quadrille.plans import registry
+from quadrille.plans.shared import rounded
 from quadrille.sources.points import normal_points, uniform_points
 from tests.compare import check
 
@@ -203,3 +204,10 @@ def test_root_box_must_be_a_cube(spark, bbox):
 def test_long_numbers_stay_whole_in_base_2(spark):
     rows = spark.range(1).select(padded_binary(F.lit(5), 4), padded_binary(F.lit(4097), 12), padded_binary(F.lit(0), 3)).first()
     assert tuple(rows) == ("0101", "1000000000001", "000")
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """The centre of a box of level 3 whose tenth decimal is as good as a half, and others."""
+    values = [7.5 * (600.0593332666666 / 8), -7.5 * (600.0593332666666 / 8), 0.0, 1 / 3, 2.5e-9]
+    found = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded(F.col("v"), 9)).collect()]
+    assert found == [duckdb.sql(f"SELECT round({v!r}::DOUBLE, 9)").fetchall()[0][0] for v in values]

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quadrille.functions.keys import axes, box_names, inside, key_names, levels, moved, shift
 from quadrille.operators.classes import class_count, class_number, class_vector
 from quadrille.operators.traversal import Traversal, side
-from quadrille.plans.shared import cut
+from quadrille.plans.shared import cut, release
 
 
 #: What sums of a kernel are multiplied with, by equation and dimensions.
@@ -92,14 +92,19 @@ def drive(traversal: Traversal, kernel: Kernel, weights: DataFrame | None = None
     sources = sources.withColumn("weight", F.lit(1.0)) if weights is None else sources.join(weights.select("pid", *more), "pid")
     sources = cut(sources.select("pid", *axes(d), *box_names(d), "weight", *kernel.source_columns))
     targets = points.where(F.col("role").isin("t", "b")).select("pid", *axes(d), *box_names(d))
-    multipoles = cut(kernel.coarsen_multipoles(kernel.form_multipoles(sources)))
+    release(sources.sparkSession)
+    multipoles = cut(kernel.coarsen_multipoles(cut(kernel.form_multipoles(sources))))
+    release(sources.sparkSession)
     local = kernel.multipole_to_local(traversal.list2, multipoles)
     parts = [kernel.eval_direct(traversal.list1_merged if tree.has_extent else traversal.list1, sources, targets)]
     if traversal.list4.take(1):
         local = kernel.add_up(local.unionByName(kernel.form_locals(traversal.list4, sources)))
     if traversal.list3.take(1):
         parts.append(kernel.eval_multipoles(traversal.list3, multipoles, targets))
-    parts.append(kernel.eval_locals(kernel.refine_locals(cut(local)), targets))
+    local = cut(local)
+    release(sources.sparkSession)
+    parts.append(kernel.eval_locals(kernel.refine_locals(local), targets))
+    release(sources.sparkSession)
     out = targets.select("pid", *[F.lit(0.0).alias(c) for c in kernel.outputs])
     for part in parts:
         out = out.unionByName(part)
@@ -167,12 +172,14 @@ class ConstantOne(Kernel):
 
 def direct(edges: DataFrame, sources: DataFrame, targets: DataFrame, d: int, value: Column | dict[str, Column], more: tuple[str, ...] = ()) -> DataFrame:
     """(pid, potential): value, on columns t_x.., s_x.., weight and more of the sources, summed over the sources of boxes
-    that edges lead to. value may also be several, by name."""
+    that edges lead to. value may also be several, by name.
+
+    Sources are sent to the target boxes, where a target meets all that act on it: its sum is whole there."""
     values = value if isinstance(value, dict) else {"potential": value}
     s = sources.select(*[F.col(c).alias(f"s_{c}") for c in (*box_names(d), *axes(d))], "weight", *more, F.col("pid").alias("s_pid"))
     t = targets.select(*[F.col(c).alias(f"t_{c}") for c in (*box_names(d), *axes(d))], "pid")
-    near = t.join(edges, side("t", d)).join(s, side("s", d)).where("pid <> s_pid")
-    return near.groupBy("pid").agg(*[F.sum(v).alias(name) for name, v in values.items()])
+    near = t.join(edges.join(s, side("s", d)), side("t", d)).where("pid <> s_pid")
+    return near.groupBy(*side("t", d), "pid").agg(*[F.sum(v).alias(name) for name, v in values.items()]).select("pid", *values)
 
 
 def squared_distance(d: int) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,6 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete shuffles and checkpoints that nothing refers to any more; it bears on disk alone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rounded(c: Column, digits: int) -> Column:
     """c rounded as the SQL's round does, by a multiplication; Spark's goes by the shortest decimals of c, which differs near halves."""
     return F.round(c * F.lit(10.0**digits)) / F.lit(10.0**digits)

@@ -155,3 +155,33 @@ def test_harmonics_of_far_places():
     far *= 2 / np.linalg.norm(far, axis=1)[:, None]
     found = (np.conj(fmm.solid_harmonics(near_, 30)) * fmm.singular_harmonics(far, 30)).sum(1)
     assert np.abs(found - 1 / np.linalg.norm(far - near_, axis=1)).max() < 1e-14
+
+
+def test_near_sums_are_whole_where_they_are_made(spark):
+    """Targets are dealt once, by their box: partial sums of a target are not dealt again by its pid."""
+    tree = build_tree(uniform_points(spark, 400, 2), max_particles=8)
+    t = Traversal(tree)
+    points = tree.particles.withColumn("weight", F.lit(1.0))
+    value = F.when(fmm.squared_distance(2) > 0, F.lit(1.0)).otherwise(0.0)
+    near = fmm.direct(t.list1, points.select("pid", "x", "y", *box_names(2), "weight"), points.select("pid", "x", "y", *box_names(2)), 2, value)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near._jdf.queryExecution().sparkPlan().toString(), near._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan[0] and "Exchange hashpartitioning(pid" not in plan[1]
+    assert near.count() == 400
+
+
+def test_multipoles_are_formed_once(spark, monkeypatch):
+    """Every level reads the multipoles of the leaves: they are kept, not formed and dealt again for each."""
+    t = Traversal(build_tree(uniform_points(spark, 200, 2), max_particles=8))
+    plans, coarsen = [], fmm.Series.coarsen_multipoles
+
+    def spied(self, multipoles):
+        plans.append(multipoles._jdf.queryExecution().executedPlan().toString())
+        return coarsen(self, multipoles)
+
+    monkeypatch.setattr(fmm.Series, "coarsen_multipoles", spied)
+    fmm.drive(t, fmm.Laplace2D(t, 4))
+    assert len(plans) == 1 and "MapInArrow" not in plans[0] and "Exchange" not in plans[0]
